@@ -87,6 +87,36 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def with_maybe(df: DataFrame, key: Column, keys: DataFrame, most_bits: int = 1 << 28) -> DataFrame:
+    """df with a boolean column _maybe: false only where key is none of keys (one column).
+
+    A bitmap with about 16 bits a key, never above most_bits (32 MB), is
+    broadcast; with more keys than it can tell apart, more rows are true. Callers
+    join those exactly, so this only spares the shuffle of the others.
+    """
+    bits = 1 << 15
+    wanted = min(most_bits, 16 * keys.count())
+    while bits < wanted:
+        bits <<= 1
+    place = F.pmod(F.xxhash64(F.col(keys.columns[0])), F.lit(bits)) + 1
+    maps = keys.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("_b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_m"))
+    df = df.withColumn("_p", F.pmod(F.xxhash64(key), F.lit(bits)) + 1)
+    found = df.join(F.broadcast(maps), F.bitmap_bucket_number("_p") == F.col("_b"), "left")
+    bit = F.bitmap_bit_position("_p")
+    byte = F.conv(F.hex(F.substring("_m", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return found.withColumn("_maybe", F.coalesce(F.getbit(byte, bit % 8) == 1, F.lit(False))).drop("_p", "_b", "_m")
+
+
+def ranged(df: DataFrame, *order: Column | str, name: str = "ranged") -> DataFrame:
+    """df as a table whose column pid numbers ranges of the order: rows in a lower range come first.
+
+    Prefix sums over all rows then need a window in each range and one over the
+    sums of the ranges, of which there are as many as shuffle partitions.
+    """
+    n = shuffle_partitions(df.sparkSession)
+    return write_table(df.repartitionByRange(n, *order).withColumn("pid", F.spark_partition_id()), name)
+
+
 # ------------------------------------------------------------------ Arrow text
 
 
@@ -116,12 +146,16 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Bytes that end a run of letters and digits: every ASCII character that is neither.
+NOT_ALNUM = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Begin and end byte of each word, and the number of the first word of each text (one more at the end)."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    word = ~_SPACE[data]
+    word = ~breaks[data]
     firsts = np.unique(offsets[:-1][offsets[:-1] < n])
     edge = np.empty(n, bool)
     edge[0], edge[1:] = True, ~word[:-1]

@@ -6,11 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docketry.llm import fingerprints, packing
+from docketry.llm import exact_dedup, fingerprints, line_dedup, mixing, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": fingerprints.op1_document_fingerprints,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
+    "op4_mix_sources": mixing.op4_mix_sources,
+    "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op6_exact_dedup": exact_dedup.op6_exact_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_mix_sources": mixing.OP4_SQL,
+    "op5_line_dedup": line_dedup.OP5_SQL,
+    "op6_exact_dedup": exact_dedup.OP6_SQL,
+}
