@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docketry.llm import exact_dedup, fingerprints, line_dedup, mixing, packing
+from docketry.llm import exact_dedup, fingerprints, line_dedup, mixing, packing, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": fingerprints.op1_document_fingerprints,
@@ -14,6 +14,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_substring_dedup": substrings.op7_substring_dedup,
+    "op9_toxicity": toxicity.op9_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
