@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docketry.llm import exact_dedup, fingerprints, line_dedup, mixing, packing, substrings, toxicity
+from docketry.llm import exact_dedup, fingerprints, line_dedup, mixing, near_dedup, packing, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": fingerprints.op1_document_fingerprints,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_substring_dedup": substrings.op7_substring_dedup,
+    "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_toxicity": toxicity.op9_toxicity,
 }
 
