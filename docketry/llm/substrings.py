@@ -61,13 +61,15 @@ def _from_planes(x: bytes) -> np.ndarray:
 
 def _packed_rows(bucket: np.ndarray, texts: np.ndarray, places: np.ndarray, keys: np.ndarray, ids: np.ndarray, ths: np.ndarray) -> Iterator[dict]:
     """A row a bucket. Entries must be in the order of (text, place); keys has a row of bytes an entry."""
+    if not len(bucket):
+        return
     order = np.argsort(bucket, kind="stable")
     bucket, texts, places, keys = bucket[order], texts[order], places[order], keys[order]
     new = np.ones(len(texts), bool)
     new[1:] = (texts[1:] != texts[:-1]) | (bucket[1:] != bucket[:-1])
     gaps = places.copy()
     gaps[1:] -= np.where(new[1:], 0, places[:-1])
-    cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, int)
+    cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
     for a, b in zip(cuts, np.r_[cuts[1:], len(bucket)], strict=True):
         starts = np.flatnonzero(new[a:b])
         own = texts[a:b][starts]
