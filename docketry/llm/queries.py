@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docketry.llm import exact_dedup, fingerprints, line_dedup, mixing, near_dedup, packing, substrings, toxicity
+from docketry.llm import exact_dedup, fingerprints, line_dedup, mixing, near_dedup, packing, quality, substrings, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": fingerprints.op1_document_fingerprints,
+    "op2_quality_cotraining": quality.op2_quality_cotraining,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_line_dedup": line_dedup.op5_line_dedup,
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_substring_dedup": substrings.op7_substring_dedup,
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_toxicity": toxicity.op9_toxicity,
+    "op10_token_counts": token_counts.op10_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
