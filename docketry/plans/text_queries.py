@@ -242,5 +242,5 @@ ORACLE_SQL = {
         SELECT event_type, NOT (value > 80) AND (contains(event_type, 'click') OR contains(event_type, 'purchase')) AS passes, count(*) AS n FROM events GROUP BY 1, 2""",
     "quality_flags": """
         SELECT doc_id, unnest(list_filter([CASE WHEN length(text) < 200 THEN 'SHORT' END, CASE WHEN upper(text) = text THEN 'ALL_CAPS' END, CASE WHEN contains(text, '|') THEN 'TABLE' END,
-               CASE WHEN contains(text, '@') THEN 'CONTACT' END], x -> x IS NOT NULL)) AS flag FROM documents""",
+               CASE WHEN contains(text, '@') THEN 'CONTACT' END], lambda x: x IS NOT NULL)) AS flag FROM documents""",
 }
