@@ -8,31 +8,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+import docketry
 from docketry.llm import common, exact_dedup, mixing, near_dedup, packing, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
+    docketry.ship(spark)
     return toxicity.reject(docs, common.load(spark, sf_dir, "labels"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the largest id."""
+    docketry.ship(spark)
     return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class."""
+    docketry.ship(spark)
     return near_dedup.drop_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each time that the mix takes a document."""
+    docketry.ship(spark)
     return mixing.take(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of the packed sequences."""
+    docketry.ship(spark)
     return packing.pack_documents(docs)
 
 

@@ -75,13 +75,13 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", kee
     fate = common.write_table(exact_dedup(docs, id_col, text, keep), "fate")
     pairs = fate.select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"), "kept")
     pairs = common.write_table(pairs.groupBy("_id", "_sha").agg(F.count("*").alias("_same"), F.max("kept").alias("_stays")).where("_same > 1 or not _stays"), "touched")
-    rows = docs.withColumn("_own", F.sha2(common.text_of(text), 256))
-    rows = common.with_maybe(rows, F.xxhash64(id_col, "_own"), pairs.select(F.xxhash64("_id", "_sha").alias("k")))
-    met = rows.where("_maybe").join(pairs, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")), "left")
+    rows = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("own_id"), F.sha2(common.text_of(text), 256).alias("own_sha"))
+    rows = common.with_maybe(rows, F.xxhash64("own_id", "own_sha"), pairs.select(F.xxhash64("_id", "_sha").alias("k")))
+    met = rows.where("_maybe").join(pairs, F.col("own_id").eqNullSafe(F.col("_id")) & (F.col("own_sha") == F.col("_sha")), "left")
     single = met.where("_same is null")
     again = met.where("_stays").dropDuplicates(["_id", "_sha"])
     clear = rows.where("not _maybe")
-    return clear.select(*docs.columns).unionByName(single.select(*docs.columns)).unionByName(again.select(*docs.columns))
+    return clear.select("doc").unionAll(single.select("doc")).unionAll(again.select("doc")).select("doc.*")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

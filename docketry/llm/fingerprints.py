@@ -55,7 +55,8 @@ def packed(sketch: np.ndarray) -> str:
 
 
 def fingerprint(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, fraction: float = FRACTION, out: str = "sketch") -> DataFrame:
-    """docs with an array<bigint> column of kept hashes (as signed numbers)."""
+    """docs with an array<bigint> column of kept hashes (as signed numbers), in the place of a column of its name."""
+    docs = docs.drop(out)
     schema = docs.withColumn(out, F.lit(None).cast("array<bigint>")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

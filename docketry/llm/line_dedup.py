@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from docketry.llm import common
 
 WINDOW = 3
+ADDED = ("n_lines", "n_removed", "kept_text")
 
 
 def lines_of(text: str) -> Column:
@@ -43,22 +44,20 @@ def repeats(docs: DataFrame, id_col: str, text: str, width: int = WINDOW) -> Dat
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WINDOW) -> DataFrame:
-    """docs with n_lines, n_removed and kept_text; only documents that may lose lines are shuffled."""
+    """docs with n_lines, n_removed and kept_text (in the place of columns of these names); only documents that may lose lines are shuffled."""
     gone = repeats(docs, id_col, text, width)
-    rows = docs.withColumn("_own", F.xxhash64(common.text_of(text)))
-    rows = common.with_maybe(rows, F.xxhash64(id_col, "_own"), gone.select(F.xxhash64("_id", "_th").alias("k")))
-    met = rows.where("_maybe").join(gone, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_th")), "left")
-    lines = lines_of(text)
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.coalesce("covered", F.array().cast("array<int>")))
-    met = met.withColumn("_lines", lines).withColumn("_left", left)
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns if c not in ADDED]).alias("doc"), F.col(id_col).alias("own_id"), common.text_of(text).alias("body"), F.xxhash64(common.text_of(text)).alias("th"))
+    rows = common.with_maybe(rows, F.xxhash64("own_id", "th"), gone.select(F.xxhash64("_id", "_th").alias("k")))
+    met = rows.where("_maybe").join(gone, F.col("own_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left").withColumn("lines", lines_of("body"))
+    met = met.withColumn("left", F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.coalesce("covered", F.array().cast("array<int>"))))
     met = met.select(
-        *docs.columns,
-        F.size("_lines").cast("bigint").alias("n_lines"),
-        (F.size("_lines") - F.size("_left")).cast("bigint").alias("n_removed"),
-        F.array_join(F.transform("_left", lambda i: F.col("_lines")[i]), "\n").alias("kept_text"),
+        "doc",
+        F.size("lines").cast("bigint").alias("n_lines"),
+        (F.size("lines") - F.size("left")).cast("bigint").alias("n_removed"),
+        F.array_join(F.transform("left", lambda i: F.col("lines")[i]), "\n").alias("kept_text"),
     )
-    clear = rows.where("not _maybe").select(*docs.columns, F.size(lines).cast("bigint").alias("n_lines"), F.lit(0).cast("bigint").alias("n_removed"), common.text_of(text).alias("kept_text"))
-    return clear.unionByName(met)
+    clear = rows.where("not _maybe").select("doc", F.size(lines_of("body")).cast("bigint").alias("n_lines"), F.lit(0).cast("bigint").alias("n_removed"), F.col("body").alias("kept_text"))
+    return clear.unionAll(met).select("doc.*", *ADDED)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,15 +86,15 @@ def take(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: st
     keys = [F.col(id_col).alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")]
     given = mix(docs, id_col, text, source).groupBy(*keys).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
     given = common.write_table(given, "copies")
-    rows = docs.withColumn("_words", word_count(text))
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source).eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
+    rows = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("own_id"), F.col(source).alias("own_source"), word_count(text).alias("words"), F.xxhash64(common.text_of(text)).alias("th"))
+    same = F.col("own_id").eqNullSafe(F.col("_id")) & F.col("own_source").eqNullSafe(F.col("_source")) & (F.col("words") == F.col("_size"))
     met = rows.join(given.where("_copies > 0"), same)
     one = met.where("_rows = 1").withColumn("_own", F.col("_copies"))
-    turn = F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy(common.text_of(text)))
+    turn = F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy("th"))
     many = met.where("_rows > 1").withColumn("_i", turn)
     many = many.withColumn("_own", F.floor(F.col("_i") * F.col("_copies") / F.col("_rows")) - F.floor((F.col("_i") - 1) * F.col("_copies") / F.col("_rows"))).drop("_i")
     every = one.unionByName(many).where("_own > 0")
-    return every.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_own")))).select(*docs.columns)
+    return every.select("doc", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_own")))).select("doc.*")
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
