@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +19,19 @@ def term_hasher() -> common.WordHasher:
     return common.WordHasher(seed=9, lower=True)
 
 
-def term_buckets(hasher: common.WordHasher, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, bucket), once each, of the runs of letters and digits of each text."""
+def term_buckets(hasher: common.WordHasher, column: pa.Array, stems: Sequence[int] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, bucket), once each, of the runs of letters and digits of each text,
+    and of the first k bytes, for each k of stems, of the longer ones among them."""
     data, offsets = common.text_buffer(column)
     starts, ends, first = common.word_spans(data, offsets, common.NOT_ALNUM)
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(first)).astype(np.uint64)
-    buckets = hasher.words(data, starts, ends) >> np.uint64(64 - BUCKET_BITS)
-    pairs = np.unique((owner << np.uint64(BUCKET_BITS)) | buckets)
+    pairs = (owner << np.uint64(BUCKET_BITS)) | (hasher.words(data, starts, ends) >> np.uint64(64 - BUCKET_BITS))
+    lengths, parts = ends - starts, [pairs]
+    for k in stems:
+        longer = lengths > k
+        stem = common.mixed(hasher.words(data, starts[longer], starts[longer] + k) + np.uint64(k))
+        parts.append((owner[longer] << np.uint64(BUCKET_BITS)) | (stem >> np.uint64(64 - BUCKET_BITS)))
+    pairs = np.unique(np.concatenate(parts))
     return (pairs >> np.uint64(BUCKET_BITS)).astype(np.int64), (pairs & np.uint64((1 << BUCKET_BITS) - 1)).astype(np.int64)
 
 
@@ -38,7 +44,7 @@ def bounded_sample(labels: DataFrame, most: int, *order: str) -> DataFrame:
     return labels.orderBy(F.xxhash64(*order), *order).limit(most)
 
 
-def featured(rows: DataFrame, text: str, *keep: str) -> DataFrame:
+def featured(rows: DataFrame, text: str, *keep: str, stems: Sequence[int] = ()) -> DataFrame:
     """rows' columns keep, and terms: array<int> of distinct buckets."""
     schema = rows.select(*keep).withColumn("terms", F.lit(None).cast("array<int>")).schema
 
@@ -46,7 +52,7 @@ def featured(rows: DataFrame, text: str, *keep: str) -> DataFrame:
         hasher = term_hasher()
         for batch in batches:
             for part in common.slices(batch, text):
-                owner, buckets = term_buckets(hasher, part.column(text))
+                owner, buckets = term_buckets(hasher, part.column(text), stems)
                 offsets = np.searchsorted(owner, np.arange(part.num_rows + 1)).astype(np.int32)
                 column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(buckets.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), column], [*keep, "terms"])
@@ -54,16 +60,20 @@ def featured(rows: DataFrame, text: str, *keep: str) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def screen(owner: np.ndarray, buckets: np.ndarray, label: np.ndarray, least_rows: int, least_z: float, most: int) -> np.ndarray:
-    """Buckets whose share of label-1 rows differs from the rest's beyond chance, at most `most`, ascending."""
-    n, positive = len(label), max(label.mean(), 1e-9) if len(label) else 1e-9
+def screen(owner: np.ndarray, buckets: np.ndarray, label: np.ndarray, least_rows: int, most: int) -> np.ndarray:
+    """Buckets whose share of label-1 rows differs from the rest's beyond chance, at most `most`, ascending.
+
+    The measure is twice the log-likelihood ratio; its bar rises with the number
+    of buckets that are compared, so that few pass by chance at any sample size.
+    """
+    positive = float(np.clip(label.mean(), 1e-6, 1 - 1e-6)) if len(label) else 0.5
     size = 1 << BUCKET_BITS
     seen, ones = np.bincount(buckets, minlength=size), np.bincount(buckets, label[owner], size)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        z = np.abs(ones - seen * positive) / np.sqrt(seen * positive * (1 - positive) * np.maximum(1 - seen / max(n, 1), 1e-9))
-    z[(seen < least_rows) | ~np.isfinite(z)] = 0
-    best = np.lexsort((np.arange(size), -z))[:most]
-    return np.sort(best[z[best] >= least_z])
+    tried = np.flatnonzero(seen >= least_rows)
+    share = np.clip(ones[tried] / seen[tried], 1e-12, 1 - 1e-12)
+    ratio = 2 * seen[tried] * (share * np.log(share / positive) + (1 - share) * np.log((1 - share) / (1 - positive)))
+    best = np.argsort(-ratio, kind="stable")[:most]
+    return np.sort(tried[best[ratio[best] >= 2 * np.log(max(len(tried), 1)) + 6]])
 
 
 def fit_logistic(owner: np.ndarray, column: np.ndarray, width: int, label: np.ndarray, l2: float, pairs: np.ndarray | None = None, pair_weight: float = 0.0, rounds: int = 300) -> tuple[np.ndarray, float]:
@@ -102,8 +112,9 @@ def dense(features: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return out
 
 
-def scored(rows: DataFrame, text: str, weights: np.ndarray, bias: float, out: str = "score") -> DataFrame:
-    """rows with the model's probability for each whole text. The model is bounded and broadcast."""
+def scored(rows: DataFrame, text: str, weights: np.ndarray, bias: float, out: str = "score", stems: Sequence[int] = ()) -> DataFrame:
+    """rows with the model's probability for each whole text, in the place of a column of its name. The model is bounded and broadcast."""
+    rows = rows.drop(out)
     schema = rows.withColumn(out, F.lit(None).cast("double")).schema
     model = rows.sparkSession.sparkContext.broadcast(weights)
 
@@ -111,7 +122,7 @@ def scored(rows: DataFrame, text: str, weights: np.ndarray, bias: float, out: st
         hasher, w = term_hasher(), model.value
         for batch in batches:
             for part in common.slices(batch, text):
-                owner, buckets = term_buckets(hasher, part.column(text))
+                owner, buckets = term_buckets(hasher, part.column(text), stems)
                 total = np.bincount(owner, w[buckets], part.num_rows) + bias
                 score = pa.array(1 / (1 + np.exp(-np.clip(total, -30, 30))), pa.float64())
                 yield pa.RecordBatch.from_arrays([*part.columns, score], [*part.schema.names, out])

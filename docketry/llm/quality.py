@@ -73,7 +73,7 @@ def cotrain(content: list, meta: list, label: np.ndarray, part: np.ndarray) -> d
             rows = np.flatnonzero(~np.isnan(given[view]))
             owner, buckets = entries(rows, terms)
             own = given[view][rows]
-            features = linear.screen(owner, buckets, own, least_rows=max(5, len(rows) // 500), least_z=4.0, most=4096)
+            features = linear.screen(owner, buckets, own, least_rows=max(5, len(rows) // 500), most=4096)
             if not len(features):
                 models[view] = np.zeros(1 << linear.BUCKET_BITS, np.float32), 0.0
                 continue

@@ -1,6 +1,6 @@
 """Toxicity: a classifier regularised by counterfactuals.
 
-A logistic regression on hashed words is fitted to a bounded sample of labelled
+A logistic regression on hashed words and beginnings of words is fitted to a bounded sample of labelled
 rows. For each sampled text with identity terms, every such term is swapped for
 each other term of its list (and for none), and the squared change of the
 score is penalised, so that the mere mention of a group does not move it.
@@ -8,7 +8,7 @@ score is penalised, so that the mere mention of a group does not move it.
 Labels are used only of rows whose crc32(id as text) mod 4 is not 2. The score
 reads the text alone. Defined results: null text counts as empty and scores
 as the intercept; rows that repeat score alike; a label row without a document,
-or with a null label, is left out; without labels every score is 0.
+or with a null label, is left out; without labels every score is about 0.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ IDENTITY_TERMS = {
 SAMPLE = 16_000
 THRESHOLD = 0.3
 PENALTY = 5.0
+#: Lengths of word beginnings, in bytes, that are features beside the words.
+STEMS = (3, 4, 5, 6, 7)
 
 
 def held_out(id_col: str) -> Column:
@@ -45,7 +47,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     usable = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     chosen = linear.bounded_sample(usable.select(F.col(id_col).alias("_id"), F.col(label).cast("double").alias("_label")), sample, "_id")
     rows = docs.select(F.col(id_col).alias("_doc"), F.col(text).alias("_text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))
-    rows = linear.featured(rows, "_text", "_id", "_label")
+    rows = linear.featured(rows, "_text", "_id", "_label", stems=STEMS)
 
     def train(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("_id", ignore_index=True)
@@ -69,7 +71,7 @@ def fit_sample(terms: list[np.ndarray], label: np.ndarray, penalty: float) -> tu
     buckets = np.concatenate([*terms, np.zeros(0, np.int64)]).astype(np.int64)
     groups = [sorted({linear.bucket_of(hasher, t) for t in x.split()}) for x in IDENTITY_TERMS.values()]
     identity = np.unique(np.concatenate([np.asarray(g) for g in groups]))
-    features = np.union1d(linear.screen(owner, buckets, label, least_rows=max(5, int(0.004 * len(terms))), least_z=8.0, most=2048), identity)
+    features = np.union1d(linear.screen(owner, buckets, label, least_rows=max(5, len(terms) // 1000), most=2048), identity)
     column = np.searchsorted(features, buckets)
     column[column == len(features)] = 0
     inside = features[column] == buckets
@@ -94,14 +96,18 @@ def swaps(column: np.ndarray, features: np.ndarray, groups: list[list[int]]) ->
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs with score and predicted."""
-    rows = linear.scored(docs, text, *model)
+    """docs with score and predicted, in the place of columns of these names."""
+    rows = linear.scored(docs, text, *model, stems=STEMS)
     return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def reject(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs that are not predicted toxic."""
-    return score(docs, fit(docs, labels, id_col, text), id_col, text).where("predicted = 0").select(*docs.columns)
+    out = "score"
+    while out in [c.lower() for c in docs.columns]:
+        out = f"_{out}"
+    rows = linear.scored(docs, text, *fit(docs, labels, id_col, text), out=out, stems=STEMS)
+    return rows.where(F.col(out) < THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
