@@ -12,7 +12,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of u is tied to the least of u and its neighbours."""
     both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -30,13 +30,12 @@ def components(edges: DataFrame) -> DataFrame:
     rounds grows with the logarithm of the components' diameters.
     """
     now = common.write_table(edges.where("u <> v").select("u", "v").distinct(), "edges")
-    seen = None
-    while True:
+    while now.take(1):
         after = common.write_table(_small_star(_large_star(now)), "edges")
-        mark = tuple(after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         common.drop_table(now)
         now = after
-        if mark == seen or not mark[0]:
+        ends = now.select(F.col("u").alias("k"), F.lit(1).alias("tied"), F.lit(0).alias("root")).unionAll(now.select("v", F.lit(0), F.lit(1)))
+        ends = ends.groupBy("k").agg(F.sum("tied").alias("tied"), F.max("root").alias("root"))
+        if not ends.where("tied > 1 or tied + root > 1").take(1):  # every node is tied to one root, and no root to another
             break
-        seen = mark
-    return now.select(F.col("u").alias("id"), F.col("v").alias("label")).unionAll(now.select(F.col("v").alias("id"), F.col("v").alias("label"))).distinct()
+    return now.select(F.col("u").alias("id"), F.col("v").alias("label")).unionAll(now.select("v", "v").distinct())

@@ -10,14 +10,16 @@ their weighted Jaccard similarity. Weights are 1 for each distinct shingle
 
 Texts of equal weighted shingles are one node. In each band bucket all nodes are
 compared with a hub; what stays apart from it gets further hubs, round by round,
-until every two nodes of a bucket were compared or are of one class, so no link
-is lost to the size of a bucket, and pairs that are linked already are not
-made. Every candidate pair is verified on whole shingle sets.
+until every two nodes of a bucket were compared, are of one class, or have too many
+shingles that no other node has, so no link is lost to the size of a bucket, and
+pairs that are linked already are not made. Every candidate pair is verified on
+whole shingle sets.
 
 Defined results: words are lower-cased (ASCII) runs without white space; a text
 of fewer than five words is one shingle; a text without words (or null) is
 linked to none; rows without an id are a class of their own, null; rows of one
-id belong to one class. The class id is the smallest id in the class.
+id belong to one class. The class id is the smallest id in the class, its size
+the number of its rows.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.llm import common
@@ -132,47 +134,74 @@ def verified(rows: DataFrame, pairs: DataFrame, least: float, shingle: int, weig
     return pairs.join(a, "u").join(b, "v").withColumn("_i", both).select("u", "v", (F.col("_i") / (F.size("a") + F.size("b") - F.col("_i"))).alias("similarity")).where(F.col("similarity") >= least)
 
 
-def links(rows: DataFrame, nodes: DataFrame, least: float, shingle: int, weights: str) -> DataFrame:
-    """(u, v, similarity): enough verified links that every two similar nodes of a bucket are connected."""
+def links(rows: DataFrame, nodes: DataFrame, tied: DataFrame, repeated: DataFrame, least: float, shingle: int, weights: str) -> DataFrame:
+    """(id, label): the class of each node that has a link; tied (u, v) are links known before.
+
+    The first hub of a bucket is its most central node, the one whose buckets are
+    the largest: of copies with edits of their own it is the closest to the
+    others. Before further hubs are asked, nodes are dropped from buckets where
+    shingles that no other node has rule out any link (see `limited`).
+    """
     buckets = nodes.select("id", "n", F.explode("bands").alias("band"))
-    shared = buckets.groupBy("band").agg(F.count("*").alias("c")).where("c > 1").select("band")
-    members = common.write_table(buckets.join(shared, "band"), "members")
-    order = F.xxhash64("id")
-    hubs = members.groupBy("band").agg(F.min_by(F.struct("id", "n"), F.struct(order, "id")).alias("hub"))
-    used = common.write_table(hubs.select("band", F.col("hub.id").alias("id"), F.col("hub.n").alias("n")), "hubs")
-    fresh, tested, found, labels = used, None, None, None
+    shared = buckets.groupBy("band").agg(F.count("*").alias("c")).where("c > 1")
+    met = buckets.join(shared, "band")
+    members = common.write_table(met.join(met.groupBy("id").agg(F.sum("c").alias("rank")), "id").select("band", "id", "n", "rank", F.col("n").alias("m")), "members")
+    first = F.struct(F.col("rank"), F.xxhash64("id"), F.col("id"))
+    chosen = F.max_by(F.struct("id", "n", "m"), first).alias("hub")
+    used = fresh = common.write_table(members.groupBy("band").agg(chosen).select("band", "hub.*"), "hubs")
+    found, tested = tied, None
+    labels = common.write_table(components(tied), "labels")
     while True:
-        asked = members if labels is None else _labelled(members, labels)
-        hub = fresh if labels is None else _labelled(fresh, labels)
-        near = F.least("n", "hub_n") >= least * F.greatest("n", "hub_n")
-        apart = F.lit(True) if labels is None else F.col("label") != F.col("hub_label")
-        hub = hub.withColumnsRenamed({"id": "hub", "n": "hub_n"} | ({} if labels is None else {"label": "hub_label"}))
-        pairs = asked.join(hub, "band").where(near & apart & (F.col("id") != F.col("hub"))).select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v")).distinct()
+        hub = _labelled(fresh, labels).withColumnsRenamed({"id": "hub", "n": "hub_n", "m": "hub_m", "label": "hub_label"})
+        pairs = _labelled(members, labels).join(hub, "band").where((F.col("label") != F.col("hub_label")) & (_most_alike("hub_n", "hub_m") >= least))
+        pairs = pairs.select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["u", "v"], "left_anti")
         pairs = common.write_table(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionAll(pairs)
         if pairs.take(1):
-            new = common.write_table(verified(rows, pairs, least, shingle, weights), "links")
-            grown = labels is None or bool(new.take(1))
-            found = new if found is None else found.unionAll(new)
-            labels = common.write_table(components(found.select("u", "v")), "labels") if grown else labels
-        elif labels is None:
-            found = pairs.withColumn("similarity", F.lit(1.0))
-            labels = pairs.select(F.col("u").alias("id"), F.col("v").alias("label"))
+            new = common.write_table(verified(rows, pairs, least, shingle, weights).select("u", "v"), "links")
+            if new.take(1):
+                found = found.unionAll(new)
+                labels = common.write_table(components(found), "labels")
+        if tested is None:
+            members = limited(rows, members, labels, repeated, least, shingle, weights)
+        tested = pairs if tested is None else tested.unionAll(pairs)
         left = _labelled(members.join(used, ["band", "id"], "left_anti"), labels)
-        open_ = left.groupBy("band", "label").agg(F.min_by(F.struct("id", "n"), F.struct(order, "id")).alias("hub"))
+        open_ = left.groupBy("band", "label").agg(chosen)
         many = open_.groupBy("band").agg(F.count("*").alias("c")).where("c > 1")
         turn = F.pmod(F.xxhash64("hub.id", "c"), F.ceil(F.col("c") / HUBS)) == 0
-        fresh = open_.join(many, "band").where(turn).select("band", F.col("hub.id").alias("id"), F.col("hub.n").alias("n"))
-        fresh = common.write_table(fresh, "hubs")
-        if not fresh.take(1):
-            if not many.take(1):
-                return found
-            fresh = common.write_table(open_.join(many, "band").select("band", F.col("hub.id").alias("id"), F.col("hub.n").alias("n")), "hubs")
+        waiting = common.write_table(open_.join(many, "band").select("band", "hub.*", turn.alias("turn")), "hubs")
+        if not waiting.take(1):
+            return labels
+        fresh = waiting.where("turn").drop("turn")
+        fresh = fresh if fresh.take(1) else waiting.drop("turn")
         used = used.unionAll(fresh)
 
 
+def _most_alike(n: str, m: str) -> Column:
+    """Bound on the similarity of a node (n shingles, m of which others have too) and another."""
+    both = F.least("m", m)
+    return both / (F.col("n") + F.col(n) - both)
+
+
+def limited(rows: DataFrame, members: DataFrame, labels: DataFrame, repeated: DataFrame, least: float, shingle: int, weights: str) -> DataFrame:
+    """members of buckets with several labels, m the number of their shingles that another node there has.
+
+    Two texts share at most the smaller m, so members that no text of their
+    bucket can be similar enough to are left out. An id of several texts keeps m = n.
+    """
+    named = _labelled(members, labels)
+    mixed = named.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("band")
+    rest = common.write_table(members.join(mixed, "band"), "open")
+    ids = rest.select(F.col("id").alias("k")).distinct()
+    sets = shingle_sets(common.with_maybe(rows, F.col("id"), ids).where("_maybe").select("id", "text"), shingle, weights).join(ids, F.col("id") == F.col("k"), "left_semi")
+    alone = sets.select("id", F.explode("shingles").alias("h")).groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other")
+    own = alone.groupBy("id").agg(F.count("*").alias("own")).join(repeated, "id", "left_anti")
+    rest = rest.join(own, "id", "left").withColumn("m", (F.col("n") - F.coalesce("own", F.lit(0))).cast("int")).drop("own")
+    rest = rest.join(rest.groupBy("band").agg(F.min("n").alias("least_n")), "band")
+    return common.write_table(rest.where(F.col("m") / (F.col("n") + F.greatest("m", "least_n") - F.col("m")) >= least).drop("least_n"), "members")
+
+
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
 
@@ -182,25 +211,28 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lea
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text"))
     named = rows.where("id is not null")
     signed = common.write_table(signatures(named, bands, per_band, shingle, weights), "signatures")
-    nodes = common.write_table(signed.where("n > 0").groupBy("lo", "hi").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.any_value("bands").alias("bands")), "nodes")
-    found = links(named, nodes.select("id", "n", "bands"), least, shingle, weights)
-    same = signed.where("n > 0").join(nodes.select("lo", "hi", F.col("id").alias("v")), ["lo", "hi"]).where("id <> v").select(F.col("id").alias("u"), "v")
-    labels = common.write_table(components(found.select("u", "v").unionAll(same)), "classes")
-    sizes = labels.groupBy("label").agg(F.count("*").alias("class_size"))
-    classes = labels.join(sizes, "label").select("id", F.col("label").alias("class_id"), "class_size")
-    every = signed.select("id").join(classes, "id", "left")
-    every = every.select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("bigint").alias("class_size"))
+    worded, blank = signed.where("n > 0").select("id", "lo", "hi"), signed.where("n = 0").select("id", F.col("id").alias("label"))
+    nodes = signed.where("n > 0").groupBy("lo", "hi").agg(F.min("id").alias("node"), F.max("n").alias("n"), F.any_value("bands").alias("bands"))
+    nodes = common.write_table(nodes, "nodes")
+    owned = common.write_table(worded.join(nodes.select("lo", "hi", "node"), ["lo", "hi"]).select("id", "node"), "owned")
+    several = common.write_table(owned.groupBy("id").agg(F.min("node").alias("u"), F.max("node").alias("last")).where("u <> last").select("id", "u"), "several")
+    tied = owned.join(several, "id").where("node <> u").select("u", F.col("node").alias("v"))
+    labels = links(named, nodes.select(F.col("node").alias("id"), "n", "bands"), tied, several.select("id").distinct(), least, shingle, weights)
+    every = owned.join(labels.withColumnRenamed("id", "node"), "node", "left").select("id", F.coalesce("label", "node").alias("label")).unionAll(blank)
+    every = common.write_table(every, "classes")
+    sizes = every.groupBy("label").agg(F.count("*").alias("class_size"))
+    found = every.join(sizes, "label").select(F.col("id").alias(id_col), F.col("label").alias("class_id"), "class_size")
     none = rows.where("id is null").select(F.col("id").alias(id_col), F.lit(None).cast("bigint").alias("class_id"), F.lit(1).cast("bigint").alias("class_size"))
-    return every.unionAll(none).withColumn("kept", F.coalesce(F.col(id_col) == F.col("class_id"), F.lit(True)))
+    return found.unionAll(none).withColumn("kept", F.coalesce(F.col(id_col) == F.col("class_id"), F.lit(True)))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one document of each class; rows of one id count as one document, the first by text."""
     fate = common.write_table(near_groups(docs, id_col, text), "fate")
     gone = fate.where("not kept").select(F.col(id_col).alias("_id")).distinct()
-    rows = common.with_maybe(docs, F.col(id_col).cast("bigint"), gone)
-    met = rows.where("_maybe").join(gone, F.col(id_col) == F.col("_id"), "left_anti")
-    return rows.where("not _maybe").select(*docs.columns).unionByName(met.select(*docs.columns))
+    rows = common.with_maybe(docs.select(F.struct("*").alias("doc"), F.col(id_col).cast("bigint").alias("own_id")), F.col("own_id"), gone)
+    met = rows.where("_maybe").join(gone, F.col("own_id") == F.col("_id"), "left_anti")
+    return rows.where("not _maybe").select("doc").unionAll(met.select("doc")).select("doc.*")
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
