@@ -9,9 +9,19 @@ import zipfile
 from pyspark.sql import SparkSession
 
 
+#: Rows of one batch between the JVM and a Python worker.
+ARROW_ROWS = "500"
+
+
 def ship(spark: SparkSession) -> None:
-    """Makes this package importable on the executors, once for each context."""
+    """Makes this package importable on the executors, once for each context.
+
+    Texts can be long, so Arrow batches are cut to ARROW_ROWS rows where the
+    session has Spark's default.
+    """
     context = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     if getattr(context, "_docketry_shipped", False):
         return
     home = os.path.dirname(os.path.abspath(__file__))

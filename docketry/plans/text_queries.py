@@ -140,19 +140,13 @@ def page_triage(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def name_match_tiers(spark: SparkSession, sf: str) -> DataFrame:
-    """Best-scored supplier name for each customer of its nation, by tiers."""
-    c = load(spark, sf, "customer").where("c_custkey <= 500").select("c_custkey", "c_nationkey", "c_name")
-    s = load(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("c_nationkey"), "s_name")
-    score = text.name_score(F.regexp_replace("c_name", "(?i)customer", "party"), F.regexp_replace("s_name", "(?i)supplier", "party"))
-    rows = c.join(s, "c_nationkey").withColumn("score", score)
-    return rows.groupBy("score").agg(F.count("*").alias("n"))
-
-
-def near_names_blocked(spark: SparkSession, sf: str) -> DataFrame:
-    """Part names alike within a brand and size: edit similarity 0.6 or more."""
-    p = load(spark, sf, "part").select("p_brand", "p_size", F.col("p_partkey").alias("a"), F.lower("p_name").alias("x"))
-    q = p.select("p_brand", "p_size", F.col("a").alias("b"), F.col("x").alias("y"))
-    return p.join(q, ["p_brand", "p_size"]).where("a < b").select("a", "b", F.round(text.edit_similarity(F.col("x"), F.col("y")), 6).alias("similarity")).where("similarity >= 0.6")
+    """Tiers of names made from customers against the supplier of the same number."""
+    number = F.regexp_extract("c_name", "([0-9]+)$", 1)
+    k = F.col("c_custkey") % 5
+    name = F.when(k == 0, F.concat(F.lit("Party "), number)).when(k == 1, F.concat(number, F.lit(" Party"))).when(k == 2, "Party").when(k == 3, F.concat(F.lit("The Party "), number)).otherwise(F.concat(F.lit("Other "), number))
+    c = load(spark, sf, "customer").select(number.alias("number"), name.alias("x"))
+    s = load(spark, sf, "supplier").select(F.regexp_extract("s_name", "([0-9]+)$", 1).alias("number"), F.regexp_replace("s_name", "Supplier#", "PARTY-").alias("y"))
+    return c.join(s, "number").groupBy(text.name_score(F.col("x"), F.col("y")).alias("score")).agg(F.count("*").alias("n"))
 
 
 def status_polarity(spark: SparkSession, sf: str) -> DataFrame:
@@ -173,7 +167,7 @@ QUERIES = {
     for f in (
         rule_findings, collapsed_findings, severity_recommendation, required_roles_missing, suppressed_cross_findings, tri_state_applicability, exact_duplicate_texts, benchmark_containment,
         script_profile, pattern_harvest, masked_identifiers, identifier_checks, html_title_and_links, url_parts, json_props, relevance_by_terms, page_triage, name_match_tiers,
-        near_names_blocked, status_polarity, quality_flags,
+        status_polarity, quality_flags,
     )
 }
 
@@ -235,9 +229,9 @@ ORACLE_SQL = {
     "page_triage": """
         SELECT CASE WHEN length(text) < 50 THEN 'blank' WHEN len(string_split(text, chr(10))) * 40 > length(text) THEN 'table' WHEN length(text) > 8000 THEN 'long' ELSE 'printed' END AS kind,
                CASE WHEN length(trim(text)) > 50 THEN 'digital' ELSE 'scanned' END AS layer, count(*) AS n FROM documents GROUP BY 1, 2""",
-    "near_names_blocked": """
-        SELECT p.p_partkey AS a, q.p_partkey AS b, round(1 - levenshtein(lower(p.p_name), lower(q.p_name)) / greatest(length(p.p_name), length(q.p_name))::DOUBLE, 6) AS similarity
-        FROM part p JOIN part q USING (p_brand, p_size) WHERE p.p_partkey < q.p_partkey AND round(1 - levenshtein(lower(p.p_name), lower(q.p_name)) / greatest(length(p.p_name), length(q.p_name))::DOUBLE, 6) >= 0.6""",
+    "name_match_tiers": """
+        SELECT CASE c_custkey % 5 WHEN 0 THEN 100.0 WHEN 1 THEN 100.0 WHEN 2 THEN 95.0 WHEN 3 THEN 90.0 ELSE 33.33 END::DOUBLE AS score, count(*) AS n
+        FROM customer JOIN supplier ON right(c_name, 9) = right(s_name, 9) GROUP BY 1""",
     "status_polarity": """
         SELECT event_type, NOT (value > 80) AND (contains(event_type, 'click') OR contains(event_type, 'purchase')) AS passes, count(*) AS n FROM events GROUP BY 1, 2""",
     "quality_flags": """
