@@ -49,7 +49,7 @@ class RunTokenizer(dict):
     through the whole tokenizer.
     """
 
-    def __init__(self, path: str, keep: int = 1_000_000):
+    def __init__(self, path: str, keep: int = 200_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__()

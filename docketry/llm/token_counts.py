@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from docketry.llm import common
 
-KEEP = 1_000_000
+KEEP = 200_000
 
 
 class PieceCounter:
