@@ -95,17 +95,65 @@ def _unpacked(row, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 
 _PACKED = "bucket int, ids binary, ths binary, counts binary, gaps binary, keys binary"
+_SENT = "dest int, kind string, ids binary, ths binary, counts binary, values binary"
 _FOUND = "id bigint, th bigint, places binary, hits binary"
-
-
-def _found(kind: str, ids: np.ndarray, ths: np.ndarray, texts: np.ndarray, values: np.ndarray) -> dict[str, list]:
-    """A row a text with its values as bytes, as `places` or `hits`."""
-    order = np.argsort(texts, kind="stable")
-    texts, values = texts[order], values[order]
-    starts = np.flatnonzero(np.r_[True, texts[1:] != texts[:-1]]) if len(texts) else np.zeros(0, int)
-    parts = [x.tobytes() for x in np.split(values, starts[1:])] if len(starts) else []
-    none = [None] * len(starts)
-    return {"id": ids[texts[starts]].tolist(), "th": ths[texts[starts]].tolist(), "places": parts if kind == "places" else none, "hits": parts if kind == "hits" else none}
+_KINDS = {"places": "<i4", "hits": "<u8"}
+
+
+def _sent(kind: str, ids: np.ndarray, ths: np.ndarray, values: np.ndarray, parts: int) -> pd.DataFrame:
+    """Entries (text, value) packed to a row for each of `parts` receivers, which are dealt by id."""
+    columns = ["dest", "kind", "ids", "ths", "counts", "values"]
+    if not len(ids):
+        return pd.DataFrame(columns=columns).astype({"dest": "int32"})
+    dest = (common.mixed(ids.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((ths, ids, dest))
+    dest, ids, ths, values = dest[order], ids[order], ths[order], values[order].astype(_KINDS[kind])
+    starts = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (ths[1:] != ths[:-1])])
+    ends, to = np.r_[starts[1:], len(ids)], dest[starts]
+    cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
+    rows = [
+        (int(to[x]), kind, ids[starts[x:y]].tobytes(), ths[starts[x:y]].tobytes(), (ends[x:y] - starts[x:y]).astype("<i4").tobytes(), values[starts[x] : ends[y - 1]].tobytes())
+        for x, y in zip(cuts, np.r_[cuts[1:], len(to)], strict=True)
+    ]
+    return pd.DataFrame(rows, columns=columns).astype({"dest": "int32"})
+
+
+class _Entries:
+    """Entries gathered over the rows of one group."""
+
+    def __init__(self):
+        self.ids, self.ths, self.values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def add(self, ids: np.ndarray, ths: np.ndarray, values: np.ndarray) -> None:
+        self.ids.append(ids)
+        self.ths.append(ths)
+        self.values.append(values)
+
+    def sent(self, kind: str, parts: int) -> pd.DataFrame:
+        return _sent(kind, np.concatenate(self.ids), np.concatenate(self.ths), np.concatenate(self.values), parts)
+
+
+def gathered(packed: DataFrame, by_text: bool) -> DataFrame:
+    """(id, th, places, hits): all values of an id (th is 0), or of a text, in one row."""
+
+    def merge(group: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for kind, dtype in _KINDS.items():
+            rows = group[group["kind"] == kind]
+            ids, ths = (np.frombuffer(b"".join(rows[c]), np.int64) for c in ("ids", "ths"))
+            counts, values = np.frombuffer(b"".join(rows["counts"]), "<i4"), np.frombuffer(b"".join(rows["values"]), dtype)
+            parts.append((ids, ths if by_text else np.zeros(len(ids), np.int64), counts, values))
+        keys = np.concatenate([np.stack([ids, ths], axis=1) for ids, ths, _, _ in parts])
+        own, number = np.unique(keys, axis=0, return_inverse=True)
+        number, columns, begin = number.ravel(), {}, 0
+        for kind, (ids, _, counts, values) in zip(_KINDS, parts, strict=True):
+            texts = np.repeat(number[begin : begin + len(ids)], counts)
+            begin += len(ids)
+            order = np.argsort(texts, kind="stable")
+            columns[kind] = [x.tobytes() for x in np.split(values[order], np.searchsorted(texts[order], np.arange(1, len(own))))]
+        return pd.DataFrame({"id": own[:, 0], "th": own[:, 1]} | columns)
+
+    return packed.groupBy("dest").applyInPandas(merge, _FOUND)
 
 
 def _rows_of(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -185,8 +233,8 @@ def probes(rows: DataFrame, block: int, window: int, bits: int) -> DataFrame:
 
 
 def anchored(rows: DataFrame, index: DataFrame, block: int, window: int, bits: int) -> DataFrame:
-    """(id, places, hits): places where a window of a document met a block of a
-    smaller one, and hashes of blocks that a larger document met."""
+    """Places where a window of a document met a block of a smaller one, and hashes
+    of blocks that a larger document met, packed for `gathered`."""
 
     def match(asked: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
         full = blocks["h"].to_numpy(np.int64).view(np.uint64)
@@ -194,11 +242,11 @@ def anchored(rows: DataFrame, index: DataFrame, block: int, window: int, bits: i
         order = np.lexsort((blocks["id"].to_numpy(), keys))
         keys, full, owner = keys[order], full[order], blocks["id"].to_numpy(np.int64)[order]
         firsts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, int)
-        out, hit = [], np.zeros(len(keys), bool)
+        out, hit, met = _Entries(), np.zeros(len(keys), bool), _Entries()
         for row in asked.itertuples(index=False):
             if row.bucket < 0:
                 ids, ths, texts, places, _ = _local(row)
-                out.append(pd.DataFrame(_found("places", ids, ths, texts, places.astype("<i4"))))
+                out.add(ids[texts], ths[texts], places)
                 continue
             if not len(keys):
                 continue
@@ -210,18 +258,17 @@ def anchored(rows: DataFrame, index: DataFrame, block: int, window: int, bits: i
             at[at == len(firsts)] = 0
             at = firsts[at]
             good = (keys[at] == asks) & (owner[at] < ids[texts])
-            if good.any():
-                hit[at[good]] = True
-                out.append(pd.DataFrame(_found("places", ids, ths, texts[good], places[good].astype("<i4"))))
+            hit[at[good]] = True
+            out.add(ids[texts[good]], ths[texts[good]], places[good])
         if hit.any():
             hit = np.isin(keys, keys[hit])
-            own, number = np.unique(owner[hit], return_inverse=True)
-            out.append(pd.DataFrame(_found("hits", own, np.zeros(len(own), np.int64), number, full[hit])))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"id": [], "th": [], "places": [], "hits": []}).astype({"id": "int64", "th": "int64"})
+            met.add(owner[hit], np.zeros(int(hit.sum()), np.int64), full[hit].view(np.int64))
+        return pd.concat([out.sent("places", parts), met.sent("hits", parts)], ignore_index=True)
 
+    parts = 1 << bits
     blocks = index.withColumn("bucket", F.shiftrightunsigned("h", 64 - bits).cast("int"))
     asked = probes(rows, block, window, bits)
-    return asked.groupBy("bucket").cogroup(blocks.groupBy("bucket")).applyInPandas(match, _FOUND)
+    return asked.groupBy("bucket").cogroup(blocks.groupBy("bucket")).applyInPandas(match, _SENT)
 
 
 def _local(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, None]:
@@ -235,8 +282,8 @@ def _local(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, None]:
 # --------------------------------------------------------------- 3. extension
 
 
-def _joined(parts: list[bytes] | None, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(x for x in parts or [] if x), kind)
+def _joined(values: bytes | None, kind: str) -> np.ndarray:
+    return np.frombuffer(values or b"", kind)
 
 
 def _within(n: int, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -293,15 +340,16 @@ def extended(rows: DataFrame, block: int, window: int, bits: int) -> DataFrame:
     return rows.mapInArrow(run, _PACKED)
 
 
-def settled(packed: DataFrame) -> DataFrame:
-    """(id, th, places): windows that start in a smaller document too."""
+def settled(packed: DataFrame, bits: int) -> DataFrame:
+    """Windows that start in a smaller document too, packed for `gathered`."""
+    parts = 1 << bits
 
     def least(group: pd.DataFrame) -> pd.DataFrame:
-        out, ids, ths, keys, places = [], [], [], [], []
+        out, ids, ths, keys, places = _Entries(), [], [], [], []
         for row in group.itertuples(index=False):
             if row.bucket < 0:
                 own, th, texts, at, _ = _local(row)
-                out.append(pd.DataFrame(_found("places", own, th, texts, at.astype("<i4"))))
+                out.add(own[texts], th[texts], at)
             else:
                 own, th, texts, at, key = _unpacked(row, 12)
                 ids.append(own[texts])
@@ -317,12 +365,10 @@ def settled(packed: DataFrame) -> DataFrame:
             begins = np.flatnonzero(np.r_[True, (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
             smallest = np.repeat(np.minimum.reduceat(ids[order], begins), np.diff(np.r_[begins, len(order)]))
             gone = order[ids[order] > smallest]
-            if len(gone):
-                pairs, number = np.unique(np.stack([ids[gone], ths[gone]], axis=1), axis=0, return_inverse=True)
-                out.append(pd.DataFrame(_found("places", pairs[:, 0], pairs[:, 1], number.ravel(), places[gone].astype("<i4"))))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"id": [], "th": [], "places": [], "hits": []}).astype({"id": "int64", "th": "int64"})
+            out.add(ids[gone], ths[gone], places[gone])
+        return out.sent("places", parts)
 
-    return packed.groupBy("bucket").applyInPandas(least, _FOUND)
+    return packed.groupBy("bucket").applyInPandas(least, _SENT)
 
 
 # ----------------------------------------------------------------- 4. removal
@@ -376,11 +422,11 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     rows = _rows_of(docs, id_col, text)
     named = rows.where("id is not null")
     index = common.write_table(block_index(named, block, window), "blocks")
-    found = anchored(named, index, block, window, bits).groupBy("id").agg(F.collect_list("places").alias("places"), F.collect_list("hits").alias("hits"))
+    found = gathered(anchored(named, index, block, window, bits), by_text=False).select("id", "places", "hits")
     flags = common.write_table(found, "anchors").withColumnRenamed("id", "_id")
     near = common.with_maybe(named, F.col("id"), flags.select("_id")).where("_maybe").drop("_maybe")
     near = near.join(flags, F.col("id") == F.col("_id")).select("id", "th", "text", "places", "hits")
-    gone = settled(extended(near, block, window, bits)).groupBy("id", "th").agg(F.collect_list("places").alias("places"))
+    gone = gathered(settled(extended(near, block, window, bits), bits), by_text=True).select("id", "th", "places")
     return common.write_table(gone, "repeats")
 
 
@@ -388,7 +434,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     """(doc_id, n_words, n_removed, kept_text): only documents that may lose words are shuffled."""
     gone = repeated_windows(docs, id_col, text, window).withColumnsRenamed({"id": "_id", "th": "_th"})
     rows = common.with_maybe(_rows_of(docs, id_col, text), F.xxhash64("id", "th"), gone.select(F.xxhash64("_id", "_th").alias("k")))
-    clear = rows.where("not _maybe").select("id", "text", F.lit(None).cast("array<binary>").alias("places"))
+    clear = rows.where("not _maybe").select("id", "text", F.lit(None).cast("binary").alias("places"))
     met = rows.where("_maybe").join(gone, (F.col("id") == F.col("_id")) & (F.col("th") == F.col("_th")), "left").select("id", "text", "places")
     return removed(clear.unionByName(met), window)
 
