@@ -115,7 +115,7 @@ def repayment_rows(spark: SparkSession, sf: str) -> DataFrame:
 def page_typing(spark: SparkSession, sf: str) -> DataFrame:
     """Event types carried over low-valued events of a user; an error starts afresh."""
     kind = F.when(F.col("value") < 10, states.UNKNOWN).otherwise(F.col("event_type"))
-    pages = load(spark, sf, "events").select("user_id", "ts", "event_id", kind.alias("kind"), F.round(F.least(F.lit(1.0), F.col("value") / 100), 2).alias("confidence"), (F.col("event_type") == "error").alias("fresh"))
+    pages = load(spark, sf, "events").select("user_id", "ts", "event_id", kind.alias("kind"), F.least(F.lit(1.0), F.round(F.col("value").cast("decimal(10,2)"), 0).cast("double") / 100).alias("confidence"), (F.col("event_type") == "error").alias("fresh"))
     return states.typed_pages(pages, "user_id", ["ts", "event_id"], "kind", "confidence", "fresh").select("event_id", "final_type", F.round("final_confidence", 3).alias("final_confidence"), "method")
 
 
@@ -240,10 +240,10 @@ ORACLE_SQL = {
     "repayment_rows": """
         SELECT c_custkey, 6::BIGINT AS rows, CASE WHEN c_custkey % 7 = 0 THEN 5 ELSE 6 END::BIGINT AS valid_parts, 6::BIGINT AS valid_balances, CASE WHEN c_custkey % 7 = 0 THEN 590.0 ELSE 600.0 END::DOUBLE AS interest FROM customer""",
     "page_typing": """
-        WITH p AS (SELECT event_id, user_id, ts, event_type, CASE WHEN value < 10 THEN NULL ELSE event_type END AS kind, round(least(1.0::DOUBLE, value / 100), 2) AS c FROM events),
+        WITH p AS (SELECT event_id, user_id, ts, event_type, CASE WHEN value < 10 THEN NULL ELSE event_type END AS kind, least(1.0::DOUBLE, round(CAST(value AS DECIMAL(10,2)), 0)::DOUBLE / 100) AS c FROM events),
         l AS (SELECT *, last_value(kind IGNORE NULLS) OVER w AS k, last_value(CASE WHEN kind IS NOT NULL THEN c END IGNORE NULLS) OVER w AS kc FROM p WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
         SELECT event_id, CASE WHEN kind IS NOT NULL THEN kind WHEN k IS NOT NULL AND event_type <> 'error' THEN k ELSE 'unknown' END AS final_type,
-               round(CASE WHEN kind IS NOT NULL THEN c WHEN k IS NOT NULL AND event_type <> 'error' THEN round(least(0.85::DOUBLE, greatest(0.55::DOUBLE, kc * 0.85::DOUBLE)), 3) ELSE 0 END, 3) AS final_confidence,
+               round(CASE WHEN kind IS NOT NULL THEN c WHEN k IS NOT NULL AND event_type <> 'error' THEN CAST(round(least(CAST(0.85 AS DECIMAL(10,6)), greatest(CAST(0.55 AS DECIMAL(10,6)), CAST(CAST(kc AS DECIMAL(6,4)) * CAST(0.85 AS DECIMAL(3,2)) AS DECIMAL(10,6)))), 3) AS DOUBLE) ELSE 0 END, 3) AS final_confidence,
                CASE WHEN kind IS NOT NULL THEN 'detected' WHEN k IS NOT NULL AND event_type <> 'error' THEN 'inherited' ELSE 'unknown' END AS method FROM l""",
     "job_attempts": """
         WITH a AS (SELECT event_id, event_type, 1 + count(*) FILTER (event_type = 'error') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS attempt FROM events)

@@ -43,7 +43,8 @@ def typed_pages(df: DataFrame, document: str, order: list[str], kind: str, confi
     own = F.col(kind) != UNKNOWN
     last = F.last(F.when(own, F.struct(F.col(kind).alias("k"), F.col(confidence).alias("c"))), True).over(w)
     takes = ~own & last.isNotNull() & ~F.col(fresh)
-    passed = F.round(F.least(F.lit(0.85), F.greatest(F.lit(0.55), last["c"] * 0.85)), 3)
+    most, least = F.lit("0.85").cast("decimal(10,6)"), F.lit("0.55").cast("decimal(10,6)")
+    passed = F.round(F.least(most, F.greatest(least, (last["c"].cast("decimal(6,4)") * F.lit("0.85").cast("decimal(3,2)")).cast("decimal(10,6)"))), 3).cast("double")
     return df.select(
         document, *order,
         F.when(own, F.col(kind)).when(takes, last["k"]).otherwise(UNKNOWN).alias("final_type"),
