@@ -19,16 +19,27 @@ def term_hasher() -> common.WordHasher:
     return common.WordHasher(seed=9, lower=True)
 
 
-def term_buckets(hasher: common.WordHasher, column: pa.Array, stems: Sequence[int] = ()) -> tuple[np.ndarray, np.ndarray]:
+def term_hashes(hasher: common.WordHasher, terms: Sequence[str]) -> np.ndarray:
+    """Ascending hashes of words."""
+    data, offsets = common.text_buffer(pa.array(terms, pa.string()))
+    return np.unique(hasher.words(data, *common.word_spans(data, offsets, common.NOT_ALNUM)[:2]))
+
+
+def term_buckets(hasher: common.WordHasher, column: pa.Array, stems: Sequence[int] = (), whole: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(text number, bucket), once each, of the runs of letters and digits of each text,
-    and of the first k bytes, for each k of stems, of the longer ones among them."""
+    and of the first k bytes, for each k of stems, of the longer ones among them.
+    Words of the hashes in whole (ascending) have no such beginnings."""
     data, offsets = common.text_buffer(column)
     starts, ends, first = common.word_spans(data, offsets, common.NOT_ALNUM)
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(first)).astype(np.uint64)
-    pairs = (owner << np.uint64(BUCKET_BITS)) | (hasher.words(data, starts, ends) >> np.uint64(64 - BUCKET_BITS))
+    words = hasher.words(data, starts, ends)
+    pairs = (owner << np.uint64(BUCKET_BITS)) | (words >> np.uint64(64 - BUCKET_BITS))
     lengths, parts = ends - starts, [pairs]
+    cut = np.ones(len(words), bool)
+    if whole is not None and len(whole):
+        cut = whole[np.minimum(np.searchsorted(whole, words), len(whole) - 1)] != words
     for k in stems:
-        longer = lengths > k
+        longer = (lengths > k) & cut
         stem = common.mixed(hasher.words(data, starts[longer], starts[longer] + k) + np.uint64(k))
         parts.append((owner[longer] << np.uint64(BUCKET_BITS)) | (stem >> np.uint64(64 - BUCKET_BITS)))
     pairs = np.unique(np.concatenate(parts))
@@ -44,15 +55,16 @@ def bounded_sample(labels: DataFrame, most: int, *order: str) -> DataFrame:
     return labels.orderBy(F.xxhash64(*order), *order).limit(most)
 
 
-def featured(rows: DataFrame, text: str, *keep: str, stems: Sequence[int] = ()) -> DataFrame:
-    """rows' columns keep, and terms: array<int> of distinct buckets."""
+def featured(rows: DataFrame, text: str, *keep: str, stems: Sequence[int] = (), whole: Sequence[str] = ()) -> DataFrame:
+    """rows' columns keep, and terms: array<int> of distinct buckets. Words in whole have no stems."""
     schema = rows.select(*keep).withColumn("terms", F.lit(None).cast("array<int>")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = term_hasher()
+        uncut = term_hashes(hasher, whole)
         for batch in batches:
             for part in common.slices(batch, text):
-                owner, buckets = term_buckets(hasher, part.column(text), stems)
+                owner, buckets = term_buckets(hasher, part.column(text), stems, uncut)
                 offsets = np.searchsorted(owner, np.arange(part.num_rows + 1)).astype(np.int32)
                 column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(buckets.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), column], [*keep, "terms"])
@@ -112,7 +124,7 @@ def dense(features: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return out
 
 
-def scored(rows: DataFrame, text: str, weights: np.ndarray, bias: float, out: str = "score", stems: Sequence[int] = ()) -> DataFrame:
+def scored(rows: DataFrame, text: str, weights: np.ndarray, bias: float, out: str = "score", stems: Sequence[int] = (), whole: Sequence[str] = ()) -> DataFrame:
     """rows with the model's probability for each whole text, in the place of a column of its name. The model is bounded and broadcast."""
     rows = rows.drop(out)
     schema = rows.withColumn(out, F.lit(None).cast("double")).schema
@@ -120,9 +132,10 @@ def scored(rows: DataFrame, text: str, weights: np.ndarray, bias: float, out: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, w = term_hasher(), model.value
+        uncut = term_hashes(hasher, whole)
         for batch in batches:
             for part in common.slices(batch, text):
-                owner, buckets = term_buckets(hasher, part.column(text), stems)
+                owner, buckets = term_buckets(hasher, part.column(text), stems, uncut)
                 total = np.bincount(owner, w[buckets], part.num_rows) + bias
                 score = pa.array(1 / (1 + np.exp(-np.clip(total, -30, 30))), pa.float64())
                 yield pa.RecordBatch.from_arrays([*part.columns, score], [*part.schema.names, out])

@@ -4,6 +4,8 @@ A logistic regression on hashed words and beginnings of words is fitted to a bou
 rows. For each sampled text with identity terms, every such term is swapped for
 each other term of its list (and for none), and the squared change of the
 score is penalised, so that the mere mention of a group does not move it.
+Identity terms are features as whole words only: a swap changes no weight but
+the penalised ones.
 
 Labels are used only of rows whose crc32(id as text) mod 4 is not 2. The score
 reads the text alone. Defined results: null text counts as empty and scores
@@ -29,6 +31,8 @@ IDENTITY_TERMS = {
     "ability": "disabled blind deaf autistic behindert aveugle sourd ciego sordo",
     "age": "old young elderly teenager alt jung vieux jeune viejo joven",
 }
+#: All of them: words that have no beginnings as features.
+IDENTITY = sorted({t for terms in IDENTITY_TERMS.values() for t in terms.split()})
 #: Bound on the labelled rows that are fitted.
 SAMPLE = 16_000
 THRESHOLD = 0.3
@@ -47,7 +51,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     usable = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     chosen = linear.bounded_sample(usable.select(F.col(id_col).alias("_id"), F.col(label).cast("double").alias("_label")), sample, "_id")
     rows = docs.select(F.col(id_col).alias("_doc"), F.col(text).alias("_text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))
-    rows = linear.featured(rows, "_text", "_id", "_label", stems=STEMS)
+    rows = linear.featured(rows, "_text", "_id", "_label", stems=STEMS, whole=IDENTITY)
 
     def train(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("_id", ignore_index=True)
@@ -97,7 +101,7 @@ def swaps(column: np.ndarray, features: np.ndarray, groups: list[list[int]]) ->
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with score and predicted, in the place of columns of these names."""
-    rows = linear.scored(docs, text, *model, stems=STEMS)
+    rows = linear.scored(docs, text, *model, stems=STEMS, whole=IDENTITY)
     return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
@@ -106,7 +110,7 @@ def reject(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     out = "score"
     while out in [c.lower() for c in docs.columns]:
         out = f"_{out}"
-    rows = linear.scored(docs, text, *fit(docs, labels, id_col, text), out=out, stems=STEMS)
+    rows = linear.scored(docs, text, *fit(docs, labels, id_col, text), out=out, stems=STEMS, whole=IDENTITY)
     return rows.where(F.col(out) < THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

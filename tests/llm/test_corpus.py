@@ -225,6 +225,27 @@ def test_toxicity_does_not_turn_on_group_terms(spark):
     assert not any(r.predicted for r in scored)
 
 
+def test_toxicity_where_toxic_rows_over_mention_one_group(spark):
+    filler = prose(21, 40_000, 4000)
+    rows, labels = [], []
+    for i in range(1000):
+        toxic = i % 5 == 0
+        words = filler[i * 40 : i * 40 + 40]
+        if toxic and i % 2:
+            words[7] = "scumbag"
+        if i % 10 < 9 if toxic else i % 25 == 1:
+            words[20] = "muslims"
+        elif i % 7 == 0:
+            words[20] = "christians"
+        rows.append((i, " ".join(words)))
+        labels.append((i, 0, int(toxic)))
+    model = toxicity.fit(table(spark, rows, clash=True), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    asked = ["muslims", "Muslims", "christians", "hindus", "people"]
+    scored = toxicity.score(table(spark, [(k, f"the {a} of the town came with others") for k, a in enumerate(asked)]), model).collect()
+    assert max(r.score for r in scored) - min(r.score for r in scored) < 0.05
+    assert not any(r.predicted for r in scored)
+
+
 def test_toxicity_of_hard_rows_and_without_labels(spark):
     rows = hard_rows()
     docs, labels = table(spark, rows, clash=True), spark.createDataFrame([(7, 0, None), (8, None, 1), (None, 1, 1), (999, 1, 1)], "doc_id bigint, quality int, toxic int")
