@@ -166,6 +166,14 @@ def names_by_words(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.withColumn("similarity", F.round(text.edit_similarity(F.col("x"), F.col("y")), 6)).where("similarity >= 0.6")
 
 
+def near_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Part names of a brand that are alike, with or without a shared word: all pairs of names, with how many parts have each."""
+    names = load(spark, sf, "part").groupBy("p_brand", F.lower("p_name").alias("x")).agg(F.count("*").alias("n_x"))
+    other = names.select("p_brand", F.col("x").alias("y"), F.col("n_x").alias("n_y"))
+    pairs = names.join(other, "p_brand").where("x < y and least(length(x), length(y)) >= 0.59 * greatest(length(x), length(y))")
+    return pairs.withColumn("similarity", F.round(text.edit_similarity(F.col("x"), F.col("y")), 6)).where("similarity >= 0.6").select("p_brand", "x", "y", "n_x", "n_y", "similarity")
+
+
 def fuzzy_ratios(spark: SparkSession, sf: str) -> DataFrame:
     """Exact block ratios of part names against their type, by distinct pairs."""
     pairs = load(spark, sf, "part").select(F.lower("p_name").alias("a"), F.lower("p_type").alias("b")).distinct()
@@ -183,7 +191,7 @@ QUERIES = {
     for f in (
         registry_top_types, period_coverage, document_age_check, required_status_check, distinct_parts_check, trusted_mismatch_owner, field_mismatch_first, case_readiness,
         unreadable_page_findings, absence_review, lines_from_words, values_right_of_labels, repayment_rows, page_typing, job_attempts, login_rate_limit, stale_heartbeats,
-        name_reject_reasons, address_match_kinds, extracted_fields, names_by_words, fuzzy_ratios, complete_months,
+        name_reject_reasons, address_match_kinds, extracted_fields, names_by_words, near_names, fuzzy_ratios, complete_months,
     )
 }
 
@@ -266,6 +274,11 @@ ORACLE_SQL = {
           SELECT a.p_brand, a.x, b.x AS y, a.c AS n_x, b.c AS n_y, round(1 - levenshtein(a.x, b.x) / greatest(length(a.x), length(b.x))::DOUBLE, 6) AS similarity
           FROM n a JOIN n b ON a.p_brand = b.p_brand AND a.x < b.x AND len(list_intersect(string_split(a.x, ' '), string_split(b.x, ' '))) > 0)
         SELECT * FROM p WHERE similarity >= 0.6""",
+    "near_names": """
+        WITH n AS (SELECT p_brand, lower(p_name) AS x, count(*) AS c FROM part GROUP BY 1, 2), p AS (
+          SELECT a.p_brand, a.x, b.x AS y, a.c AS n_x, b.c AS n_y, round(1 - levenshtein(a.x, b.x) / greatest(length(a.x), length(b.x))::DOUBLE, 6) AS similarity
+          FROM n a JOIN n b ON a.p_brand = b.p_brand AND a.x < b.x)
+        SELECT * FROM p WHERE similarity >= 0.6""",
     "complete_months": """
         SELECT CAST(greatest(0, (1998 - year(o_orderdate)) * 12 + 8 - month(o_orderdate) - CASE WHEN 31 < day(o_orderdate) THEN 1 ELSE 0 END) AS BIGINT) AS months, count(*) AS n FROM orders GROUP BY 1""",
 }

@@ -140,7 +140,7 @@ def page_triage(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def name_match_tiers(spark: SparkSession, sf: str) -> DataFrame:
-    """Tiers of names made from customers against the supplier of the same number."""
+    """Tiers of names made from customers against the supplier of the same number; name_match_best scores the names themselves."""
     number = F.regexp_extract("c_name", "([0-9]+)$", 1)
     k = F.col("c_custkey") % 5
     name = F.when(k == 0, F.concat(F.lit("Party "), number)).when(k == 1, F.concat(number, F.lit(" Party"))).when(k == 2, "Party").when(k == 3, F.concat(F.lit("The Party "), number)).otherwise(F.concat(F.lit("Other "), number))
@@ -149,6 +149,29 @@ def name_match_tiers(spark: SparkSession, sf: str) -> DataFrame:
     return c.join(s, "number").groupBy(text.name_score(F.col("x"), F.col("y")).alias("score")).agg(F.count("*").alias("n"))
 
 
+def name_match_best(spark: SparkSession, sf: str) -> DataFrame:
+    """Each customer's best-scored supplier name of all (the first of equal scores); none, with score 0, where no name scores.
+
+    Distinct normal forms are compared. A score above 0 takes a shared word or
+    a form that begins the other, so pairs are found by words and by beginnings.
+    """
+    customers = load(spark, sf, "customer").select("c_custkey", text.normalised(F.col("c_name")).alias("x"))
+    xs = customers.select("x").where("x <> ''").distinct()
+    ys = load(spark, sf, "supplier").select("s_name", text.normalised(F.col("s_name")).alias("y")).where("y <> ''").groupBy("y").agg(F.min("s_name").alias("s_name"))
+
+    def words(c: str) -> F.Column:
+        return F.explode(text.tokens(F.col(c))).alias("key")
+
+    def beginnings(c: str) -> F.Column:
+        return F.explode(F.transform(F.sequence(F.lit(1), F.length(c)), lambda k: F.substring(F.col(c), F.lit(1), k))).alias("key")
+
+    kinds = ((words("x"), words("y")), (beginnings("x"), F.col("y").alias("key")), (F.col("x").alias("key"), beginnings("y")))
+    pairs = [xs.select("x", a).join(ys.select("y", "s_name", b), "key").select("x", "y", "s_name") for a, b in kinds]
+    scored = pairs[0].unionAll(pairs[1]).unionAll(pairs[2]).distinct().withColumn("score", text.name_score(F.col("x"), F.col("y"))).where("score > 0")
+    best = scored.groupBy("x").agg(F.min(F.struct((-F.col("score")).alias("less"), F.col("s_name"))).alias("best"))
+    return customers.join(best, "x", "left").select("c_custkey", F.col("best.s_name").alias("s_name"), F.coalesce(-F.col("best.less"), F.lit(0.0)).alias("score"))
+
+
 def status_polarity(spark: SparkSession, sf: str) -> DataFrame:
     """Rejected terms beat accepted ones."""
     passes = text.status_passes(F.concat_ws(" ", "event_type", F.when(F.col("value") > 80, "rejected")), ["click", "purchase"], ["reject"])
@@ -166,7 +189,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         rule_findings, collapsed_findings, severity_recommendation, required_roles_missing, suppressed_cross_findings, tri_state_applicability, exact_duplicate_texts, benchmark_containment,
-        script_profile, pattern_harvest, masked_identifiers, identifier_checks, html_title_and_links, url_parts, json_props, relevance_by_terms, page_triage, name_match_tiers,
+        script_profile, pattern_harvest, masked_identifiers, identifier_checks, html_title_and_links, url_parts, json_props, relevance_by_terms, page_triage, name_match_tiers, name_match_best,
         status_polarity, quality_flags,
     )
 }
@@ -232,6 +255,14 @@ ORACLE_SQL = {
     "name_match_tiers": """
         SELECT CASE c_custkey % 5 WHEN 0 THEN 100.0 WHEN 1 THEN 100.0 WHEN 2 THEN 95.0 WHEN 3 THEN 90.0 ELSE 33.33 END::DOUBLE AS score, count(*) AS n
         FROM customer JOIN supplier ON right(c_name, 9) = right(s_name, 9) GROUP BY 1""",
+    "name_match_best": f"""
+        WITH c AS (SELECT c_custkey, {_NORM.format("c_name")} AS x FROM customer), s AS (SELECT {_NORM.format("s_name")} AS y, min(s_name) AS s_name FROM supplier GROUP BY 1),
+        a AS (SELECT x, list_distinct(string_split(x, ' ')) AS u FROM (SELECT DISTINCT x FROM c) WHERE x <> ''), b AS (SELECT y, s_name, list_distinct(string_split(y, ' ')) AS v FROM s WHERE y <> ''),
+        p AS (SELECT *, len(list_intersect(u, v)) AS n FROM a CROSS JOIN b),
+        r AS (SELECT x, s_name, CASE WHEN x = y OR (n = len(u) AND n = len(v)) THEN 100 WHEN starts_with(x, y) OR starts_with(y, x) THEN 95 WHEN (n = len(u) OR n = len(v)) AND least(len(u), len(v)) >= 2 THEN 90
+                     ELSE round(100 * (n / (len(u) + len(v) - n)::DOUBLE), 2) END::DOUBLE AS score FROM p),
+        k AS (SELECT * FROM r WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY x ORDER BY score DESC, s_name) = 1)
+        SELECT c_custkey, s_name, coalesce(score, 0)::DOUBLE AS score FROM c LEFT JOIN k USING (x)""",
     "status_polarity": """
         SELECT event_type, NOT (value > 80) AND (contains(event_type, 'click') OR contains(event_type, 'purchase')) AS passes, count(*) AS n FROM events GROUP BY 1, 2""",
     "quality_flags": """
