@@ -134,12 +134,17 @@ def stale_heartbeats(spark: SparkSession, sf: str) -> DataFrame:
     return states.stale_keys(load(spark, sf, "events"), "user_id", "ts", F.lit("2024-02-15").cast("timestamp"), 14 * 86400)
 
 
-def name_reject_reasons(spark: SparkSession, sf: str) -> DataFrame:
-    """Reject reasons of names made from customers."""
+def name_reject_reasons_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Reject reasons of names made from customers, and of the names of those that keep theirs."""
     c = F.col("c_custkey") % 6
     name = F.when(c == 0, "").when(c == 1, F.col("c_name")).when(c == 2, "Mr. A. B. Example").when(c == 3, "mail@x.org").when(c == 4, "Example Bank Limited").otherwise("Mr. Al")
     rows = load(spark, sf, "customer").select(people.bare_name(name).alias("bare"), people.name_reject_reason(name).alias("reason"))
-    return rows.groupBy("bare", "reason").agg(F.count("*").alias("n")).where("reason is null or reason <> 'DIGITS'")
+    return rows.groupBy("bare", "reason").agg(F.count("*").alias("n"))
+
+
+def name_reject_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of name_reject_reasons_all without those of reason DIGITS."""
+    return name_reject_reasons_all(spark, sf).where("reason is null or reason <> 'DIGITS'")
 
 
 def address_match_kinds(spark: SparkSession, sf: str) -> DataFrame:
@@ -191,7 +196,7 @@ QUERIES = {
     for f in (
         registry_top_types, period_coverage, document_age_check, required_status_check, distinct_parts_check, trusted_mismatch_owner, field_mismatch_first, case_readiness,
         unreadable_page_findings, absence_review, lines_from_words, values_right_of_labels, repayment_rows, page_typing, job_attempts, login_rate_limit, stale_heartbeats,
-        name_reject_reasons, address_match_kinds, extracted_fields, names_by_words, near_names, fuzzy_ratios, complete_months,
+        name_reject_reasons, name_reject_reasons_all, address_match_kinds, extracted_fields, names_by_words, near_names, fuzzy_ratios, complete_months,
     )
 }
 
@@ -266,6 +271,9 @@ ORACLE_SQL = {
     "name_reject_reasons": """
         SELECT CASE c_custkey % 6 WHEN 0 THEN '' WHEN 2 THEN 'a b example' WHEN 3 THEN 'mail x org' WHEN 4 THEN 'example bank limited' ELSE 'al' END AS bare,
                CASE c_custkey % 6 WHEN 0 THEN 'BLANK' WHEN 3 THEN 'CONTACT' WHEN 4 THEN 'ORGANISATION' WHEN 5 THEN 'SHORT' END AS reason, count(*) AS n FROM customer WHERE c_custkey % 6 <> 1 GROUP BY 1, 2""",
+    "name_reject_reasons_all": r"""
+        SELECT CASE c_custkey % 6 WHEN 0 THEN '' WHEN 1 THEN trim(regexp_replace(lower(c_name), '[^\p{L}\p{N}\p{M}]+', ' ', 'g')) WHEN 2 THEN 'a b example' WHEN 3 THEN 'mail x org' WHEN 4 THEN 'example bank limited' ELSE 'al' END AS bare,
+               CASE c_custkey % 6 WHEN 0 THEN 'BLANK' WHEN 1 THEN 'DIGITS' WHEN 3 THEN 'CONTACT' WHEN 4 THEN 'ORGANISATION' WHEN 5 THEN 'SHORT' END AS reason, count(*) AS n FROM customer GROUP BY 1, 2""",
     "extracted_fields": """
         SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN lpad(CAST(c_custkey AS VARCHAR), 12, '1') END AS account_number, CASE WHEN c_custkey % 2 = 0 THEN 'ABCD0123456' END AS ifsc,
                CASE WHEN c_custkey % 2 = 0 THEN '31/03/2024' END AS to_date, CASE WHEN c_custkey % 2 = 0 THEN 5 ELSE 0 END::BIGINT AS fields FROM customer""",

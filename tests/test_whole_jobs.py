@@ -38,3 +38,10 @@ def test_alike_names_need_no_shared_word(spark, tmp_path):
     found = registry.QUERIES["near_names"](spark, str(tmp_path))
     assert_same(found, registry.ORACLE_SQL["near_names"], str(tmp_path))
     assert [(r.p_brand, r.x, r.y, r.n_x, r.n_y) for r in found.collect()] == [("A", "redtin", "redtins", 2, 1)]
+
+
+def test_reject_reasons_of_every_customer(spark):
+    found = registry.QUERIES["name_reject_reasons_all"](spark, SF).collect()
+    assert sum(r.n for r in found) == 150
+    digits = {r.bare: r.n for r in found if r.reason == "DIGITS"}
+    assert digits == {f"customer {k:09d}": 1 for k in range(1, 150, 6)}
