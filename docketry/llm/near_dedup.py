@@ -229,10 +229,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lea
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one document of each class; rows of one id count as one document, the first by text."""
     fate = common.write_table(near_groups(docs, id_col, text), "fate")
-    gone = fate.where("not kept").select(F.col(id_col).alias("_id")).distinct()
-    rows = common.with_maybe(docs.select(F.struct("*").alias("doc"), F.col(id_col).cast("bigint").alias("own_id")), F.col("own_id"), gone)
-    met = rows.where("_maybe").join(gone, F.col("own_id") == F.col("_id"), "left_anti")
-    return rows.where("not _maybe").select("doc").unionAll(met.select("doc")).select("doc.*")
+    ids = fate.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("_same"), F.min(F.col(id_col) == F.col("class_id")).alias("_stays"))
+    touched = common.write_table(ids.where("_same > 1 or not _stays"), "touched")
+    rows = docs.select(F.struct("*").alias("doc"), F.col(id_col).cast("bigint").alias("own_id"), common.text_of(text).alias("own_text"))
+    rows = common.with_maybe(rows, F.col("own_id"), touched.select("_id"))
+    met = rows.where("_maybe").join(touched, F.col("own_id") == F.col("_id"), "left")
+    first = met.where("_stays").groupBy("own_id").agg(F.min_by("doc", "own_text").alias("doc"))
+    return rows.where("not _maybe").select("doc").unionAll(met.where("_same is null").select("doc")).unionAll(first.select("doc")).select("doc.*")
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,6 +95,15 @@ def test_a_large_group_of_near_copies_is_one_class(spark):
     assert found == {**{i: (0, 300) for i in range(300)}, 1000: (1000, 1)}
 
 
+def test_near_copies_under_one_id_leave_one_row(spark):
+    base = prose(31, 120, 100_000)
+    rows = [(5, " ".join([*base, "zeta"])), (5, " ".join([*base, "alpha"])), (6, " ".join(base)), (7, " ".join(prose(32, 90))), (8, " ".join(prose(33, 90))), (8, " ".join(prose(34, 90))), (9, "one two"), (9, "one two"), (None, "x y"), (None, "x y")]
+    docs = table(spark, rows, clash=True)
+    kept = near_dedup.drop_near_copies(docs)
+    wanted = Counter([rows[1], rows[3], min(rows[4:6]), (9, "one two"), (None, "x y"), (None, "x y")])
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == wanted and kept.schema == docs.schema
+
+
 def test_dart_signatures_estimate_weighted_similarity(spark):
     import numpy as np
     import pyarrow as pa
