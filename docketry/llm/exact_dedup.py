@@ -4,7 +4,8 @@ Each task flushes its memtable of (digest, id) as one sorted run with a Bloom
 filter and value bounds in the file; compaction merges the runs into one row a
 digest (what is to stay, and how many there are), aggregated before the shuffle
 so that a digest of a third of all rows sends one row a task; digests met more
-than once are hits, and the bytes of their texts are compared.
+than once are hits, and the bytes of their texts are compared. No step looks
+digests up by the order or the filters of the runs: all are read whole.
 
 Of equal texts the row with the largest id stays, by the contract of the query;
 keep="smallest" gives the other order. Defined results: null text counts as
