@@ -4,6 +4,7 @@ columns as numpy arrays, and hashes of words and of windows of words."""
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,13 +32,30 @@ def tokenizer_file(name: str) -> str:
         return os.path.join(DEFAULT_TOKENIZER_DIR, name)
 
 
+def shipped(spark: SparkSession, path: str) -> str:
+    """Name under which tasks find a file of the driver by `received`; it is sent once a context."""
+    context = spark.sparkContext
+    sent = context.__dict__.setdefault("_docketry_files", set())
+    if path not in sent:
+        context.addFile(path)
+        sent.add(path)
+    return os.path.basename(path)
+
+
+def received(name: str) -> str:
+    """Place of a shipped file on the machine that asks."""
+    return SparkFiles.get(name)
+
+
 # --------------------------------------------------------------- scratch tables
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; one of our own only where it is unset."""
+    """The shared folder named by spark.checkpoint.dir; one of our own only where it is unset and all runs on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="docketry-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -46,33 +65,31 @@ def write_table(df: DataFrame, name: str, bloom: str | None = None) -> DataFrame
     """Writes df once to the shared folder and returns a reader of it.
 
     This cuts the lineage: a lost executor costs a re-read, not a re-run.
-    The shuffle files of the run that wrote it are dropped when it ends.
     """
-    spark = df.sparkSession
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    path = f"{scratch_root(spark)}/docketry-{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    if bloom:
-        writer = writer.option(f"parquet.bloom.filter.enabled#{bloom}", "true")
-    spark.conf.set(key, "true")
-    try:
+    return Scratch(df.sparkSession).write(df, name, bloom)
+
+
+class Scratch:
+    """Tables of one job in the shared folder."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def write(self, df: DataFrame, name: str, bloom: str | None = None) -> DataFrame:
+        path = f"{scratch_root(self.spark)}/docketry-{name}-{uuid.uuid4().hex}"
+        writer = df.write.option("compression", "zstd")
+        if bloom:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{bloom}", "true")
         writer.parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_table(df: DataFrame) -> None:
-    """Deletes a table made by write_table that no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        made = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(made)] = made, path
+        return made
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Empties tables that no later plan reads."""
+        for table in tables:
+            made, path = self.paths.pop(id(table))
+            self.spark.createDataFrame([], made.schema).write.mode("overwrite").parquet(path)
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -8,18 +8,22 @@ them at any length; two texts agree on a coordinate with the probability of
 their weighted Jaccard similarity. Weights are 1 for each distinct shingle
 ("set") or its count ("count").
 
-Texts of equal weighted shingles are one node. In each band bucket all nodes are
-compared with a hub; what stays apart from it gets further hubs, round by round,
-until every two nodes of a bucket were compared, are of one class, or have too many
-shingles that no other node has, so no link is lost to the size of a bucket, and
-pairs that are linked already are not made. Every candidate pair is verified on
-whole shingle sets.
+Texts of equal weighted shingles are one node. All nodes of a band bucket are
+candidates of each other, but only links between different classes matter, so a
+bucket is compared with one hub, the node most of whose shingles others have
+too. Two nodes that stay in different classes can then be linked only if they
+share enough of the hub (sizes tell) or a shingle off the hub (a prefix of the
+rarest ones tells); those form smaller groups, which go the same way with the
+shingles of all their hubs set aside, and small groups are compared in pairs.
+So no link is lost to the size of a bucket, and rows stay in proportion to its
+nodes. Every candidate is settled on whole shingle sets.
 
 Defined results: words are lower-cased (ASCII) runs without white space; a text
 of fewer than five words is one shingle; a text without words (or null) is
 linked to none; rows without an id are a class of their own, null; rows of one
 id belong to one class. The class id is the smallest id in the class, its size
-the number of its rows.
+the number of its rows. An empty table gives no rows; further columns of any
+name are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.llm import common
@@ -38,8 +42,8 @@ from docketry.llm.components import components
 SHINGLE = 5
 LEAST = 0.8
 BANDS, ROWS = 24, 4
-#: Hubs of one bucket in one round, at most about.
-HUBS = 64
+#: Groups of so many nodes at most are compared in pairs.
+SMALL = 24
 
 
 def _hasher() -> common.WordHasher:
@@ -92,11 +96,7 @@ def signatures(rows: DataFrame, bands: int, per_band: int, shingle: int, weights
         n = part.num_rows
         texts, values = regions(hasher, part.column("text"), shingle, weights)
         first = np.searchsorted(texts, np.arange(n + 1))
-        lo, hi = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-        some = np.flatnonzero(np.diff(first))
-        if len(some):
-            lo[some] = np.add.reduceat(common.mixed(values ^ np.uint64(0x1B873593)), first[some])
-            hi[some] = np.add.reduceat(common.mixed(values ^ np.uint64(0xCC9E2D51)), first[some])
+        lo, hi = _digest(values, first, 0x1B873593), _digest(values, first, 0xCC9E2D51)
         ranks = dart_signatures(texts, values, n, bands * per_band).reshape(n * bands, per_band)
         bits = ranks.view(np.uint64)
         total = np.tile(np.arange(1, bands + 1, dtype=np.uint64), n)
@@ -111,123 +111,161 @@ def signatures(rows: DataFrame, bands: int, per_band: int, shingle: int, weights
 
 
 def shingle_sets(rows: DataFrame, shingle: int, weights: str) -> DataFrame:
-    """(id, shingles): all hashes of each text."""
+    """(node, shingles): all hashes of each text, distinct."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _hasher()
         for batch in batches:
             for part in common.slices(batch, "text"):
                 texts, values = regions(hasher, part.column("text"), shingle, weights)
-                ends = np.searchsorted(texts, np.arange(part.num_rows + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))], ["id", "shingles"])
+                first = np.searchsorted(texts, np.arange(part.num_rows + 1))
+                lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(_digest(values, first, 0x1B873593).view(np.int64)), lists], ["id", "lo", "shingles"])
 
-    return rows.mapInArrow(run, "id bigint, shingles array<bigint>")
+    return rows.mapInArrow(run, "id bigint, lo bigint, shingles array<bigint>").select(F.struct("id", "lo").alias("node"), "shingles")
 
 
-def verified(rows: DataFrame, pairs: DataFrame, least: float, shingle: int, weights: str) -> DataFrame:
-    """pairs (u, v) whose similarity is at least `least`, with it."""
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("k")).distinct()
-    sets = shingle_sets(common.with_maybe(rows, F.col("id"), ids).where("_maybe").select("id", "text"), shingle, weights)
-    a = sets.select(F.col("id").alias("u"), F.col("shingles").alias("a"))
-    b = sets.select(F.col("id").alias("v"), F.col("shingles").alias("b"))
-    both = F.size(F.array_intersect("a", "b"))
-    return pairs.join(a, "u").join(b, "v").withColumn("_i", both).select("u", "v", (F.col("_i") / (F.size("a") + F.size("b") - F.col("_i"))).alias("similarity")).where(F.col("similarity") >= least)
+def _digest(values: np.ndarray, first: np.ndarray, salt: int) -> np.ndarray:
+    """Order-free digest of the hashes of each text, 0 for none."""
+    out = np.zeros(len(first) - 1, np.uint64)
+    some = np.flatnonzero(np.diff(first))
+    if len(some):
+        out[some] = np.add.reduceat(common.mixed(values ^ np.uint64(salt)), first[some])
+    return out
 
 
-def links(rows: DataFrame, nodes: DataFrame, tied: DataFrame, repeated: DataFrame, least: float, shingle: int, weights: str) -> DataFrame:
-    """(id, label): the class of each node that has a link; tied (u, v) are links known before.
+def bucketed(nodes: DataFrame, tables: common.Scratch) -> DataFrame:
+    """(band, node, n): the members of buckets that hold several nodes."""
+    buckets = nodes.select("node", "n", F.explode("bands").alias("band"))
+    shared = tables.write(buckets.groupBy("band").agg(F.count("*").alias("c")).where("c > 1"), "shared")
+    maybe = common.with_maybe(buckets, F.col("band"), shared.select("band")).where("_maybe").drop("_maybe")
+    return tables.write(maybe.join(shared, "band"), "members")
 
-    The first hub of a bucket is its most central node, the one whose buckets are
-    the largest: of copies with edits of their own it is the closest to the
-    others. Before further hubs are asked, nodes are dropped from buckets where
-    shingles that no other node has rule out any link (see `limited`).
+
+def known_shingles(rows: DataFrame, members: DataFrame, least: float, shingle: int, weights: str, tables: common.Scratch) -> DataFrame:
+    """(node, n, m, rank, w): w has the shingles of a member that other members have too, m of its n, the rarest first.
+
+    Nodes with too few of them to be similar to any other are left out.
     """
-    buckets = nodes.select("id", "n", F.explode("bands").alias("band"))
-    shared = buckets.groupBy("band").agg(F.count("*").alias("c")).where("c > 1")
-    met = buckets.join(shared, "band")
-    members = common.write_table(met.join(met.groupBy("id").agg(F.sum("c").alias("rank")), "id").select("band", "id", "n", "rank", F.col("n").alias("m")), "members")
-    first = F.struct(F.col("rank"), F.xxhash64("id"), F.col("id"))
-    chosen = F.max_by(F.struct("id", "n", "m"), first).alias("hub")
-    used = fresh = common.write_table(members.groupBy("band").agg(chosen).select("band", "hub.*"), "hubs")
-    found, tested = tied, None
-    labels = common.write_table(components(tied), "labels")
-    while True:
-        hub = _labelled(fresh, labels).withColumnsRenamed({"id": "hub", "n": "hub_n", "m": "hub_m", "label": "hub_label"})
-        pairs = _labelled(members, labels).join(hub, "band").where((F.col("label") != F.col("hub_label")) & (_most_alike("hub_n", "hub_m") >= least))
-        pairs = pairs.select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        pairs = common.write_table(pairs, "pairs")
-        if pairs.take(1):
-            new = common.write_table(verified(rows, pairs, least, shingle, weights).select("u", "v"), "links")
-            if new.take(1):
-                found = found.unionAll(new)
-                labels = common.write_table(components(found), "labels")
-        if tested is None:
-            members = limited(rows, members, labels, repeated, least, shingle, weights)
-        tested = pairs if tested is None else tested.unionAll(pairs)
-        left = _labelled(members.join(used, ["band", "id"], "left_anti"), labels)
-        open_ = left.groupBy("band", "label").agg(chosen)
-        many = open_.groupBy("band").agg(F.count("*").alias("c")).where("c > 1")
-        turn = F.pmod(F.xxhash64("hub.id", "c"), F.ceil(F.col("c") / HUBS)) == 0
-        waiting = common.write_table(open_.join(many, "band").select("band", "hub.*", turn.alias("turn")), "hubs")
-        if not waiting.take(1):
-            return labels
-        fresh = waiting.where("turn").drop("turn")
-        fresh = fresh if fresh.take(1) else waiting.drop("turn")
-        used = used.unionAll(fresh)
-
-
-def _most_alike(n: str, m: str) -> Column:
-    """Bound on the similarity of a node (n shingles, m of which others have too) and another."""
-    both = F.least("m", m)
-    return both / (F.col("n") + F.col(n) - both)
-
-
-def limited(rows: DataFrame, members: DataFrame, labels: DataFrame, repeated: DataFrame, least: float, shingle: int, weights: str) -> DataFrame:
-    """members of buckets with several labels, m the number of their shingles that another node there has.
-
-    Two texts share at most the smaller m, so members that no text of their
-    bucket can be similar enough to are left out. An id of several texts keeps m = n.
+    asked = tables.write(members.groupBy("node").agg(F.max("n").alias("n"), F.sum("c").alias("rank")), "asked")
+    sets = shingle_sets(common.with_maybe(rows, F.col("id"), asked.select("node.id")).where("_maybe").select("id", "text"), shingle, weights)
+    sets = tables.write(sets.join(asked.select("node"), "node", "left_semi"), "sets")
+    each = sets.select("node", F.explode("shingles").alias("s"))
+    counted = each.groupBy("s").agg(F.count("*").alias("c"), F.min("node.lo").alias("a"), F.max("node.lo").alias("b"))
+    counted = tables.write(counted.where("a <> b").select("s", F.col("c").cast("int").alias("c")), "known")
+    own = each.join(counted, "s").groupBy("node").agg(F.array_sort(F.collect_set(F.struct("c", "s"))).alias("w"))
+    own = own.join(asked, "node").select("node", "n", F.size("w").alias("m"), "rank", F.transform("w", lambda x: x["s"]).alias("w"))
+    made = tables.write(own.where(F.col("m") >= least * F.col("n")), "weighed")
+    tables.drop(sets, counted)
+    return made
+
+
+def links(rows: DataFrame, nodes: DataFrame, tied: DataFrame, least: float, shingle: int, weights: str, small: int = SMALL) -> DataFrame:
+    """(id, label): the class of each node that has a link; tied (u, v) are links known before."""
+    tables = common.Scratch(rows.sparkSession)
+    share = least / (1 + least)  # of the sizes of two nodes, what they have in common where they are linked
+    members = bucketed(nodes, tables)
+    weighed = known_shingles(rows, members, least, shingle, weights, tables)
+    central = F.struct(F.col("m") / F.col("n"), F.col("rank"), F.xxhash64("node"), F.col("node"))
+    alive = members.select("band", "node").join(weighed.drop("w"), "node")
+    hubs = tables.write(alive.groupBy("band").agg(F.max_by("node", central).alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c"), "hubs")
+    asked = alive.join(hubs, "band").where("node <> hub").select(F.xxhash64("hub").alias("g"), "hub", "node").distinct()
+    kept = weighed.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("w").alias("hub_w"))
+    groups = tables.write(asked.select("g", "hub").distinct().join(kept, "hub").withColumn("aside", F.col("hub_w")), "groups")
+    asked = tables.write(asked.select("g", "node"), "asked")
+    labels = tables.write(components(tied), "labels")
+    while asked.take(1):
+        met = tables.write(_met(asked, groups, weighed, least), "met")
+        labels = _joined_classes(labels, met.where("linked").select(F.col("node").alias("u"), F.col("hub").alias("v")), tables)
+        left = _labelled(met, labels)
+        several = tables.write(left.groupBy("g").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("g"), "open")
+        left = tables.write(left.join(several, "g", "left_semi"), "left")
+        even = left.groupBy("g", F.col("n").alias("v_n")).agg(F.max("a").alias("v_a"))  # pairs that share enough of what is set aside
+        low = left.where(F.col("a") >= least * F.col("n")).join(tables.write(even, "even"), "g")
+        low = low.where((F.col("v_n") >= least * F.col("n")) & (F.least("a", "v_a") >= share * (F.col("n") + F.col("v_n")) - 1e-6))
+        other = left.select("g", F.col("node").alias("v"), F.col("n").alias("v_n"), F.col("a").alias("v_a"), F.col("label").alias("v_label"))
+        pairs = low.drop("v_a").join(other, ["g", "v_n"]).where((F.col("label") != F.col("v_label")) & (F.least("a", "v_a") >= share * (F.col("n") + F.col("v_n")) - 1e-6))
+        pairs = pairs.select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v"))
+        off = left.select("g", "node", "n", "label", F.explode("off").alias("s")).withColumn("sub", F.xxhash64("g", "s")).drop("s")
+        shared = off.groupBy("sub").agg(F.count("*").alias("c"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("sub", "c")
+        off = tables.write(off.join(tables.write(shared, "shared"), "sub"), "off")
+        few = off.where(F.col("c") <= small).select("sub", "node", "n", "label")
+        also = few.select("sub", F.col("node").alias("v"), F.col("n").alias("v_n"), F.col("label").alias("v_label"))
+        few = few.join(also, "sub").where((F.col("node") < F.col("v")) & (F.col("label") != F.col("v_label")) & (F.least("n", "v_n") >= least * F.greatest("n", "v_n")))
+        pairs = tables.write(pairs.unionAll(few.select(F.col("node").alias("u"), "v")).distinct(), "pairs")
+        labels = _joined_classes(labels, _settled(pairs, weighed, least), tables)
+        many = off.where(F.col("c") > small).select(F.col("sub").alias("g"), F.col("g").alias("above"), "node").join(weighed.drop("w"), "node")
+        chosen = tables.write(many.groupBy("g").agg(F.max_by("node", central).alias("hub"), F.max("above").alias("above")), "chosen")
+        asked = tables.write(many.select("g", "node").join(chosen.select("g", F.col("hub").alias("node")), ["g", "node"], "left_anti"), "asked")
+        before = groups.select(F.col("g").alias("above"), F.col("aside").alias("before"))
+        groups = tables.write(chosen.join(before, "above").join(kept, "hub").select("g", "hub", "hub_n", "hub_w", F.array_union("before", "hub_w").alias("aside")), "groups")
+    tables.drop(members, weighed)
+    return labels
+
+
+def _met(asked: DataFrame, groups: DataFrame, weighed: DataFrame, least: float) -> DataFrame:
+    """Nodes and the hubs of their groups: linked or not, a shingles of what is set aside, and the rarest off it.
+
+    A node similar enough to another shares one of the latter with it, or only
+    shingles that are set aside.
     """
-    named = _labelled(members, labels)
-    mixed = named.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("band")
-    rest = common.write_table(members.join(mixed, "band"), "open")
-    ids = rest.select(F.col("id").alias("k")).distinct()
-    sets = shingle_sets(common.with_maybe(rows, F.col("id"), ids).where("_maybe").select("id", "text"), shingle, weights).join(ids, F.col("id") == F.col("k"), "left_semi")
-    alone = sets.select("id", F.explode("shingles").alias("h")).groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other")
-    own = alone.groupBy("id").agg(F.count("*").alias("own")).join(repeated, "id", "left_anti")
-    rest = rest.join(own, "id", "left").withColumn("m", (F.col("n") - F.coalesce("own", F.lit(0))).cast("int")).drop("own")
-    rest = rest.join(rest.groupBy("band").agg(F.min("n").alias("least_n")), "band")
-    return common.write_table(rest.where(F.col("m") / (F.col("n") + F.greatest("m", "least_n") - F.col("m")) >= least).drop("least_n"), "members")
+    both = asked.join(weighed.drop("rank"), "node").join(groups, "g")
+    both = both.withColumn("_i", F.size(F.array_intersect("w", "hub_w"))).withColumn("a", F.size(F.array_intersect("w", "aside")))
+    wanted = F.greatest(F.lit(1), F.ceil(least * F.col("n") - 1e-6).cast("int") - F.col("a"))
+    first = F.col("n") - F.col("a") - wanted + 1 - (F.col("n") - F.col("m"))  # the rarest n - m are of no other node
+    off = F.slice(F.array_except("w", "aside"), F.lit(1), F.greatest(first, F.lit(0)))
+    return both.select("g", "node", "n", "hub", (F.col("_i") >= least * (F.col("n") + F.col("hub_n") - F.col("_i"))).alias("linked"), "a", off.alias("off"))
+
+
+def _settled(pairs: DataFrame, weighed: DataFrame, least: float) -> DataFrame:
+    """pairs (u, v) whose similarity is at least `least`."""
+    a = weighed.select(F.col("node").alias("u"), F.col("n").alias("u_n"), F.col("w").alias("u_w"))
+    b = weighed.select(F.col("node").alias("v"), F.col("n").alias("v_n"), F.col("w").alias("v_w"))
+    both = pairs.join(a, "u").join(b, "v").withColumn("_i", F.size(F.array_intersect("u_w", "v_w")))
+    return both.where(F.col("_i") >= least * (F.col("u_n") + F.col("v_n") - F.col("_i"))).select("u", "v")
+
+
+def _joined_classes(labels: DataFrame, new: DataFrame, tables: common.Scratch) -> DataFrame:
+    """labels with the classes joined that new links (u, v) tie."""
+    new = tables.write(new, "links")
+    if not new.take(1):
+        return labels
+    return tables.write(components(new.unionAll(labels.select(F.col("id").alias("u"), F.col("label").alias("v")))), "labels")
 
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    return rows.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    """rows with the class of their node as label."""
+    return rows.join(labels.withColumnRenamed("id", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = LEAST, shingle: int = SHINGLE, weights: str = "set", bands: int = BANDS, per_band: int = ROWS) -> DataFrame:
-    """One row a document: id, class_id, class_size, kept (the smallest id of the class)."""
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = LEAST, shingle: int = SHINGLE, weights: str = "set", bands: int = BANDS, per_band: int = ROWS, small: int = SMALL) -> DataFrame:
+    """One row a document: id, class_id, class_size, kept (of the rows with the smallest id of the class)."""
+    tables = common.Scratch(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text"))
     named = rows.where("id is not null")
-    signed = common.write_table(signatures(named, bands, per_band, shingle, weights), "signatures")
+    signed = tables.write(signatures(named, bands, per_band, shingle, weights), "signatures")
     worded, blank = signed.where("n > 0").select("id", "lo", "hi"), signed.where("n = 0").select("id", F.col("id").alias("label"))
-    nodes = signed.where("n > 0").groupBy("lo", "hi").agg(F.min("id").alias("node"), F.max("n").alias("n"), F.any_value("bands").alias("bands"))
-    nodes = common.write_table(nodes, "nodes")
-    owned = common.write_table(worded.join(nodes.select("lo", "hi", "node"), ["lo", "hi"]).select("id", "node"), "owned")
-    several = common.write_table(owned.groupBy("id").agg(F.min("node").alias("u"), F.max("node").alias("last")).where("u <> last").select("id", "u"), "several")
+    nodes = signed.where("n > 0").groupBy("lo", "hi").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.any_value("bands").alias("bands"))
+    nodes = tables.write(nodes.select("lo", "hi", F.struct("id", "lo").alias("node"), "n", "bands"), "nodes")
+    owned = tables.write(worded.join(nodes.select("lo", "hi", "node"), ["lo", "hi"]).select("id", "node"), "owned")
+    several = tables.write(owned.groupBy("id").agg(F.min("node").alias("u"), F.max("node").alias("last")).where("u <> last").select("id", "u"), "several")
     tied = owned.join(several, "id").where("node <> u").select("u", F.col("node").alias("v"))
-    labels = links(named, nodes.select(F.col("node").alias("id"), "n", "bands"), tied, several.select("id").distinct(), least, shingle, weights)
-    every = owned.join(labels.withColumnRenamed("id", "node"), "node", "left").select("id", F.coalesce("label", "node").alias("label")).unionAll(blank)
-    every = common.write_table(every, "classes")
-    sizes = every.groupBy("label").agg(F.count("*").alias("class_size"))
+    labels = links(named, nodes.select("node", "n", "bands"), tied, least, shingle, weights, small)
+    every = _labelled(owned, labels).select("id", F.col("label.id").alias("label")).unionAll(blank)
+    every = tables.write(every, "classes")
+    sizes = tables.write(every.groupBy("label").agg(F.count("*").alias("class_size")), "sizes")
     found = every.join(sizes, "label").select(F.col("id").alias(id_col), F.col("label").alias("class_id"), "class_size")
     none = rows.where("id is null").select(F.col("id").alias(id_col), F.lit(None).cast("bigint").alias("class_id"), F.lit(1).cast("bigint").alias("class_size"))
+    tables.drop(signed, nodes, owned)
     return found.unionAll(none).withColumn("kept", F.coalesce(F.col(id_col) == F.col("class_id"), F.lit(True)))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one document of each class; rows of one id count as one document, the first by text."""
+    """docs with one document of each class, the one with the smallest id; rows of one id count as one document, the first by text.
+
+    Rows without an id, and each text without words, stay. Further columns of any
+    name are passed on; an empty table gives an empty one.
+    """
     fate = common.write_table(near_groups(docs, id_col, text), "fate")
     ids = fate.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("_same"), F.min(F.col(id_col) == F.col("class_id")).alias("_stays"))
     touched = common.write_table(ids.where("_same > 1 or not _stays"), "touched")
