@@ -17,9 +17,11 @@ def ship(spark: SparkSession) -> None:
     """Makes this package importable on the executors, once for each context.
 
     Texts can be long, so Arrow batches are cut to ARROW_ROWS rows where the
-    session has Spark's default.
+    session has Spark's default, and the shuffle files of a query are dropped when
+    it ends, as results that are used again are tables in the shared folder.
     """
     context = spark.sparkContext
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     if getattr(context, "_docketry_shipped", False):
