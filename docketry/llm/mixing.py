@@ -8,8 +8,8 @@ over all k, the target is min(cap, level * weight).
 Each document of a source expects target / source size copies. The prefix sums
 of these, with one offset for the source, cross as many integers at a document as it
 is taken times. Documents are summed in the order of size, so what is taken is
-near the target. Both sums run over ranges of the order: a window in each range
-and one over the ranges' totals, so a hot source is spread over many tasks.
+near the target. The sums run over ranges of the order, and one over the ranges'
+totals, so a hot source is spread over many tasks.
 
 Defined results: a null text has size 0; null is a source of its own, the last;
 a source without words has target 0; rows that repeat are documents of their own.
@@ -58,43 +58,45 @@ def offset_of(source: str) -> Column:
     return F.conv(F.substring(F.sha2(name, 256), 1, 8), 16, 10).cast("bigint") / F.lit(2.0**32)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", most: int = MOST) -> DataFrame:
-    """One row a document: id, size, source, source_size, target, copies, taken."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"), word_count(text).alias("size"), F.monotonically_increasing_id().alias("row"))
+def rated(rows: DataFrame, most: int) -> DataFrame:
+    """rows (id, source, size, row, ...) with source_size, target and copies.
+
+    Rows are sorted by range once; a place in the source is the place in the
+    range, counted from its source's first row there, and the rows of that source
+    in lower ranges. Those are a row a range and source.
+    """
     order = (F.col("source").isNull(), F.col("source"), F.col("size"), F.col("id"), F.col("row"))
-    parts = common.ranged(rows, *order, name="sizes")
-    totals = parts.groupBy("pid", "source").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+    spark = rows.sparkSession
+    sorted_ = rows.repartitionByRange(common.shuffle_partitions(spark), *order).sortWithinPartitions(*order)
+    parts = common.write_table(sorted_.select("*", F.spark_partition_id().alias("pid"), F.monotonically_increasing_id().alias("seq")), "sizes")
+    totals = parts.groupBy("pid", "source").agg(F.count("*").alias("n"), F.sum("size").alias("words"), F.min("seq").alias("first"))
     before = Window.partitionBy("source").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     totals = common.write_table(totals.withColumn("earlier", F.coalesce(F.sum("n").over(before), F.lit(0))), "totals")
     aims = targets(totals.groupBy("source").agg(F.sum("words").alias("source_size")), most)
     aims = aims.select(F.col("source").alias("s"), "source_size", "target")
-    sums = totals.join(aims, F.col("source").eqNullSafe(F.col("s"))).select(F.col("pid").alias("p"), "s", "earlier", "source_size", "target")
-    placed = parts.withColumn("i", F.row_number().over(Window.partitionBy("pid", "source").orderBy(*order)))
-    both = placed.join(sums, (F.col("pid") == F.col("p")) & F.col("source").eqNullSafe(F.col("s")))
-    i, rate = F.col("i") + F.col("earlier"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    sums = totals.join(aims, F.col("source").eqNullSafe(F.col("s"))).select(F.col("pid").alias("p"), "s", "first", "earlier", "source_size", "target")
+    both = parts.join(sums, (F.col("pid") == F.col("p")) & F.col("source").eqNullSafe(F.col("s")))
+    i, rate = F.col("seq") - F.col("first") + 1 + F.col("earlier"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     copies = F.floor(i * rate + offset_of("source")) - F.floor((i - 1) * rate + offset_of("source"))
-    copies = F.least(copies, F.lit(most))
-    return both.select(F.col("id").alias(id_col), "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return both.withColumn("copies", F.least(copies, F.lit(most)))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", most: int = MOST) -> DataFrame:
+    """One row a document: id, size, source, source_size, target, copies, taken."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"), word_count(text).alias("size"), F.monotonically_increasing_id().alias("row"))
+    return rated(rows, most).select(F.col("id").alias(id_col), "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def take(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def take(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", most: int = MOST) -> DataFrame:
     """docs as the mix takes them: a row for each copy, none for those it leaves out.
 
-    A document is known by its id, source and size; the copies of rows that share
-    all three are added up and dealt to them in turn.
+    The rows travel once, to their ranges. Null texts and sources, repeated rows
+    and ties are as in `mix`; further columns of any name are passed on; an empty
+    table gives an empty one.
     """
-    keys = [F.col(id_col).alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")]
-    given = mix(docs, id_col, text, source).groupBy(*keys).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    given = common.write_table(given, "copies")
-    rows = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("own_id"), F.col(source).alias("own_source"), word_count(text).alias("words"), F.xxhash64(common.text_of(text)).alias("th"))
-    same = F.col("own_id").eqNullSafe(F.col("_id")) & F.col("own_source").eqNullSafe(F.col("_source")) & (F.col("words") == F.col("_size"))
-    met = rows.join(given.where("_copies > 0"), same)
-    one = met.where("_rows = 1").withColumn("_own", F.col("_copies"))
-    turn = F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy("th"))
-    many = met.where("_rows > 1").withColumn("_i", turn)
-    many = many.withColumn("_own", F.floor(F.col("_i") * F.col("_copies") / F.col("_rows")) - F.floor((F.col("_i") - 1) * F.col("_copies") / F.col("_rows"))).drop("_i")
-    every = one.unionByName(many).where("_own > 0")
-    return every.select("doc", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_own")))).select("doc.*")
+    rows = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), F.col(source).alias("source"), word_count(text).alias("size"), F.monotonically_increasing_id().alias("row"))
+    taken = rated(rows, most).where("copies > 0")
+    return taken.select("doc", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select("doc.*")
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
