@@ -35,12 +35,21 @@ def windows(docs: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
 
 
 def repeats(docs: DataFrame, id_col: str, text: str, width: int = WINDOW) -> DataFrame:
-    """(_id, _th, covered): the places that repeated windows cover, merged, a row a document."""
-    seen = common.write_table(windows(docs, id_col, text, width), "windows")
-    first = seen.groupBy("h").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = seen.join(first, "h").where(F.col("at") > F.col("first"))
+    """(_id, _th, covered): the places that repeated windows cover, merged, a row a document.
+
+    Hashes alone are counted first; only the windows of those met twice, by a
+    bounded bitmap, go on to their first places.
+    """
+    tables = common.Scratch(docs.sparkSession)
+    seen = tables.write(windows(docs, id_col, text, width).withColumn("k", F.xxhash64("h")), "windows")
+    twice = tables.write(seen.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k"), "twice")
+    again = tables.write(common.with_maybe(seen, F.col("k"), twice).where("_maybe").select("at", "h"), "again")
+    first = again.groupBy("h").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = again.join(tables.write(first, "first"), "h").where(F.col("at") > F.col("first"))
     covered = F.array_distinct(F.flatten(F.transform(F.collect_set("at.pos"), lambda p: F.sequence(p, p + (width - 1)))))
-    return common.write_table(later.groupBy(F.col("at.id").alias("_id"), F.col("at.th").alias("_th")).agg(covered.alias("covered")), "covered")
+    made = common.write_table(later.groupBy(F.col("at.id").alias("_id"), F.col("at.th").alias("_th")).agg(covered.alias("covered")), "covered")
+    tables.drop(seen)
+    return made
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WINDOW) -> DataFrame:
