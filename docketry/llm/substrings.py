@@ -33,6 +33,8 @@ from docketry.llm import common
 
 WINDOW = 50
 SLICE = 4 << 20
+#: Windows of one bucket of hashes, about: bounds what a task holds at any input size.
+BUCKET_WINDOWS = 1 << 21
 _KEY_BYTES = 5
 
 
@@ -50,6 +52,16 @@ def _runs(words: np.ndarray, first: np.ndarray, hasher: common.WordHasher, k: in
     return texts, at - first[texts], hashes[at]
 
 
+def _bucket(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """The top bits, in 16 where they fit, as those are sorted faster."""
+    return (hashes >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
+
+
+def bucket_bits(n_windows: int, most: int = BUCKET_WINDOWS) -> int:
+    """So many bits that a bucket has about `most` windows."""
+    return min(24, max(2, (n_windows // most).bit_length()))
+
+
 def _int_planes(x: np.ndarray) -> bytes:
     """Unsigned 32-bit numbers byte by byte, so that small ones compress well."""
     return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
@@ -168,7 +180,7 @@ def _int_column(part: pa.RecordBatch, name: str) -> np.ndarray:
 
 
 def block_index(rows: DataFrame, block: int, window: int) -> DataFrame:
-    """(h, id): the smallest document of each block hash."""
+    """(h, id, n): the smallest document of each block hash, and how often it is met."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _hasher()
@@ -181,7 +193,7 @@ def block_index(rows: DataFrame, block: int, window: int) -> DataFrame:
                 ids = _int_column(part, "id")
                 yield pa.RecordBatch.from_arrays([pa.array(hashes[use].view(np.int64)), pa.array(ids[texts[use]])], ["h", "id"])
 
-    return rows.mapInArrow(run, "h bigint, id bigint").groupBy("h").agg(F.min("id").alias("id"))
+    return rows.mapInArrow(run, "h bigint, id bigint").groupBy("h").agg(F.min("id").alias("id"), F.count("*").alias("n"))
 
 
 # ------------------------------------------------------------------ 2. probes
@@ -222,7 +234,7 @@ def probes(rows: DataFrame, block: int, window: int, bits: int) -> DataFrame:
         pick[tops[np.unique(group[tops], return_index=True)[1]]] = True
         send = np.sort(order[pick])
         key = (hashes[send] >> np.uint64(64 - bits - 8 * _KEY_BYTES)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_KEY_BYTES]
-        bucket = (hashes[send] >> np.uint64(64 - bits)).astype(np.int64).astype(np.uint16)
+        bucket = _bucket(hashes[send], bits)
         yield from _packed_rows(bucket, texts[send], places[send], key, ids, ths)
         local = np.sort(order[shared])
         none = np.zeros((len(local), 0), np.uint8)
@@ -266,7 +278,7 @@ def anchored(rows: DataFrame, index: DataFrame, block: int, window: int, bits: i
         return pd.concat([out.sent("places", parts), met.sent("hits", parts)], ignore_index=True)
 
     parts = 1 << bits
-    blocks = index.withColumn("bucket", F.shiftrightunsigned("h", 64 - bits).cast("int"))
+    blocks = index.select("h", "id", F.shiftrightunsigned("h", 64 - bits).cast("int").alias("bucket"))
     asked = probes(rows, block, window, bits)
     return asked.groupBy("bucket").cogroup(blocks.groupBy("bucket")).applyInPandas(match, _SENT)
 
@@ -332,7 +344,7 @@ def extended(rows: DataFrame, block: int, window: int, bits: int) -> DataFrame:
         least = np.repeat(np.minimum.reduceat(own, begins), np.diff(np.r_[begins, len(order)]))
         send, local = np.sort(order[own == least]), np.sort(order[own > least])
         key = np.concatenate([hashes[send].astype("<u8").view(np.uint8).reshape(-1, 8), second[send].astype("<u4").view(np.uint8).reshape(-1, 4)], axis=1)
-        yield from _packed_rows((hashes[send] >> np.uint64(64 - bits)).astype(np.int64).astype(np.uint16), texts[send], places[send], key, ids, ths)
+        yield from _packed_rows(_bucket(hashes[send], bits), texts[send], places[send], key, ids, ths)
         none = np.zeros((len(local), 0), np.uint8)
         for row in _packed_rows(np.zeros(len(local), np.uint16), texts[local], places[local], none, ids, ths):
             yield row | {"bucket": -1 - int(ths[0] % (1 << bits))}
@@ -417,11 +429,11 @@ def removed(rows: DataFrame, window: int) -> DataFrame:
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """(id, th, places): begins of the windows that a smaller document has too, a row a document."""
-    spark, block = docs.sparkSession, window // 2
-    bits = max(2, (common.shuffle_partitions(spark) - 1).bit_length() - 1)
+    block = window // 2
     rows = _rows_of(docs, id_col, text)
     named = rows.where("id is not null")
     index = common.write_table(block_index(named, block, window), "blocks")
+    bits = bucket_bits(block * (index.agg(F.sum("n")).first()[0] or 0))
     found = gathered(anchored(named, index, block, window, bits), by_text=False).select("id", "places", "hits")
     flags = common.write_table(found, "anchors").withColumnRenamed("id", "_id")
     near = common.with_maybe(named, F.col("id"), flags.select("_id")).where("_maybe").drop("_maybe")
