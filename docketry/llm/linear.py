@@ -88,26 +88,25 @@ def screen(owner: np.ndarray, buckets: np.ndarray, label: np.ndarray, least_rows
     return np.sort(tried[best[ratio[best] >= 2 * np.log(max(len(tried), 1)) + 6]])
 
 
-def fit_logistic(owner: np.ndarray, column: np.ndarray, width: int, label: np.ndarray, l2: float, pairs: np.ndarray | None = None, pair_weight: float = 0.0, rounds: int = 300) -> tuple[np.ndarray, float]:
+def fit_logistic(owner: np.ndarray, column: np.ndarray, width: int, label: np.ndarray, l2: float, changes: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None, change_weight: float = 0.0, rounds: int = 300) -> tuple[np.ndarray, float]:
     """Weights and intercept by accelerated gradient descent on rows given as (owner, column) entries.
 
-    pairs (a, b, count) adds pair_weight * count * (w[a] - w[b])^2, with a negative
-    number for a column of weight 0.
+    changes (case, column, sign) adds change_weight times the mean over the cases of the
+    squared change of the logit, the sum of a case's signed weights.
     """
     n = max(len(label), 1)
     w, b = np.zeros(width + 1), 0.0
-    held, speed = np.zeros(width + 2), np.zeros(width + 2)
-    square = np.zeros(width + 2)
+    held, square = np.zeros(width + 2), np.zeros(width + 2)
     for t in range(1, rounds + 1):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(owner, w[column], n) + b, -30, 30)))
         miss = (p - label) / n
-        grad = np.append(np.bincount(column, miss[owner], width + 1) + l2 * w, miss.sum())
-        if pairs is not None and len(pairs):
-            first, second = pairs[:, 0].astype(int), pairs[:, 1].astype(int)
-            gap = 2 * pair_weight * pairs[:, 2] / n * (w[first] - w[second])
-            np.add.at(grad, first, gap)
-            np.add.at(grad, second, -gap)
+        grad = np.bincount(column, miss[owner], width + 1) + l2 * w
+        if changes is not None and len(changes[0]):
+            case, at, sign = changes
+            moved = np.bincount(case, sign * w[at])
+            grad += np.bincount(at, 2 * change_weight / len(moved) * moved[case] * sign, width + 1)
         grad[width] = 0
+        grad = np.append(grad, miss.sum())
         held = 0.9 * held + 0.1 * grad
         square = 0.99 * square + 0.01 * grad * grad
         speed = held / (1 - 0.9**t) / (np.sqrt(square / (1 - 0.99**t)) + 1e-8)

@@ -2,30 +2,38 @@
 
 One classifier reads the words of a text, the other the page's metadata: source,
 language, length, number of lines, shares of upper-case letters and of marks, as
-terms of their own. In each round both are fitted, and each hands the
-other the unlabelled documents that it is surest of, with its own labels. At
-last each view is calibrated on labelled rows that no fit has seen, and the two
-calibrated scores are combined by a logistic regression on those rows.
+terms of their own. In each round both are fitted, score every unlabelled
+document, and hand each other those of them all that they are surest of, with their
+own labels. At last each view is calibrated on labelled rows that no fit has
+seen (a logistic curve over its own scores), and the two calibrated scores are
+combined by a logistic regression on their logits over those rows.
 
 Labels are used only of rows whose crc32(id as text) mod 4 is not 2; of those,
-remainder 1 calibrates. Fits run in one task on bounded samples (LABELLED,
-UNLABELLED rows); every document is scored. Defined results: null text counts
-as empty; null source or language is a value of its own; without labels every
-score is 0.5.
+remainder 1 calibrates. A fit runs in one task on a bounded sample: LABELLED
+labelled rows, and HANDED more a class, view and round; what is handed over is
+chosen from all documents. Every document is scored. Defined results: null text
+counts as empty; null source or language is a value of its own; rows that repeat
+score alike; without labels every score is 0.5; an empty table gives no rows;
+further columns of any name are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.llm import common, linear
 
-#: Bounds on the labelled and the unlabelled rows that are fitted.
-LABELLED, UNLABELLED = 12_000, 8_000
-ROUNDS, SURE, HANDED = 3, 0.97, 500
+#: Bounds on the labelled rows that are fitted, and on the rows that a view hands over a class and round.
+LABELLED, HANDED = 12_000, 500
+ROUNDS, SURE = 3, 0.97
+VIEWS = ("content", "meta")
+Model = tuple[np.ndarray, float]
 
 
 def metadata(text: str, source: str, lang: str) -> Column:
@@ -50,84 +58,56 @@ def metadata(text: str, source: str, lang: str) -> Column:
 
 
 def views(docs: DataFrame, id_col: str, text: str, source: str, lang: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), F.col(text).alias("content"), metadata(text, source, lang).alias("meta"))
+    """(_id, content, meta): the buckets of both views of each document, as a table."""
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("content"), metadata(text, source, lang).alias("meta"))
+    rows = linear.featured(rows, "content", "_id", "meta").withColumnRenamed("terms", "content")
+    return common.write_table(linear.featured(rows, "meta", "_id", "content").withColumnRenamed("terms", "meta"), "views")
 
 
-def cotrain(content: list, meta: list, label: np.ndarray, part: np.ndarray) -> dict[str, tuple[np.ndarray, float]]:
-    """Models of both views and of their combination; label is nan where there is none, part 1 calibrates."""
-    views = {"content": content, "meta": meta}
-    known, unknown = (part != 1) & ~np.isnan(label), np.isnan(label)
-    given = {v: np.where(known, label, np.nan) for v in views}
-    models: dict[str, tuple[np.ndarray, float]] = {}
+def part_of(id_col: str) -> Column:
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4
 
-    def entries(rows: np.ndarray, terms: list) -> tuple[np.ndarray, np.ndarray]:
-        own = [terms[i] for i in rows]
-        return np.repeat(np.arange(len(rows)), [len(x) for x in own]), np.concatenate([*own, np.zeros(0, np.int64)]).astype(np.int64)
 
-    def logits(view: str, rows: np.ndarray) -> np.ndarray:
-        owner, buckets = entries(rows, views[view])
-        return np.bincount(owner, models[view][0][buckets], len(rows)) + models[view][1]
+def entries(terms: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket) of lists of buckets."""
+    return np.repeat(np.arange(len(terms)), [len(x) for x in terms]), np.concatenate([*terms, np.zeros(0, np.int64)]).astype(np.int64)
 
-    for turn in range(ROUNDS):
-        for view, terms in views.items():
-            rows = np.flatnonzero(~np.isnan(given[view]))
-            owner, buckets = entries(rows, terms)
-            own = given[view][rows]
-            features = linear.screen(owner, buckets, own, least_rows=max(5, len(rows) // 500), most=4096)
-            if not len(features):
-                models[view] = np.zeros(1 << linear.BUCKET_BITS, np.float32), 0.0
-                continue
-            column = np.minimum(np.searchsorted(features, buckets), len(features) - 1)
-            inside = features[column] == buckets
-            weights, bias = linear.fit_logistic(owner[inside], column[inside], len(features), own, 1e-4, rounds=200)
-            models[view] = linear.dense(features, weights), bias
-        if turn == ROUNDS - 1:
+
+def fit_view(terms: list[np.ndarray], label: np.ndarray) -> Model:
+    owner, buckets = entries(terms)
+    features = linear.screen(owner, buckets, label, least_rows=max(5, len(terms) // 500), most=4096)
+    if not len(features):
+        return np.zeros(1 << linear.BUCKET_BITS, np.float32), 0.0
+    column = np.minimum(np.searchsorted(features, buckets), len(features) - 1)
+    inside = features[column] == buckets
+    weights, bias = linear.fit_logistic(owner[inside], column[inside], len(features), label, 1e-4, rounds=200)
+    return linear.dense(features, weights), bias
+
+
+def calibrated(x: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Weights of the columns of x and an intercept, by Newton steps of a small ridge regression; 0 without rows."""
+    x = np.column_stack([x, np.ones(len(x))])
+    w = np.zeros(x.shape[1])
+    for _ in range(200 if len(x) else 0):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(w)), x.T @ (p - label) + 1e-2 * w)
+        w -= np.clip(step, -1, 1)
+        if np.abs(step).max() < 1e-8:
             break
-        for view, other in (("content", "meta"), ("meta", "content")):
-            rows = np.flatnonzero(unknown & np.isnan(given[other]))
-            sure = 1 / (1 + np.exp(-np.clip(logits(view, rows), -30, 30)))
-            for value, order in ((1.0, np.argsort(-sure, kind="stable")), (0.0, np.argsort(sure, kind="stable"))):
-                best = order[:HANDED]
-                best = best[(sure[best] >= SURE) if value else (sure[best] <= 1 - SURE)]
-                given[other][rows[best]] = value
-    rows = np.flatnonzero((part == 1) & ~np.isnan(label))
-    joint = np.zeros(3)
-    if len(rows) and len(models) == 2:
-        x = np.stack([np.clip(logits(v, rows), -15, 15) for v in views] + [np.ones(len(rows))], axis=1)
-        joint[:2] = 0.5
-        for _ in range(200):  # Newton steps of a small ridge regression
-            p = 1 / (1 + np.exp(-x @ joint))
-            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(3), x.T @ (p - label[rows]) + 1e-2 * joint)
-            joint -= np.clip(step, -1, 1)
-            if np.abs(step).max() < 1e-8:
-                break
-    models["joint"] = joint[:2], float(joint[2])
-    return models
+    return w
+
+
+def _fitted(rows: DataFrame) -> dict[str, Model]:
+    """Models of both views, in one task, on rows (_id, view, label, terms), whose number is bounded."""
 
+    def train(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["_id", "label"], ignore_index=True)
+        weights, bias = fit_view(group["terms"].tolist(), group["label"].to_numpy())
+        used = np.flatnonzero(weights)
+        return pd.DataFrame({"view": key[0], "bucket": np.append(used, -1).astype(np.int64), "weight": np.append(weights[used], bias).astype(float)})
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str, text: str, source: str, lang: str, label: str) -> dict[str, tuple[np.ndarray, float]]:
-    part = F.crc32(F.coalesce(F.col("_id").cast("string"), F.lit("")).cast("binary")) % 4
-    usable = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("double").alias("_label")).where("_id is not null and _label is not null").where(part != 2)
-    chosen = linear.bounded_sample(usable, LABELLED, "_id")
-    others = docs.select(F.col(id_col).alias("_id")).where("_id is not null").join(usable, "_id", "left_anti")
-    free = linear.bounded_sample(others.where(part != 2), UNLABELLED, "_id").withColumn("_label", F.lit(None).cast("double"))
-    sample = common.write_table(chosen.unionByName(free).withColumn("_part", part.cast("int")), "sample")
-    rows = views(docs, id_col, text, source, lang).join(F.broadcast(sample), F.col("id") == F.col("_id")).drop("id")
-    rows = linear.featured(rows, "content", "_id", "_label", "_part", "meta").withColumnRenamed("terms", "content")
-    rows = linear.featured(rows, "meta", "_id", "_label", "_part", "content")
-
-    def train(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_id", ignore_index=True)
-        models = cotrain(group["content"].tolist(), group["terms"].tolist(), group["_label"].to_numpy(float), group["_part"].to_numpy())
-        out = []
-        for view, (weights, bias) in models.items():
-            used = np.flatnonzero(weights)
-            out.append(pd.DataFrame({"view": view, "bucket": np.append(used, -1).astype(np.int64), "weight": np.append(weights[used], bias).astype(float)}))
-        return pd.concat(out, ignore_index=True)
-
-    found = rows.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(train, "view string, bucket bigint, weight double").collect()
-    models = {v: (np.zeros(1 << linear.BUCKET_BITS, np.float32), 0.0) for v in ("content", "meta")} | {"joint": (np.zeros(2), 0.0)}
-    for row in found:
+    models = {v: (np.zeros(1 << linear.BUCKET_BITS, np.float32), 0.0) for v in VIEWS}
+    for row in rows.groupBy("view").applyInPandas(train, "view string, bucket bigint, weight double").collect():
         weights, bias = models[row["view"]]
         if row["bucket"] < 0:
             models[row["view"]] = weights, row["weight"]
@@ -136,19 +116,76 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text: str, source: str,
     return models
 
 
+def logits(rows: DataFrame, models: dict[str, Model]) -> DataFrame:
+    """rows with columns content and meta with each view's logit under the names z_content and z_meta in their place."""
+    context = rows.sparkSession.sparkContext
+    sent = {v: (context.broadcast(weights), bias) for v, (weights, bias) in models.items()}
+    keep = [c for c in rows.columns if c not in VIEWS]
+    schema = rows.select(*keep).withColumns({f"z_{v}": F.lit(None).cast("double") for v in VIEWS}).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for view, (weights, bias) in sent.items():
+                column = batch.column(view)
+                owner = np.repeat(np.arange(len(column)), column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+                out.append(pa.array(np.bincount(owner, weights.value[column.flatten().to_numpy()], len(column)) + bias, pa.float64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *out], [*keep, *(f"z_{v}" for v in VIEWS)])
+
+    return rows.mapInArrow(run, schema)
+
+
+def cotrain(seen: DataFrame, labels: DataFrame, id_col: str, label: str) -> tuple[dict[str, Model], dict[str, np.ndarray]]:
+    """Models of both views, and the calibrations of each and of both, from the table of `views`."""
+    usable = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("double").alias("label")).where("_id is not null and label is not null").where(part_of("_id") != 2)
+    chosen = common.write_table(linear.bounded_sample(usable, LABELLED, "_id").withColumn("part", part_of("_id").cast("int")), "chosen")
+    known = common.write_table(seen.join(F.broadcast(chosen), "_id"), "known")  # at most LABELLED labels
+
+    def of_view(rows: DataFrame, view: str) -> DataFrame:
+        return rows.select("_id", F.lit(view).alias("view"), "label", F.col(view).alias("terms"))
+
+    given = {v: of_view(known.where("part <> 1"), v) for v in VIEWS}
+    free = seen.where("_id is not null").join(usable.select("_id").distinct(), "_id", "left_anti").where(part_of("_id") != 2)
+    handed = None
+    for turn in range(ROUNDS):
+        models = _fitted(given["content"].unionByName(given["meta"]))
+        if turn == ROUNDS - 1 or not chosen.take(1):
+            break
+        scored = logits(free if handed is None else free.join(handed.select("_id").distinct(), "_id", "left_anti"), models)
+        bar = float(np.log(SURE / (1 - SURE)))
+        sure = []
+        for view, other in (("content", "meta"), ("meta", "content")):
+            for value, z in ((1.0, F.col(f"z_{view}")), (0.0, -F.col(f"z_{view}"))):
+                best = scored.where(z >= bar).orderBy(z.desc(), F.xxhash64("_id"), "_id").limit(HANDED)
+                sure.append(best.select("_id", F.lit(other).alias("view"), F.lit(value).alias("label")))
+        sure = common.write_table(sure[0].unionAll(sure[1]).unionAll(sure[2]).unionAll(sure[3]), "handed")
+        sure = common.write_table(seen.join(F.broadcast(sure), "_id"), "handed")  # at most 4 x HANDED ids
+        for view in VIEWS:
+            given[view] = given[view].unionByName(of_view(sure.where(F.col("view") == view), view))
+        handed = sure.select("_id") if handed is None else handed.unionAll(sure.select("_id"))
+    held = logits(known.where("part = 1").select("_id", "label", *VIEWS), models).orderBy("_id").collect()
+    y, z = np.array([r["label"] for r in held]), {v: np.clip(np.array([r[f"z_{v}"] for r in held], float), -15, 15) for v in VIEWS}
+    curves = {v: calibrated(z[v][:, None], y) for v in VIEWS}
+    curves["both"] = calibrated(np.column_stack([curves[v][0] * z[v] + curves[v][1] for v in VIEWS]), y)
+    return models, curves
+
+
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", label: str = "quality") -> DataFrame:
     """(doc_id, content_score, meta_score, score) of every document, each the probability of good quality."""
-    models = fit(docs, labels, id_col, text, source, lang, label)
-    rows = linear.scored(views(docs, id_col, text, source, lang), "content", *models["content"], out="content_score").drop("content")
-    rows = linear.scored(rows, "meta", *models["meta"], out="meta_score")
-    (a, b), c = models["joint"]
+    seen = views(docs, id_col, text, source, lang)
+    models, curves = cotrain(seen, labels, id_col, label)
+    rows = logits(seen, models)
+
+    def curve(view: str) -> Column:
+        z = F.least(F.greatest(F.col(f"z_{view}"), F.lit(-15.0)), F.lit(15.0))
+        return z * float(curves[view][0]) + float(curves[view][1])
 
-    def logit(p: str) -> Column:
-        q = F.least(F.greatest(F.col(p), F.lit(1e-6)), F.lit(1 - 1e-6))
-        return F.log(q / (1 - q))
+    def chance(z: Column) -> Column:
+        return 1 / (1 + F.exp(-z))
 
-    joint = 1 / (1 + F.exp(-(logit("content_score") * float(a) + logit("meta_score") * float(b) + float(c))))
-    return rows.select(F.col("id").alias(id_col), "content_score", "meta_score", joint.alias("score"))
+    a, b, c = map(float, curves["both"])
+    both = curve("content") * a + curve("meta") * b + c
+    return rows.select(F.col("_id").alias(id_col), chance(curve("content")).alias("content_score"), chance(curve("meta")).alias("meta_score"), chance(both).alias("score"))
 
 
 def op2_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
