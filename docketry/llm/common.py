@@ -104,15 +104,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def with_maybe(df: DataFrame, key: Column, keys: DataFrame, most_bits: int = 1 << 28) -> DataFrame:
+def with_maybe(df: DataFrame, key: Column, keys: DataFrame, most_bits: int = 1 << 28, bits_a_key: int = 16) -> DataFrame:
     """df with a boolean column _maybe: false only where key is none of keys (one column).
 
-    A bitmap with about 16 bits a key, never above most_bits (32 MB), is
+    A bitmap with about bits_a_key bits a key, never above most_bits (32 MB), is
     broadcast; with more keys than it can tell apart, more rows are true. Callers
     join those exactly, so this only spares the shuffle of the others.
     """
     bits = 1 << 15
-    wanted = min(most_bits, 16 * keys.count())
+    wanted = min(most_bits, bits_a_key * keys.count())
     while bits < wanted:
         bits <<= 1
     place = F.pmod(F.xxhash64(F.col(keys.columns[0])), F.lit(bits)) + 1

@@ -24,7 +24,7 @@ def _small_star(edges: DataFrame, tables: common.Scratch) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, label): label is the smallest node of the component, for each node with an edge.
+    """(node, label): label is the smallest node of the component, for each node with an edge.
 
     u and v may be of any type with an order. Each round is written as a table, so
     lineage does not grow; the number of rounds grows with the logarithm of the
@@ -39,4 +39,4 @@ def components(edges: DataFrame) -> DataFrame:
         ends = ends.groupBy("k").agg(F.sum("tied").alias("tied"), F.max("root").alias("root"))
         if not ends.where("tied > 1 or tied + root > 1").take(1):  # every node is tied to one root, and no root to another
             break
-    return now.select(F.col("u").alias("id"), F.col("v").alias("label")).unionAll(now.select("v", "v").distinct())
+    return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionAll(now.select("v", "v").distinct())

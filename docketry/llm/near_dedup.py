@@ -8,7 +8,7 @@ them at any length; two texts agree on a coordinate with the probability of
 their weighted Jaccard similarity. Weights are 1 for each distinct shingle
 ("set") or its count ("count").
 
-Texts of equal weighted shingles are one node. All nodes of a band bucket are
+Texts of equal weighted shingles are one node, known by a 64-bit digest. All nodes of a band bucket are
 candidates of each other, but only links between different classes matter, so a
 bucket is compared with one hub, the node most of whose shingles others have
 too. Two nodes that stay in different classes can then be linked only if they
@@ -43,7 +43,7 @@ SHINGLE = 5
 LEAST = 0.8
 BANDS, ROWS = 24, 4
 #: Groups of so many nodes at most are compared in pairs.
-SMALL = 24
+SMALL = 200
 
 
 def _hasher() -> common.WordHasher:
@@ -84,7 +84,7 @@ def dart_signatures(texts: np.ndarray, values: np.ndarray, n: int, k: int) -> np
 
 
 def signatures(rows: DataFrame, bands: int, per_band: int, shingle: int, weights: str) -> DataFrame:
-    """(id, lo, hi, n, bands): digest and weight of the shingles, and the band hashes."""
+    """(id, node, n, bands): digest and weight of the shingles (of the id where there are none), and the band hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _hasher()
@@ -96,7 +96,8 @@ def signatures(rows: DataFrame, bands: int, per_band: int, shingle: int, weights
         n = part.num_rows
         texts, values = regions(hasher, part.column("text"), shingle, weights)
         first = np.searchsorted(texts, np.arange(n + 1))
-        lo, hi = _digest(values, first, 0x1B873593), _digest(values, first, 0xCC9E2D51)
+        ids = part.column("id").to_numpy().astype(np.uint64)
+        node = np.where(np.diff(first) > 0, _digest(values, first), common.mixed(ids ^ np.uint64(0xCC9E2D51)))
         ranks = dart_signatures(texts, values, n, bands * per_band).reshape(n * bands, per_band)
         bits = ranks.view(np.uint64)
         total = np.tile(np.arange(1, bands + 1, dtype=np.uint64), n)
@@ -105,9 +106,9 @@ def signatures(rows: DataFrame, bands: int, per_band: int, shingle: int, weights
         full = np.isfinite(ranks).all(axis=1)
         ends = np.r_[0, np.cumsum(full.reshape(n, bands).sum(axis=1))].astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(total[full].view(np.int64)))
-        return pa.RecordBatch.from_arrays([part.column("id"), pa.array(lo.view(np.int64)), pa.array(hi.view(np.int64)), pa.array(np.diff(first).astype(np.int32)), lists], ["id", "lo", "hi", "n", "bands"])
+        return pa.RecordBatch.from_arrays([part.column("id"), pa.array(node.view(np.int64)), pa.array(np.diff(first).astype(np.int32)), lists], ["id", "node", "n", "bands"])
 
-    return rows.mapInArrow(run, "id bigint, lo bigint, hi bigint, n int, bands array<bigint>")
+    return rows.mapInArrow(run, "id bigint, node bigint, n int, bands array<bigint>")
 
 
 def shingle_sets(rows: DataFrame, shingle: int, weights: str) -> DataFrame:
@@ -120,23 +121,23 @@ def shingle_sets(rows: DataFrame, shingle: int, weights: str) -> DataFrame:
                 texts, values = regions(hasher, part.column("text"), shingle, weights)
                 first = np.searchsorted(texts, np.arange(part.num_rows + 1))
                 lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(_digest(values, first, 0x1B873593).view(np.int64)), lists], ["id", "lo", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(_digest(values, first).view(np.int64)), lists], ["node", "shingles"])
 
-    return rows.mapInArrow(run, "id bigint, lo bigint, shingles array<bigint>").select(F.struct("id", "lo").alias("node"), "shingles")
+    return rows.mapInArrow(run, "node bigint, shingles array<bigint>")
 
 
-def _digest(values: np.ndarray, first: np.ndarray, salt: int) -> np.ndarray:
+def _digest(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Order-free digest of the hashes of each text, 0 for none."""
     out = np.zeros(len(first) - 1, np.uint64)
     some = np.flatnonzero(np.diff(first))
     if len(some):
-        out[some] = np.add.reduceat(common.mixed(values ^ np.uint64(salt)), first[some])
+        out[some] = common.mixed(np.add.reduceat(common.mixed(values ^ np.uint64(0x1B873593)), first[some]))
     return out
 
 
 def bucketed(nodes: DataFrame, tables: common.Scratch) -> DataFrame:
-    """(band, node, n): the members of buckets that hold several nodes."""
-    buckets = nodes.select("node", "n", F.explode("bands").alias("band"))
+    """(band, node, n, id, c): the members of buckets that hold several nodes, and how many."""
+    buckets = nodes.select("node", "n", "id", F.explode("bands").alias("band"))
     shared = tables.write(buckets.groupBy("band").agg(F.count("*").alias("c")).where("c > 1"), "shared")
     maybe = common.with_maybe(buckets, F.col("band"), shared.select("band")).where("_maybe").drop("_maybe")
     return tables.write(maybe.join(shared, "band"), "members")
@@ -147,11 +148,11 @@ def known_shingles(rows: DataFrame, members: DataFrame, least: float, shingle: i
 
     Nodes with too few of them to be similar to any other are left out.
     """
-    asked = tables.write(members.groupBy("node").agg(F.max("n").alias("n"), F.sum("c").alias("rank")), "asked")
-    sets = shingle_sets(common.with_maybe(rows, F.col("id"), asked.select("node.id")).where("_maybe").select("id", "text"), shingle, weights)
-    sets = tables.write(sets.join(asked.select("node"), "node", "left_semi"), "sets")
+    asked = tables.write(members.groupBy("node").agg(F.max("n").alias("n"), F.sum("c").alias("rank"), F.min("id").alias("id")), "asked")
+    some = common.with_maybe(rows, F.col("id"), asked.select("id"), bits_a_key=64).where("_maybe").select("text")
+    sets = tables.write(shingle_sets(some, shingle, weights), "sets")  # with a few that are not asked for, which do no harm
     each = sets.select("node", F.explode("shingles").alias("s"))
-    counted = each.groupBy("s").agg(F.count("*").alias("c"), F.min("node.lo").alias("a"), F.max("node.lo").alias("b"))
+    counted = each.groupBy("s").agg(F.count("*").alias("c"), F.min("node").alias("a"), F.max("node").alias("b"))
     counted = tables.write(counted.where("a <> b").select("s", F.col("c").cast("int").alias("c")), "known")
     own = each.join(counted, "s").groupBy("node").agg(F.array_sort(F.collect_set(F.struct("c", "s"))).alias("w"))
     own = own.join(asked, "node").select("node", "n", F.size("w").alias("m"), "rank", F.transform("w", lambda x: x["s"]).alias("w"))
@@ -161,30 +162,35 @@ def known_shingles(rows: DataFrame, members: DataFrame, least: float, shingle: i
 
 
 def links(rows: DataFrame, nodes: DataFrame, tied: DataFrame, least: float, shingle: int, weights: str, small: int = SMALL) -> DataFrame:
-    """(id, label): the class of each node that has a link; tied (u, v) are links known before."""
+    """(node, label): the class of each node that has a link; tied (u, v) are links known before."""
     tables = common.Scratch(rows.sparkSession)
     share = least / (1 + least)  # of the sizes of two nodes, what they have in common where they are linked
     members = bucketed(nodes, tables)
     weighed = known_shingles(rows, members, least, shingle, weights, tables)
     central = F.struct(F.col("m") / F.col("n"), F.col("rank"), F.xxhash64("node"), F.col("node"))
-    alive = members.select("band", "node").join(weighed.drop("w"), "node")
+    alive = tables.write(members.select("band", "node").join(weighed.drop("w"), "node"), "alive")
     hubs = tables.write(alive.groupBy("band").agg(F.max_by("node", central).alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c"), "hubs")
     asked = alive.join(hubs, "band").where("node <> hub").select(F.xxhash64("hub").alias("g"), "hub", "node").distinct()
+    asked = tables.write(asked, "asked")
     kept = weighed.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("w").alias("hub_w"))
-    groups = tables.write(asked.select("g", "hub").distinct().join(kept, "hub").withColumn("aside", F.col("hub_w")), "groups")
-    asked = tables.write(asked.select("g", "node"), "asked")
-    labels = tables.write(components(tied), "labels")
-    while asked.take(1):
+    groups = asked.select("g", "hub").distinct().join(kept, "hub").withColumn("aside", F.col("hub_w"))
+    found, labels, level = tied, None, 0
+    while True:
+        groups = tables.write(groups, "groups")
         met = tables.write(_met(asked, groups, weighed, least), "met")
-        labels = _joined_classes(labels, met.where("linked").select(F.col("node").alias("u"), F.col("hub").alias("v")), tables)
+        found = found.unionAll(met.where("linked").select(F.col("node").alias("u"), F.col("hub").alias("v")))
+        if labels is None:  # later links are few, and spare no work worth their classes
+            labels = tables.write(components(found), "labels")
         left = _labelled(met, labels)
         several = tables.write(left.groupBy("g").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("g"), "open")
         left = tables.write(left.join(several, "g", "left_semi"), "left")
-        even = left.groupBy("g", F.col("n").alias("v_n")).agg(F.max("a").alias("v_a"))  # pairs that share enough of what is set aside
-        low = left.where(F.col("a") >= least * F.col("n")).join(tables.write(even, "even"), "g")
-        low = low.where((F.col("v_n") >= least * F.col("n")) & (F.least("a", "v_a") >= share * (F.col("n") + F.col("v_n")) - 1e-6))
+        if not left.take(1):
+            break
+        even = tables.write(left.groupBy("g", F.col("n").alias("v_n")).agg(F.max("a").alias("v_a")), "even")
+        enough = F.least("a", "v_a") >= share * (F.col("n") + F.col("v_n")) - 1e-6  # of what is set aside alone
+        low = left.where(F.col("a") >= least * F.col("n")).join(even, "g").where((F.col("v_n") >= least * F.col("n")) & enough)
         other = left.select("g", F.col("node").alias("v"), F.col("n").alias("v_n"), F.col("a").alias("v_a"), F.col("label").alias("v_label"))
-        pairs = low.drop("v_a").join(other, ["g", "v_n"]).where((F.col("label") != F.col("v_label")) & (F.least("a", "v_a") >= share * (F.col("n") + F.col("v_n")) - 1e-6))
+        pairs = low.drop("v_a").join(other, ["g", "v_n"]).where((F.col("label") != F.col("v_label")) & enough)
         pairs = pairs.select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v"))
         off = left.select("g", "node", "n", "label", F.explode("off").alias("s")).withColumn("sub", F.xxhash64("g", "s")).drop("s")
         shared = off.groupBy("sub").agg(F.count("*").alias("c"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("sub", "c")
@@ -192,14 +198,25 @@ def links(rows: DataFrame, nodes: DataFrame, tied: DataFrame, least: float, shin
         few = off.where(F.col("c") <= small).select("sub", "node", "n", "label")
         also = few.select("sub", F.col("node").alias("v"), F.col("n").alias("v_n"), F.col("label").alias("v_label"))
         few = few.join(also, "sub").where((F.col("node") < F.col("v")) & (F.col("label") != F.col("v_label")) & (F.least("n", "v_n") >= least * F.greatest("n", "v_n")))
-        pairs = tables.write(pairs.unionAll(few.select(F.col("node").alias("u"), "v")).distinct(), "pairs")
-        labels = _joined_classes(labels, _settled(pairs, weighed, least), tables)
-        many = off.where(F.col("c") > small).select(F.col("sub").alias("g"), F.col("g").alias("above"), "node").join(weighed.drop("w"), "node")
+        pairs = pairs.unionAll(few.select(F.col("node").alias("u"), "v")).distinct()
+        found = found.unionAll(tables.write(_settled(pairs, weighed, least), "links"))
+        many = off.where(F.col("c") > small).select(F.col("sub").alias("g"), F.col("g").alias("above"), "node")
+        level += 1
+        if not many.take(1):
+            break
+        many = many.join(weighed.drop("w"), "node")
         chosen = tables.write(many.groupBy("g").agg(F.max_by("node", central).alias("hub"), F.max("above").alias("above")), "chosen")
         asked = tables.write(many.select("g", "node").join(chosen.select("g", F.col("hub").alias("node")), ["g", "node"], "left_anti"), "asked")
         before = groups.select(F.col("g").alias("above"), F.col("aside").alias("before"))
-        groups = tables.write(chosen.join(before, "above").join(kept, "hub").select("g", "hub", "hub_n", "hub_w", F.array_union("before", "hub_w").alias("aside")), "groups")
-    tables.drop(members, weighed)
+        groups = chosen.join(before, "above").join(kept, "hub").select("g", "hub", "hub_n", "hub_w", F.array_union("before", "hub_w").alias("aside"))
+        if level % 4 == 0:  # so that the plan of the union stays short
+            found = tables.write(found, "links")
+    if level:
+        old = labels.select(F.col("node").alias("u"), F.col("label").alias("v"))
+        new = tables.write(found.where("u <> v").select("u", "v").join(old.withColumnRenamed("v", "a"), "u", "left").join(old.select(F.col("u").alias("v"), F.col("v").alias("b")), "v", "left").where("not (a <=> b) or a is null"), "links")
+        if new.take(1):
+            labels = tables.write(components(new.select("u", "v").unionAll(old)), "labels")
+    tables.drop(members, alive, weighed)
     return labels
 
 
@@ -209,7 +226,7 @@ def _met(asked: DataFrame, groups: DataFrame, weighed: DataFrame, least: float)
     A node similar enough to another shares one of the latter with it, or only
     shingles that are set aside.
     """
-    both = asked.join(weighed.drop("rank"), "node").join(groups, "g")
+    both = asked.select("g", "node").join(weighed.drop("rank"), "node").join(groups, "g")
     both = both.withColumn("_i", F.size(F.array_intersect("w", "hub_w"))).withColumn("a", F.size(F.array_intersect("w", "aside")))
     wanted = F.greatest(F.lit(1), F.ceil(least * F.col("n") - 1e-6).cast("int") - F.col("a"))
     first = F.col("n") - F.col("a") - wanted + 1 - (F.col("n") - F.col("m"))  # the rarest n - m are of no other node
@@ -225,17 +242,9 @@ def _settled(pairs: DataFrame, weighed: DataFrame, least: float) -> DataFrame:
     return both.where(F.col("_i") >= least * (F.col("u_n") + F.col("v_n") - F.col("_i"))).select("u", "v")
 
 
-def _joined_classes(labels: DataFrame, new: DataFrame, tables: common.Scratch) -> DataFrame:
-    """labels with the classes joined that new links (u, v) tie."""
-    new = tables.write(new, "links")
-    if not new.take(1):
-        return labels
-    return tables.write(components(new.unionAll(labels.select(F.col("id").alias("u"), F.col("label").alias("v")))), "labels")
-
-
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """rows with the class of their node as label."""
-    return rows.join(labels.withColumnRenamed("id", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = LEAST, shingle: int = SHINGLE, weights: str = "set", bands: int = BANDS, per_band: int = ROWS, small: int = SMALL) -> DataFrame:
@@ -244,19 +253,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lea
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text"))
     named = rows.where("id is not null")
     signed = tables.write(signatures(named, bands, per_band, shingle, weights), "signatures")
-    worded, blank = signed.where("n > 0").select("id", "lo", "hi"), signed.where("n = 0").select("id", F.col("id").alias("label"))
-    nodes = signed.where("n > 0").groupBy("lo", "hi").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.any_value("bands").alias("bands"))
-    nodes = tables.write(nodes.select("lo", "hi", F.struct("id", "lo").alias("node"), "n", "bands"), "nodes")
-    owned = tables.write(worded.join(nodes.select("lo", "hi", "node"), ["lo", "hi"]).select("id", "node"), "owned")
-    several = tables.write(owned.groupBy("id").agg(F.min("node").alias("u"), F.max("node").alias("last")).where("u <> last").select("id", "u"), "several")
-    tied = owned.join(several, "id").where("node <> u").select("u", F.col("node").alias("v"))
-    labels = links(named, nodes.select("node", "n", "bands"), tied, least, shingle, weights, small)
-    every = _labelled(owned, labels).select("id", F.col("label.id").alias("label")).unionAll(blank)
-    every = tables.write(every, "classes")
-    sizes = tables.write(every.groupBy("label").agg(F.count("*").alias("class_size")), "sizes")
-    found = every.join(sizes, "label").select(F.col("id").alias(id_col), F.col("label").alias("class_id"), "class_size")
+    nodes = signed.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.any_value("bands").alias("bands"))
+    nodes = tables.write(nodes, "nodes")
+    several = tables.write(signed.groupBy("id").agg(F.min("node").alias("u"), F.max("node").alias("last")).where("u <> last").select("id", "u"), "several")
+    tied = tables.write(signed.select("id", "node").join(several, "id").where("node <> u").select("u", F.col("node").alias("v")), "tied")
+    labels = links(named, nodes, tied, least, shingle, weights, small)
+    every = tables.write(_labelled(signed.select("id", "node"), labels).select("id", "label"), "classes")
+    classes = tables.write(every.groupBy("label").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size")), "sizes")
+    found = every.join(classes, "label").select(F.col("id").alias(id_col), "class_id", "class_size")
     none = rows.where("id is null").select(F.col("id").alias(id_col), F.lit(None).cast("bigint").alias("class_id"), F.lit(1).cast("bigint").alias("class_size"))
-    tables.drop(signed, nodes, owned)
+    tables.drop(signed, nodes)
     return found.unionAll(none).withColumn("kept", F.coalesce(F.col(id_col) == F.col("class_id"), F.lit(True)))
 
 
