@@ -46,7 +46,7 @@ class RunTokenizer(dict):
     between a Latin letter and an ASCII mark other than the apostrophe, so the
     ids of a text are those of its runs in turn. A run of letters or of marks
     alone is one pre-token and goes to the merges at once; any other run goes
-    through the whole tokenizer.
+    through the whole tokenizer, and so does a text that holds a special token.
     """
 
     def __init__(self, path: str, keep: int = 200_000):
@@ -54,7 +54,7 @@ class RunTokenizer(dict):
 
         super().__init__()
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.merges = self.whole.model
         self.as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.keep = keep
@@ -72,6 +72,8 @@ class RunTokenizer(dict):
         return found
 
     def ids(self, text: str) -> bytes:
+        if any(t in text for t in self.special):  # those are found in the text before anything else
+            return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.__getitem__, _RUNS.findall(_lowered(text))))
 
 
@@ -92,8 +94,10 @@ def tokenizer_at(path: str) -> RunTokenizer:
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", max_tokens: int = MAX_TOKENS) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of each document's ids; only longer ones are cut."""
 
+    name = common.shipped(docs.sparkSession, tokenizer)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end, width = tokenizer_at(tokenizer), np.asarray([END_ID], "<u4").tobytes(), 4 * max_tokens
+        encoder, end, width = tokenizer_at(common.received(name)), np.asarray([END_ID], "<u4").tobytes(), 4 * max_tokens
         for batch in batches:
             for part in common.slices(batch, "text"):
                 ids = [encoder.ids(x or "") for x in part.column("text").to_pylist()]
@@ -165,6 +169,12 @@ def pack(rows: DataFrame, max_tokens: int = MAX_TOKENS, open_bins: int = OPEN_BI
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, **limits: int) -> DataFrame:
+    """A row a piece of docs, packed: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    The vocabulary file is sent to the executors. Null texts, repeated rows and
+    ties are as above; further columns of any name are not read; an empty table
+    gives no rows.
+    """
     rows = pieces(docs, tokenizer or common.tokenizer_file("word_bpe_49k.json"), max_tokens=limits.get("max_tokens", MAX_TOKENS))
     return pack(common.write_table(rows, "pieces"), **limits)
 

@@ -91,10 +91,10 @@ def counter_at(path: str) -> tuple[PieceCounter, dict[bytes, int]]:
 
 def token_counts(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text: str = "text", keep: int = KEEP) -> DataFrame:
     """(doc_id, n_words, n_tokens) of each whole text."""
-    path = vocabulary or common.tokenizer_file("byte_bpe_50k.tiktoken")
+    name = common.shipped(docs.sparkSession, vocabulary or common.tokenizer_file("byte_bpe_50k.tiktoken"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, known = counter_at(path)
+        counter, known = counter_at(common.received(name))
         hasher = common.WordHasher(seed=10)
         for batch in batches:
             for part in common.slices(batch, "text"):
