@@ -17,6 +17,7 @@ from docketry.llm import common, fingerprints, mixing, packing, quality, queries
 from tests.llm.fixtures import SF, WORDS, hard_rows, near_classes, prose, shingles, table
 
 SF_10 = "/root/testdata/sf0.01"
+SF_100 = "/root/testdata/sf0.1"
 
 
 def test_fingerprints_of_texts_and_their_edits(spark):
@@ -36,7 +37,12 @@ def test_fingerprints_of_texts_and_their_edits(spark):
         for near, other in ((r.near_edited, edited), (r.near_next, after)):
             a, b = shingles_of(t), shingles_of(other)
             exact = len(a & b) / len(a | b) if a | b else 1.0
-            assert abs(near - exact) < (0.12 if min(len(a), len(b)) > 200 else 1.01)
+            if min(len(a), len(b)) > 200:
+                assert abs(near - exact) < 0.12
+            elif a == b:
+                assert near == 1.0
+            elif not a & b:
+                assert near == 0.0
     assert found[7].fingerprint == found[9].fingerprint != found[8].fingerprint
     assert found[1].fingerprint == found[2].fingerprint == ""
 
@@ -46,6 +52,30 @@ def shingles_of(text: str) -> set:
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
+def test_sketches_of_short_texts_keep_what_long_ones_keep(spark):
+    rng = np.random.default_rng(4)
+    words = [f"w{k}" for k in rng.integers(0, 50_000, 3000)]
+    short = [(k, " ".join(words[k * 20 : k * 20 + rng.integers(1, 15)])) for k in range(100)]
+    docs = table(spark, [*short, (1000, " ".join(words))])
+    part = {r.doc_id: set(r.sketch) for r in fingerprints.fingerprint(docs).collect()}
+    whole = {r.doc_id: set(r.sketch) for r in fingerprints.fingerprint(docs, fraction=1.0).collect()}
+    limit = 2**62  # a quarter of the hash space
+    for i in whole:
+        assert part[i] == {x for x in whole[i] if x % 2**64 < limit}
+    assert all(part[i] <= part[1000] for i, t in short if len(t.split()) >= 5)
+    assert all(len(whole[i]) == max(1, len(t.split()) - 4) for i, t in short)
+    assert 0.2 < sum(len(part[i]) for i, _ in short) / sum(len(whole[i]) for i, _ in short) < 0.3
+
+
+def test_likeness_is_exact_where_all_hashes_are_kept(spark):
+    rows = [(i, t) for i, t in dict(hard_rows()).items() if i is not None]
+    found = {r.doc_id: r for r in fingerprints.with_edits(table(spark, rows), fraction=1.0).collect()}
+    order = sorted(rows)
+    for k, (i, t) in enumerate(order):
+        a, b = shingles_of(t or ""), shingles_of(order[(k + 1) % len(order)][1] or "")
+        assert abs(found[i].near_next - (len(a & b) / len(a | b) if a | b else 1.0)) < 1e-12
+
+
 def test_fingerprints_of_repeated_and_null_ids(spark):
     rows = hard_rows()
     assert fingerprints.with_edits(table(spark, rows)).count() == len(rows)
@@ -67,9 +97,7 @@ def test_containment_of_unequal_documents_and_merging(spark):
 def tokenizer():
     from tokenizers import Tokenizer
 
-    made = Tokenizer.from_file(common.tokenizer_file("word_bpe_49k.json"))
-    made.encode_special_tokens = True
-    return made
+    return Tokenizer.from_file(common.tokenizer_file("word_bpe_49k.json"))
 
 
 def check_packing(rows, found, tokenizer, most):
@@ -94,7 +122,7 @@ def check_packing(rows, found, tokenizer, most):
 
 
 def test_packing_of_hard_rows(spark, tokenizer):
-    rows = hard_rows() + [(50, "<|endoftext|> it's é İstanbul ǅ don't_stop 3.14 naïve x ﬁn ΑΣ"), (51, "tab\tand\rreturn\x0bvt\x85nel"), (52, "ÉCOLE ÑANDÚ STRAẞE ß")]
+    rows = hard_rows() + [(50, "<|endoftext|> it's é İstanbul ǅ don't_stop 3.14 naïve x ﬁn ΑΣ"), (51, "tab\tand\rreturn\x0bvt\x85nel"), (52, "ÉCOLE ÑANDÚ STRAẞE ß"), (53, "a <|endoftext|> b"), (54, "A<|startoftext|>É<|ENDOFTEXT|> <|endoftext |>")]
     found = packing.pack_documents(table(spark, rows, clash=True)).collect()
     bins, least = check_packing(rows, found, tokenizer, 4096)
     assert bins <= least + 1
@@ -208,14 +236,31 @@ def test_toxicity_on_held_out_rows(spark):
     assert np.mean([p == y for p, y in held]) > 0.93
 
 
-@pytest.mark.xfail(reason="open: with the 305 training rows of sf0.01, accuracy is 0.94 and 10 of 12 rejected held-out rows are toxic")
-def test_toxicity_on_held_out_rows_as_first_aimed_at(spark):
-    label = {r.doc_id: r.toxic for r in common.load(spark, SF_10, "labels").collect()}
-    held = [(r.predicted, label[r.doc_id]) for r in toxicity.op9_toxicity(spark, SF_10).collect() if r.held_out and r.doc_id in label]
-    assert np.mean([y for p, y in held if p]) > 0.85
+def test_toxicity_on_more_held_out_rows(spark):
+    label = {r.doc_id: r.toxic for r in common.load(spark, SF_100, "labels").collect()}
+    held = [(r.predicted, label[r.doc_id]) for r in toxicity.op9_toxicity(spark, SF_100).collect() if r.held_out and r.doc_id in label]
+    assert np.mean([y for p, y in held if p]) > 0.9
     assert np.mean([p == y for p, y in held]) > 0.97
 
 
+def test_counterfactual_texts_swap_terms_within_their_lists():
+    made = toxicity.counterfactuals("The Muslims, and a woman of France: muslims")
+    assert len(made) == toxicity.COPIES + 1 and not toxicity.counterfactuals("the town and others") and not toxicity.counterfactuals("")
+    assert made[-1] == "The , and a  of France: "
+    for text in made[:-1]:
+        first, woman, again = text.split()[1].rstrip(","), text.split()[4], text.split()[7]
+        assert first == again and first in toxicity.OTHERS["muslims"] and woman in toxicity.OTHERS["woman"]
+
+
+def test_changes_of_counterfactuals_are_the_features_that_differ():
+    terms = [[1, 2, 3], [1, 4], [2, 3], [5], [0]]  # a text, two copies of it, another text and its copy
+    terms = [np.array(t) for t in terms]
+    row, column = np.repeat(np.arange(5), [len(t) for t in terms]), np.concatenate(terms)
+    copy = np.array([0, 1, 2, 0, 1])
+    case, at, sign = toxicity.differences(row, column, (copy == 0)[row], np.cumsum(copy == 0) - 1, 6)
+    assert set(zip(case.tolist(), at.tolist(), sign.tolist(), strict=True)) == {(0, 2, -1.0), (0, 3, -1.0), (0, 4, 1.0), (1, 1, -1.0), (2, 5, -1.0), (2, 0, 1.0)}
+
+
 def test_toxicity_does_not_turn_on_group_terms(spark):
     docs = common.load(spark, SF_10, "documents")
     model = toxicity.fit(docs, common.load(spark, SF_10, "labels"))
@@ -263,6 +308,17 @@ def test_quality_on_held_out_rows(spark):
     assert np.mean([a > b for a in good for b in bad]) > 0.9
 
 
+def test_quality_views_are_calibrated(spark):
+    """In each view, rows scored in a range are good about as often as their scores say."""
+    scores = {r.doc_id: r for r in quality.op2_quality_cotraining(spark, SF_100).collect()}
+    held = [(scores[r.doc_id], r.quality) for r in common.load(spark, SF_100, "labels").collect() if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    for view in ("content_score", "meta_score", "score"):
+        p, y = np.array([s[view] for s, _ in held]), np.array([q for _, q in held])
+        for low, high in ((0, 0.2), (0.2, 0.5), (0.5, 0.8), (0.8, 1.01)):
+            some = (p >= low) & (p < high)
+            assert some.sum() < 30 or abs(p[some].mean() - y[some].mean()) < 0.12, (view, low, some.sum(), p[some].mean(), y[some].mean())
+
+
 def test_quality_of_hard_rows_and_without_labels(spark):
     rows = hard_rows()
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
