@@ -1,16 +1,19 @@
 """Exact dedup by a log-structured merge index, in DataFrame operations only.
 
-Each task flushes its memtable of (digest, id) as one sorted run with a Bloom
-filter and value bounds in the file; compaction merges the runs into one row a
-digest (what is to stay, and how many there are), aggregated before the shuffle
-so that a digest of a third of all rows sends one row a task; digests met more
-than once are hits, and the bytes of their texts are compared. No step looks
-digests up by the order or the filters of the runs: all are read whole.
+Each task flushes its memtable of (digest, id) as one sorted run. The runs'
+digests, in eight bytes and merged in each task before they travel, give a
+filter: a bounded bitmap of those that two rows have. Rows that the filter rules
+out have no copy; they never enter the index and are settled on the spot. The others are
+compacted into one row a digest (what is to stay, and how many there are),
+aggregated before the shuffle, so that a digest of a third of all rows sends
+one row a task; digests met more than once are hits, and the bytes of their
+texts are compared.
 
 Of equal texts the row with the largest id stays, by the contract of the query;
-keep="smallest" gives the other order. Defined results: null text counts as
+keep="smallest" gives the order of the method. Defined results: null text counts as
 empty; a null id is below every other; of rows that repeat id and text, one
-stays; two texts of one digest that differ stop the job with an error.
+stays; two texts of one digest that differ stop the job with an error; an empty
+table gives no rows; further columns of any name are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +31,14 @@ def digest_of(text: str) -> Column:
 def flush_runs(docs: DataFrame, id_col: str, text: str, digest: Column) -> DataFrame:
     """(digest, alt, id, row): one sorted run a task; alt is a second hash."""
     rows = docs.select(digest.alias("digest"), F.xxhash64(common.text_of(text)).alias("alt"), F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"))
-    return common.write_table(rows.sortWithinPartitions("digest", "alt"), "runs", bloom="digest")
+    return common.write_table(rows.sortWithinPartitions("digest", "alt"), "runs")
+
+
+def probed(runs: DataFrame) -> DataFrame:
+    """runs with _maybe: false where the filter of the runs has no second row of the digest."""
+    short = F.xxhash64("digest", "alt")
+    twice = common.write_table(runs.select(short.alias("k")).groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k"), "filter")
+    return common.with_maybe(runs, short, twice)
 
 
 def compact(runs: DataFrame, keep: str = "largest") -> DataFrame:
@@ -54,16 +64,12 @@ def verify(docs: DataFrame, index: DataFrame, text: str, digest: Column) -> None
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keep: str = "largest", digest: Column | None = None) -> DataFrame:
     """One row a document: id, keep_id, group_size, kept, text_sha256 (the digest in hex)."""
     digest = digest_of(text) if digest is None else digest
-    runs = flush_runs(docs, id_col, text, digest)
-    index = compact(runs, keep)
+    runs = probed(flush_runs(docs, id_col, text, digest))
+    index = compact(runs.where("_maybe"), keep)
     verify(docs, index, text, digest)
-    return runs.join(index, ["digest", "alt"]).select(
-        F.col("id").alias(id_col),
-        F.col("best.id").alias("keep_id"),
-        F.col("n").alias("group_size"),
-        (F.col("row") == F.col("best.row")).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
-    )
+    alone = runs.where("not _maybe").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("bigint").alias("n"), F.lit(True).alias("kept"), "digest")
+    met = runs.where("_maybe").join(index, ["digest", "alt"]).select("id", F.col("best.id").alias("keep_id"), "n", (F.col("row") == F.col("best.row")).alias("kept"), "digest")
+    return alone.unionAll(met).select(F.col("id").alias(id_col), "keep_id", F.col("n").alias("group_size"), "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keep: str = "largest") -> DataFrame:
@@ -71,7 +77,8 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", kee
 
     The rows to go are looked up by id and digest; of rows that repeat both,
     one is kept. Documents that a bounded bitmap of the ids to go rules out are
-    passed on without a shuffle.
+    passed on without a shuffle. Null texts and ids are as above; further columns
+    of any name are passed on; an empty table gives an empty one.
     """
     fate = common.write_table(exact_dedup(docs, id_col, text, keep), "fate")
     pairs = fate.select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"), "kept")
