@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docketry.functions import conditions, text
-from docketry.operators import findings, relational
+from docketry.operators import containment, findings, relational
 from docketry.sources.tables import load, page_kind
 
 _RULES = [("R_NAV", "MEDIUM", "the"), ("R_TION", "LOW", "tion"), ("R_SCUM", "HIGH", "scum"), ("R_PIPE", "LOW", " | "), ("R_EMAIL", "HIGH", "@"), ("R_LICENSE", "MEDIUM", "license")]
@@ -72,15 +72,8 @@ def exact_duplicate_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def benchmark_containment(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents that hold the first eight words of a benchmark passage, found by those words' 8-gram."""
-
-    def grams(c: str) -> F.Column:
-        words = F.filter(F.split(text.normalised(F.col(c)), " "), lambda x: x != "")
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 7, F.lit(1))), lambda i: F.array_join(F.slice(words, i, 8), " "))
-
-    items = load(spark, sf, "benchmark").select("item_id", F.element_at(grams("text"), 1).alias("gram"))
-    docs = load(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(grams("text"))).alias("gram"))
-    return docs.join(items, "gram").select("doc_id", "item_id")
+    """Documents that hold eight consecutive words of a benchmark passage, wherever they stand in it."""
+    return containment.shared_passages(load(spark, sf, "documents").select("doc_id", "text"), "doc_id", load(spark, sf, "benchmark").select("item_id", "text"), "item_id", "text")
 
 
 def script_profile(spark: SparkSession, sf: str) -> DataFrame:
@@ -221,10 +214,10 @@ ORACLE_SQL = {
         WITH n AS (SELECT doc_id, {_NORM.format("text")} AS norm FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS canonical, count(*) OVER w AS copies FROM n WHERE length(norm) >= 120 WINDOW w AS (PARTITION BY norm) QUALIFY copies > 1""",
     "benchmark_containment": f"""
-        WITH b AS (SELECT item_id, string_split({_NORM.format("text")}, ' ') AS w FROM benchmark), i AS (SELECT item_id, array_to_string(w[1:8], ' ') AS gram FROM b),
-        d AS (SELECT doc_id, string_split({_NORM.format("text")}, ' ') AS w FROM documents),
+        WITH b AS (SELECT item_id, string_split({_NORM.format("text")}, ' ') AS w FROM benchmark), d AS (SELECT doc_id, string_split({_NORM.format("text")}, ' ') AS w FROM documents),
+        i AS (SELECT DISTINCT item_id, array_to_string(w[k:k+7], ' ') AS gram FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 7, 1) + 1)) AS k FROM b)),
         g AS (SELECT DISTINCT doc_id, array_to_string(w[k:k+7], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 7, 1) + 1)) AS k FROM d))
-        SELECT doc_id, item_id FROM g JOIN i USING (gram)""",
+        SELECT DISTINCT doc_id, item_id FROM g JOIN i USING (gram)""",
     "script_profile": r"""
         WITH s AS (SELECT doc_id, unnest(['latin', 'devanagari', 'gujarati', 'cyrillic', 'greek']) AS script,
           unnest([len(regexp_extract_all(text, '[A-Za-zÀ-ɏ]')), len(regexp_extract_all(text, '[ऀ-ॿ]')), len(regexp_extract_all(text, '[઀-૿]')), len(regexp_extract_all(text, '[Ѐ-ӿ]')), len(regexp_extract_all(text, '[Ͱ-Ͽ]'))]) AS n FROM documents)
