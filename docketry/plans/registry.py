@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docketry.plans import case_queries, relational_queries, sequence_queries, text_queries
+from docketry.plans import case_queries, gate_queries, ownership_queries, relational_queries, sequence_queries, text_queries
 
 FLAGSHIP = "rule_findings"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**relational_queries.QUERIES, **sequence_queries.QUERIES, **text_queries.QUERIES, **case_queries.QUERIES}
-ORACLE_SQL: dict[str, str] = {**relational_queries.ORACLE_SQL, **sequence_queries.ORACLE_SQL, **text_queries.ORACLE_SQL, **case_queries.ORACLE_SQL}
+_MODULES = (relational_queries, sequence_queries, text_queries, case_queries, ownership_queries, gate_queries)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
