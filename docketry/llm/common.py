@@ -137,7 +137,7 @@ def ranged(df: DataFrame, *order: Column | str, name: str = "ranged") -> DataFra
 # ------------------------------------------------------------------ Arrow text
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Zero-copy slices of about max_bytes of text; a longer text is a slice of its own."""
     if not batch.num_rows:
         return

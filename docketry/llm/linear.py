@@ -72,15 +72,30 @@ def featured(rows: DataFrame, text: str, *keep: str, stems: Sequence[int] = (),
     return rows.mapInArrow(run, schema)
 
 
-def screen(owner: np.ndarray, buckets: np.ndarray, label: np.ndarray, least_rows: int, most: int) -> np.ndarray:
-    """Buckets whose share of label-1 rows differs from the rest's beyond chance, at most `most`, ascending.
+def _chunks(lengths: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int, int, int]]:
+    """Ranges of rows with about `most` entries, and their entries."""
+    ends = np.r_[0, np.cumsum(lengths, dtype=np.int64)]
+    begin = 0
+    while begin < len(lengths):
+        end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + most, "right")) - 1)
+        yield begin, end, int(ends[begin]), int(ends[end])
+        begin = end
+
+
+def screen(lengths: np.ndarray, buckets: np.ndarray, use: np.ndarray, label: np.ndarray, least_rows: int, most: int) -> np.ndarray:
+    """Buckets whose share of label-1 rows (of those in use) differs from the rest's beyond chance, at most `most`, ascending.
 
     The measure is twice the log-likelihood ratio; its bar rises with the number
     of buckets that are compared, so that few pass by chance at any sample size.
     """
-    positive = float(np.clip(label.mean(), 1e-6, 1 - 1e-6)) if len(label) else 0.5
+    positive = float(np.clip(label[use].mean(), 1e-6, 1 - 1e-6)) if use.any() else 0.5
     size = 1 << BUCKET_BITS
-    seen, ones = np.bincount(buckets, minlength=size), np.bincount(buckets, label[owner], size)
+    seen, ones = np.zeros(size), np.zeros(size)
+    for a, b, x, y in _chunks(lengths):
+        taken = np.repeat(use[a:b], lengths[a:b])
+        own = buckets[x:y][taken]
+        seen += np.bincount(own, minlength=size)
+        ones += np.bincount(own, np.repeat(label[a:b], lengths[a:b])[taken], size)
     tried = np.flatnonzero(seen >= least_rows)
     share = np.clip(ones[tried] / seen[tried], 1e-12, 1 - 1e-12)
     ratio = 2 * seen[tried] * (share * np.log(share / positive) + (1 - share) * np.log((1 - share) / (1 - positive)))
@@ -88,6 +103,17 @@ def screen(owner: np.ndarray, buckets: np.ndarray, label: np.ndarray, least_rows
     return np.sort(tried[best[ratio[best] >= 2 * np.log(max(len(tried), 1)) + 6]])
 
 
+def columns_of(lengths: np.ndarray, buckets: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the entries that are features (ascending buckets)."""
+    rows, columns = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    for a, b, x, y in _chunks(lengths):
+        column = np.minimum(np.searchsorted(features, buckets[x:y]), len(features) - 1)
+        inside = features[column] == buckets[x:y]
+        rows.append(np.repeat(np.arange(a, b, dtype=np.int32), lengths[a:b])[inside])
+        columns.append(column[inside].astype(np.int32))
+    return np.concatenate(rows), np.concatenate(columns)
+
+
 def fit_logistic(owner: np.ndarray, column: np.ndarray, width: int, label: np.ndarray, l2: float, changes: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None, change_weight: float = 0.0, rounds: int = 300) -> tuple[np.ndarray, float]:
     """Weights and intercept by accelerated gradient descent on rows given as (owner, column) entries.
 

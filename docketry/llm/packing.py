@@ -19,7 +19,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,7 +48,7 @@ class RunTokenizer(dict):
     through the whole tokenizer, and so does a text that holds a special token.
     """
 
-    def __init__(self, path: str, keep: int = 200_000):
+    def __init__(self, path: str, keep: int = 100_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__()
@@ -157,15 +156,15 @@ def pack(rows: DataFrame, max_tokens: int = MAX_TOKENS, open_bins: int = OPEN_BI
     groups = max(1, -(-rows.count() // group_pieces))
     keyed = rows.withColumn("order", F.xxhash64(*rows.columns)).withColumn("grp", F.pmod(F.col("order"), F.lit(groups)).cast("bigint"))
 
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["order", "doc_id", "piece"], ignore_index=True)
-        bins, offsets = best_fit(group["length"].tolist(), max_tokens, open_bins)
-        group["sequence_id"] = (int(key[0]) << 32) + np.asarray(bins, np.int64)
-        group["offset"] = np.asarray(offsets, np.int64)
-        return group.drop(columns=["order", "grp"])
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        group = group.sort_by([(c, "ascending") for c in ("order", "doc_id", "piece")])
+        bins, offsets = best_fit(group.column("length").to_pylist(), max_tokens, open_bins)
+        group = group.drop_columns(["order", "grp"])
+        group = group.append_column("sequence_id", pa.array((key[0].as_py() << 32) + np.asarray(bins, np.int64)))
+        return group.append_column("offset", pa.array(np.asarray(offsets, np.int64)))
 
     schema = rows.withColumn("sequence_id", F.lit(0).cast("bigint")).withColumn("offset", F.lit(0).cast("bigint")).schema
-    return keyed.groupBy("grp").applyInPandas(run, schema)
+    return keyed.groupBy("grp").applyInArrow(run, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, **limits: int) -> DataFrame:

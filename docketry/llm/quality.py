@@ -22,7 +22,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,19 +67,12 @@ def part_of(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4
 
 
-def entries(terms: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bucket) of lists of buckets."""
-    return np.repeat(np.arange(len(terms)), [len(x) for x in terms]), np.concatenate([*terms, np.zeros(0, np.int64)]).astype(np.int64)
-
-
-def fit_view(terms: list[np.ndarray], label: np.ndarray) -> Model:
-    owner, buckets = entries(terms)
-    features = linear.screen(owner, buckets, label, least_rows=max(5, len(terms) // 500), most=4096)
+def fit_view(lengths: np.ndarray, buckets: np.ndarray, label: np.ndarray) -> Model:
+    features = linear.screen(lengths, buckets, np.ones(len(label), bool), label, least_rows=max(5, len(label) // 500), most=4096)
     if not len(features):
         return np.zeros(1 << linear.BUCKET_BITS, np.float32), 0.0
-    column = np.minimum(np.searchsorted(features, buckets), len(features) - 1)
-    inside = features[column] == buckets
-    weights, bias = linear.fit_logistic(owner[inside], column[inside], len(features), label, 1e-4, rounds=200)
+    row, column = linear.columns_of(lengths, buckets, features)
+    weights, bias = linear.fit_logistic(row, column, len(features), label, 1e-4, rounds=200)
     return linear.dense(features, weights), bias
 
 
@@ -100,14 +92,15 @@ def calibrated(x: np.ndarray, label: np.ndarray) -> np.ndarray:
 def _fitted(rows: DataFrame) -> dict[str, Model]:
     """Models of both views, in one task, on rows (_id, view, label, terms), whose number is bounded."""
 
-    def train(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["_id", "label"], ignore_index=True)
-        weights, bias = fit_view(group["terms"].tolist(), group["label"].to_numpy())
+    def train(key: tuple, group: pa.Table) -> pa.Table:
+        group = group.sort_by([("_id", "ascending"), ("label", "ascending")]).combine_chunks()
+        terms = group.column("terms").combine_chunks()
+        weights, bias = fit_view(np.diff(terms.offsets.to_numpy()), terms.flatten().to_numpy(), group.column("label").to_numpy())
         used = np.flatnonzero(weights)
-        return pd.DataFrame({"view": key[0], "bucket": np.append(used, -1).astype(np.int64), "weight": np.append(weights[used], bias).astype(float)})
+        return pa.table({"view": pa.array([key[0].as_py()] * (len(used) + 1)), "bucket": pa.array(np.append(used, -1).astype(np.int64)), "weight": pa.array(np.append(weights[used], bias).astype(float))})
 
     models = {v: (np.zeros(1 << linear.BUCKET_BITS, np.float32), 0.0) for v in VIEWS}
-    for row in rows.groupBy("view").applyInPandas(train, "view string, bucket bigint, weight double").collect():
+    for row in rows.groupBy("view").applyInArrow(train, "view string, bucket bigint, weight double").collect():
         weights, bias = models[row["view"]]
         if row["bucket"] < 0:
             models[row["view"]] = weights, row["weight"]

@@ -22,7 +22,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,13 +102,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     rows = docs.select(F.col(id_col).alias("_doc"), F.col(text).alias("_text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))
     rows = with_counterfactuals(rows.select("_id", "_label", "_text"), "_text")
 
-    def train(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["_id", "copy"], ignore_index=True, kind="stable")
-        weights, bias = fit_sample(group["terms"].tolist(), group["copy"].to_numpy(), group["_label"].to_numpy(), penalty)
+    def train(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("_id", "ascending"), ("copy", "ascending")]).combine_chunks()
+        terms = group.column("terms").combine_chunks()
+        lengths = np.diff(terms.offsets.to_numpy())
+        weights, bias = fit_sample(lengths, terms.flatten().to_numpy(), group.column("copy").to_numpy(), group.column("_label").to_numpy(), penalty)
         used = np.flatnonzero(weights)
-        return pd.DataFrame({"bucket": np.append(used, -1).astype(np.int64), "weight": np.append(weights[used], bias).astype(float)})
+        return pa.table({"bucket": pa.array(np.append(used, -1).astype(np.int64)), "weight": pa.array(np.append(weights[used], bias).astype(float))})
 
-    found = rows.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(train, "bucket bigint, weight double").collect()
+    found = rows.withColumn("_all", F.lit(0)).groupBy("_all").applyInArrow(train, "bucket bigint, weight double").collect()
     weights, bias = np.zeros(1 << linear.BUCKET_BITS, np.float32), -30.0
     for row in found:
         if row["bucket"] < 0:
@@ -119,21 +120,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     return weights, bias
 
 
-def fit_sample(terms: list[np.ndarray], copy: np.ndarray, label: np.ndarray, penalty: float) -> tuple[np.ndarray, float]:
-    """Weights and intercept; rows of copy 1 and more are counterfactuals of the last row of copy 0 before them."""
+def fit_sample(lengths: np.ndarray, buckets: np.ndarray, copy: np.ndarray, label: np.ndarray, penalty: float) -> tuple[np.ndarray, float]:
+    """Weights and intercept from rows of `lengths` buckets each; rows of copy 1 and more are counterfactuals of the last row of copy 0 before them."""
     real = copy == 0
-    text = np.cumsum(real) - 1
-    row = np.repeat(np.arange(len(terms)), [len(x) for x in terms])
-    buckets = np.concatenate([*terms, np.zeros(0, np.int64)]).astype(np.int64)
-    own = real[row]
-    features = linear.screen(text[row[own]], buckets[own], label[real], least_rows=max(5, int(real.sum()) // 1000), most=2048)
+    text = (np.cumsum(real) - 1).astype(np.int32)
+    features = linear.screen(lengths, buckets, real, label, least_rows=max(5, int(real.sum()) // 1000), most=2048)
     if not len(features):
         share = np.clip(label[real].mean(), 1e-6, 1 - 1e-6) if real.any() else 1e-13
         return np.zeros(1 << linear.BUCKET_BITS, np.float32), float(np.log(share / (1 - share)))
-    column = np.searchsorted(features, buckets)
-    column[column == len(features)] = 0
-    inside = features[column] == buckets
-    row, column, own = row[inside], column[inside], own[inside]
+    row, column = linear.columns_of(lengths, buckets, features)
+    own = real[row]
     changes = differences(row, column, own, text, len(features))
     weights, bias = linear.fit_logistic(text[row[own]], column[own], len(features), label[real], 1e-5, changes, penalty)
     return linear.dense(features, weights), bias
@@ -147,7 +143,7 @@ def differences(row: np.ndarray, column: np.ndarray, own: np.ndarray, text: np.n
     sizes = (last - first)[text[copies]]
     places = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(first[text[copies]], sizes)
     lost = np.repeat(copies, sizes) * width + column[own][places]
-    got = row[~own] * width + column[~own]
+    got = row[~own].astype(np.int64) * width + column[~own]
     gone, new = np.setdiff1d(lost, got, assume_unique=True), np.setdiff1d(got, lost, assume_unique=True)
     both, sign = np.r_[gone, new].astype(np.int64), np.r_[-np.ones(len(gone)), np.ones(len(new))]
     return np.unique(both // width, return_inverse=True)[1].ravel(), both % width, sign
