@@ -62,7 +62,7 @@ PEOPLE = {
     "k": _K,
     "app": f"CAST(floor(({_K} - 1) / 4) AS BIGINT)",
     "person": f"concat('p', {text(f'({_K} - 1) % 4')})",
-    "role": word("primary coapplicant coapplicant guarantor", f"{_K} - 1"),
+    "role": word("primary coapplicant coapplicant guarantor", f"{_K} + 3"),
     "relationship": f"CASE ({_K} - 1) % 4 WHEN 1 THEN 'wife' WHEN 2 THEN 'son' WHEN 3 THEN 'father' END",
     "applicant_name": name(_K),
     "father_name": name(f"{_K} + 7"),
