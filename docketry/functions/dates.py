@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Formats tried in turn, day first.
-FORMATS = ("yyyy-MM-dd", "dd/MM/yyyy", "dd-MM-yyyy", "dd.MM.yyyy", "d MMM yyyy", "d MMMM yyyy", "dd/MM/yy", "yyyy/MM/dd")
+FORMATS = ("yyyy-MM-dd", "dd/MM/yyyy", "dd-MM-yyyy", "dd.MM.yyyy", "d MMM yyyy", "d MMMM yyyy", "dd/MM/yy", "yyyy/MM/dd", "dd-MMM-yyyy", "dd MMM, yyyy", "MMM d, yyyy")
 
 
 def parsed_date(c: Column) -> Column:
@@ -47,3 +47,24 @@ def within_days(a: Column, b: Column, days: int) -> Column:
 
 def stale(updated: Column, now: Column, minutes: int) -> Column:
     return minutes_between(updated, now) > minutes
+
+
+def age_in_years(born: Column, at: Column, least: int = 18, most: int = 100) -> Column:
+    """Whole years from born to at; null outside least..most."""
+    years = F.year(at) - F.year(born) - F.when(F.month(at) * 100 + F.dayofmonth(at) < F.month(born) * 100 + F.dayofmonth(born), 1).otherwise(0)
+    return F.when(years.between(least, most), years)
+
+
+def reference_date(written: list[Column], default: Column) -> Column:
+    """The first of some written dates that can be read, else the default."""
+    return F.coalesce(*[parsed_date(c) for c in written], default)
+
+
+def day_bounds(day: Column) -> tuple[Column, Column]:
+    """First moment of a day and of the next, in the session's time zone."""
+    return day.cast("date").cast("timestamp"), F.date_add(day.cast("date"), 1).cast("timestamp")
+
+
+def cutoff_text(now: Column, days: int) -> Column:
+    """A moment so many days before, as text that sorts like time."""
+    return F.date_format(now.cast("timestamp") - F.make_dt_interval(F.lit(days)), "yyyy-MM-dd HH:mm:ss")

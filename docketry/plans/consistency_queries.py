@@ -13,7 +13,7 @@ from docketry.sources.tables import load
 
 _O = "o_orderkey"
 #: Pages with a text of their own, which says what the page shows, and now and then more.
-_RELATED = f"CASE WHEN {_O} % 8 < 4 THEN {casefile.name(casefile.PAGES['app'] + ' * 4 + 1')} WHEN {_O} % 8 < 6 THEN {casefile.name('o_custkey + 3')} ELSE 'kishan rathod' END"
+_RELATED = f"CASE WHEN {_O} % 8 < 4 THEN {casefile.name(casefile.PAGES['app'] + ' * 4 + 121')} WHEN {_O} % 8 < 6 THEN {casefile.name('o_custkey + 3')} ELSE 'kishan rathod' END"
 MORE = {
     **casefile.PAGES,
     "qualifier": casefile.word("S/O D/O W/O C/O", f"{_O} * 3"),
@@ -164,7 +164,7 @@ ORACLE_SQL = {
         WITH {casefile.PEOPLE_SQL}, {_MORE_SQL}, p AS (SELECT app, page_number, document_type, {_compact("body")} AS b, CASE WHEN page_number % 2 = 0 THEN 'd' || CAST(CAST(floor(page_number / 6000) AS BIGINT) AS VARCHAR) END AS d FROM pages),
         o AS (SELECT p.app, page_number, document_type, d, pan_number AS value FROM people k JOIN p ON k.app = p.app WHERE page_number % 7 = 0)
         SELECT o.app, o.page_number, o.value, coalesce(arg_min(p.page_number, CASE WHEN p.page_number = o.page_number THEN -1 ELSE p.page_number END), o.page_number) AS support
-        FROM o LEFT JOIN p ON p.app = o.app AND contains(p.b, lower(o.value)) AND ((o.d IS NOT NULL AND p.d = o.d) OR (o.d IS NULL AND p.document_type = o.document_type AND abs(p.page_number - o.page_number) <= 4000)) GROUP BY ALL""",
+        FROM o LEFT JOIN p ON p.app = o.app AND contains(p.b, lower(o.value)) AND ((o.d IS NOT NULL AND p.d = o.d) OR (o.d IS NULL AND p.document_type = o.document_type AND abs(p.page_number - o.page_number) <= 4000)) GROUP BY o.app, o.page_number, o.value""",
     "nearby_pages": f"""
         WITH {casefile.PAGES_SQL} SELECT app, page_number FROM pages p WHERE EXISTS (SELECT 1 FROM pages f WHERE f.app = p.app AND f.document_type = 'Application Form' AND abs(f.page_number - p.page_number) <= 600)""",
     "address_variant_matches": f"""
