@@ -58,9 +58,10 @@ def masked(c: Column, shown: int = 4, most: int = 8) -> Column:
     return F.when(length <= shown, F.repeat(F.lit("*"), length)).otherwise(F.concat(F.repeat(stars, hidden), F.right(c, F.lit(shown))))
 
 
-def harvest(c: Column, pattern: str, most: int = 10) -> Column:
-    """Distinct matches in order, at most `most`."""
-    return F.slice(F.array_distinct(F.regexp_extract_all(c, F.lit(f"({pattern})"), F.lit(1))), 1, most)
+def harvest(c: Column, pattern: str, most: int | None = 10) -> Column:
+    """Distinct matches in order, at most `most` (None: all)."""
+    found = F.array_distinct(F.regexp_extract_all(c, F.lit(f"({pattern})"), F.lit(1)))
+    return found if most is None else F.slice(found, 1, most)
 
 
 def lines_after(c: Column, label: str, most: int = 3) -> Column:

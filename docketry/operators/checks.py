@@ -93,12 +93,13 @@ def scored_types(pages: DataFrame, rules: DataFrame, page: str, text: str, most:
     characters, up to 0.3 for two or more keywords, 0.25 for a required term; a negative
     term, or none of the required ones, rules a type out.
     """
-    body = F.lower(text)
+    body = F.col("_low")
 
     def hits(c: str) -> Column:
         return F.size(F.filter(F.col(c), lambda t: F.contains(body, t)))
 
-    rows = relational.with_rules(pages, rules).where((hits("negative") == 0) & ((F.size("required") == 0) | (hits("required") > 0)))
+    low = pages.select(page, F.explode(F.array(F.lower(text))).alias("_low"))  # the explode holds it, so that no term lowers the text again
+    rows = relational.with_rules(low, rules).where((hits("negative") == 0) & ((F.size("required") == 0) | (hits("required") > 0)))
     score = F.when(F.contains(F.substring(body, 1, 80), F.col("heading")), 0.6).otherwise(0.0) + 0.3 * F.least(F.lit(1.0), hits("keywords") / 2) + F.when(hits("required") > 0, 0.25).otherwise(0.0)
     rows = rows.withColumn("score", F.round(score, 3)).where("score > 0")
     place = F.row_number().over(Window.partitionBy(page).orderBy(F.desc("score"), "priority", "type"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,13 +48,22 @@ def band_nearest(left: DataFrame, right: DataFrame, key: str, left_at: str, righ
     return both.select(*left.columns, F.col("_best.at").alias("near_at"), F.col("_best.value").alias("near_value"))
 
 
-def effective_lookup(facts: DataFrame, rules: DataFrame, match: Column, when: str, start: str, end: str, fact_key: str) -> DataFrame:
-    """The rule in force at a time: exactly one must match. rules is a bounded rule table (broadcast while it is under Spark's threshold)."""
-    live = (F.col(start).isNull() | (F.col(start) <= F.col(when))) & (F.col(end).isNull() | (F.col(when) <= F.col(end)))
-    joined = facts.join(rules, match & live, "left")
-    return joined.withColumn("matches", F.count(F.col("rule_id")).over(Window.partitionBy(fact_key))).withColumn(
-        "lookup", F.when(F.col("matches") == 0, "NO_RULE").when(F.col("matches") == 1, "ONE").otherwise("AMBIGUOUS")
-    )
+def effective_lookup(facts: DataFrame, rules: DataFrame, when: str, start: str, end: str, fits: Callable[[Column], Column] | None = None, most: int = 10_000) -> DataFrame:
+    """facts with the rules in force at a time (a row each, one without where none is), their number and lookup: NO_RULE, ONE or AMBIGUOUS.
+
+    The rules, at most `most` of them (checked), travel as one broadcast array that
+    each fact filters, so facts are neither shuffled nor sorted. fits compares
+    a rule, as a struct, with columns of the fact.
+    """
+    table = _bounded(rules, most).agg(F.collect_list(F.struct(*rules.columns)).alias("_rules"))
+
+    def live(r: Column) -> Column:
+        inside = (r[start].isNull() | (r[start] <= F.col(when))) & (r[end].isNull() | (F.col(when) <= r[end]))
+        return inside if fits is None else inside & fits(r)
+
+    rows = facts.crossJoin(F.broadcast(table)).withColumn("_rules", F.filter("_rules", live)).withColumn("matches", F.size("_rules").cast("bigint"))
+    rows = rows.withColumn("lookup", F.when(F.col("matches") == 0, "NO_RULE").when(F.col("matches") == 1, "ONE").otherwise("AMBIGUOUS"))
+    return rows.select(*facts.columns, F.explode_outer("_rules").alias("_r"), "matches", "lookup").select(*facts.columns, "_r.*", "matches", "lookup")
 
 
 def unique_owner(values: DataFrame, owners: DataFrame, key: str, owner: str) -> DataFrame:
@@ -77,8 +88,13 @@ def anchor_mismatch(obs: DataFrame, group: list[str], rank: list[Column], value:
     return first.select(*group, F.col("_a")[value].alias("anchor_value"), F.col(value).alias("found_value"), F.col(order).alias("found_at"))
 
 
-def with_rules(rows: DataFrame, rules: DataFrame) -> DataFrame:
-    """Every row with every rule; rules must be a short table (at most 10,000 rows, checked)."""
-    if rules.limit(10_001).count() > 10_000:
-        raise ValueError("too many rules to broadcast")
-    return rows.crossJoin(F.broadcast(rules))
+def with_rules(rows: DataFrame, rules: DataFrame, most: int = 10_000) -> DataFrame:
+    """Every row with every rule; rules must be a short table (at most `most` rows, checked when the query runs)."""
+    return rows.crossJoin(F.broadcast(_bounded(rules, most)))
+
+
+def _bounded(rules: DataFrame, most: int) -> DataFrame:
+    """rules, which fail when they are read if there are more than `most`."""
+    short = rules.limit(most + 1)
+    size = short.agg(F.count("*").alias("_n")).where(F.assert_true(F.col("_n") <= most, f"more than {most} rules").isNull())
+    return short.crossJoin(F.broadcast(size)).drop("_n")  # size is one row

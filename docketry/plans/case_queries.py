@@ -100,7 +100,7 @@ def lines_from_words(spark: SparkSession, sf: str) -> DataFrame:
 
 def values_right_of_labels(spark: SparkSession, sf: str) -> DataFrame:
     """What stands right of each R on its row."""
-    words = _words(spark, sf).where("line <= 7")
+    words = _words(spark, sf)
     return layout.right_of(words.where("no > 0"), words.where("no = 0 and text = 'R'"), ["page"]).select("page", F.col("ly0").alias("y"), "value")
 
 
@@ -249,7 +249,7 @@ ORACLE_SQL = {
         WITH {_WORDS} SELECT page, line, string_agg(text, ' ' ORDER BY no, text) AS text, min(x0) AS x0, max(x0) + 30 AS x1, min(y0) AS y0, max(y0) + 10 AS y1 FROM words GROUP BY 1, 2""",
     "values_right_of_labels": f"""
         WITH {_WORDS} SELECT v.page, v.y0 AS y, string_agg(v.text, ' ' ORDER BY v.x0, v.text) AS value FROM words v JOIN words l ON l.page = v.page AND l.line = v.line AND l.no = 0 AND l.text = 'R'
-        WHERE v.no > 0 AND v.line <= 7 GROUP BY 1, 2""",
+        WHERE v.no > 0 GROUP BY 1, 2""",
     "repayment_rows": """
         SELECT c_custkey, 6::BIGINT AS rows, CASE WHEN c_custkey % 7 = 0 THEN 5 ELSE 6 END::BIGINT AS valid_parts, 6::BIGINT AS valid_balances, CASE WHEN c_custkey % 7 = 0 THEN 590.0 ELSE 600.0 END::DOUBLE AS interest FROM customer""",
     "page_typing": """
@@ -274,6 +274,12 @@ ORACLE_SQL = {
     "name_reject_reasons_all": r"""
         SELECT CASE c_custkey % 6 WHEN 0 THEN '' WHEN 1 THEN trim(regexp_replace(lower(c_name), '[^\p{L}\p{N}\p{M}]+', ' ', 'g')) WHEN 2 THEN 'a b example' WHEN 3 THEN 'mail x org' WHEN 4 THEN 'example bank limited' ELSE 'al' END AS bare,
                CASE c_custkey % 6 WHEN 0 THEN 'BLANK' WHEN 1 THEN 'DIGITS' WHEN 3 THEN 'CONTACT' WHEN 4 THEN 'ORGANISATION' WHEN 5 THEN 'SHORT' END AS reason, count(*) AS n FROM customer GROUP BY 1, 2""",
+    "address_match_kinds": """
+        WITH s AS (SELECT concat_ws(' ', c_custkey % 50, 'lake rd old town', 411000 + c_custkey % 9) AS a, concat_ws(' ', (c_custkey + CASE WHEN c_custkey % 4 = 0 THEN 1 ELSE 0 END) % 50, CASE WHEN c_custkey % 3 = 0 THEN 'lake road' ELSE 'lake road near the mill' END, 'old town', 411000 + (c_custkey + c_custkey % 2) % 9) AS b FROM customer),
+        t AS (SELECT list_distinct(list_transform(string_split(a, ' '), lambda w: CASE w WHEN 'rd' THEN 'road' ELSE w END)) AS u, list_distinct(string_split(b, ' ')) AS v FROM s),
+        k AS (SELECT *, len(list_intersect(u, v)) AS n, least(len(u), len(v)) AS z, list_filter(u, lambda w: regexp_full_match(w, '[0-9]{1,5}')) AS x, list_filter(v, lambda w: regexp_full_match(w, '[0-9]{1,5}')) AS y FROM t)
+        SELECT CASE WHEN len(list_intersect(x, y)) = 0 THEN 'UNIT_CONFLICT' WHEN n = z THEN 'SUBSET' WHEN len(list_filter(list_intersect(u, v), lambda w: length(w) = 6 AND regexp_full_match(w, '[1-9][0-9]{5}'))) > 0 AND n >= 0.55 * z THEN 'PIN'
+               WHEN n >= 0.7 * len(list_distinct(list_concat(u, v))) THEN 'SIMILAR' ELSE 'DIFFERENT' END AS kind, count(*) AS n FROM k GROUP BY 1""",
     "extracted_fields": """
         SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN lpad(CAST(c_custkey AS VARCHAR), 12, '1') END AS account_number, CASE WHEN c_custkey % 2 = 0 THEN 'ABCD0123456' END AS ifsc,
                CASE WHEN c_custkey % 2 = 0 THEN '31/03/2024' END AS to_date, CASE WHEN c_custkey % 2 = 0 THEN 5 ELSE 0 END::BIGINT AS fields FROM customer""",

@@ -112,7 +112,7 @@ def effective_rate_lookup(spark: SparkSession, sf: str) -> DataFrame:
         "rule_id string, valid_from string, valid_to string, kind string, amount double, rate double",
     ).withColumns({"valid_from": F.to_timestamp("valid_from"), "valid_to": F.to_timestamp("valid_to")})
     orders = load(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
-    rows = relational.effective_lookup(orders, rules, F.lit(True), "o_orderdate", "valid_from", "valid_to", "o_orderkey")
+    rows = relational.effective_lookup(orders, rules, "o_orderdate", "valid_from", "valid_to")
     owed = money.duty(F.col("kind"), F.col("o_totalprice"), F.col("amount"), F.col("rate"), F.lit(50), F.lit(5000))
     return rows.select("o_orderkey", "rule_id", "lookup", F.when(F.col("lookup") == "ONE", owed).alias("duty"))
 
@@ -174,8 +174,9 @@ def union_of_sources(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def months_not_covered(spark: SparkSession, sf: str) -> DataFrame:
-    """Months of 1995 in which a customer has no order."""
+    """Months of 1995 in which a customer has no order, for all customers."""
     seen = load(spark, sf, "orders").where("year(o_orderdate) = 1995").groupBy("o_custkey").agg(F.collect_set(F.date_format("o_orderdate", "yyyy-MM")).alias("covered"))
+    seen = load(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey")).join(seen, "o_custkey", "left").withColumn("covered", F.coalesce("covered", F.array().cast("array<string>")))
     wanted = dates.month_set(F.lit("1995-01-01").cast("date"), F.lit("1995-12-01").cast("date"))
     gone = F.array_except(wanted, F.col("covered"))
     return seen.select("o_custkey", F.size(gone).cast("bigint").alias("missing"), F.array_join(gone, ",").alias("months"))
@@ -302,7 +303,7 @@ ORACLE_SQL = {
     "months_not_covered": """
         WITH w AS (SELECT strftime(unnest(generate_series(DATE '1995-01-01', DATE '1995-12-01', INTERVAL 1 MONTH)), '%Y-%m') AS m),
         s AS (SELECT DISTINCT o_custkey, strftime(o_orderdate, '%Y-%m') AS m FROM orders WHERE year(o_orderdate) = 1995),
-        c AS (SELECT DISTINCT o_custkey FROM s)
+        c AS (SELECT c_custkey AS o_custkey FROM customer)
         SELECT c.o_custkey, count(*) FILTER (s.m IS NULL) AS missing, coalesce(string_agg(CASE WHEN s.m IS NULL THEN w.m END, ',' ORDER BY w.m), '') AS months
         FROM c CROSS JOIN w LEFT JOIN s ON s.o_custkey = c.o_custkey AND s.m = w.m GROUP BY 1""",
     "merge_fields_first_wins": "SELECT conv_id, role, min(turn) AS turn, arg_min(text, turn) AS text FROM conversations GROUP BY 1, 2",

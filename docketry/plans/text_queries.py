@@ -119,9 +119,9 @@ def json_props(spark: SparkSession, sf: str) -> DataFrame:
 def relevance_by_terms(spark: SparkSession, sf: str) -> DataFrame:
     """Term hits a document and the best three sources of each language."""
     terms = ["the", "und", "que", "des", "los"]
-    padded = F.concat(F.lit(" "), text.normalised(F.col("text")), F.lit(" "))
-    hits = F.size(F.filter(F.array(*[F.lit(f" {t} ") for t in terms]), lambda t: F.contains(padded, t)))
-    rows = load(spark, sf, "documents").select("lang", "source", hits.alias("hits")).groupBy("lang", "source").agg(F.sum("hits").alias("hits"))
+    padded = F.explode(F.array(F.concat(F.lit(" "), text.normalised(F.col("text")), F.lit(" "))))  # held, so that no term takes the normal form again
+    hits = F.size(F.filter(F.array(*[F.lit(f" {t} ") for t in terms]), lambda t: F.contains("padded", t)))
+    rows = load(spark, sf, "documents").select("lang", "source", padded.alias("padded")).select("lang", "source", hits.alias("hits")).groupBy("lang", "source").agg(F.sum("hits").alias("hits"))
     return relational.newest_n(rows, ["lang"], [F.desc("hits"), F.col("source")], 3).withColumn("rank", F.col("rank").cast("bigint"))
 
 
