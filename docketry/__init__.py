@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 
 #: Rows of one batch between the JVM and a Python worker.
-ARROW_ROWS = "500"
+ARROW_ROWS = "128"
 
 
 def ship(spark: SparkSession) -> None:
