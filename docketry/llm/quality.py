@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,11 +68,11 @@ def part_of(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4
 
 
-def fit_view(lengths: np.ndarray, buckets: np.ndarray, label: np.ndarray) -> Model:
-    features = linear.screen(lengths, buckets, np.ones(len(label), bool), label, least_rows=max(5, len(label) // 500), most=4096)
+def fit_view(entries: linear.Entries, label: np.ndarray) -> Model:
+    features = linear.screen(entries, np.ones(len(label), bool), label, least_rows=max(5, len(label) // 500), most=4096)
     if not len(features):
         return np.zeros(1 << linear.BUCKET_BITS, np.float32), 0.0
-    row, column = linear.columns_of(lengths, buckets, features)
+    row, column = linear.columns_of(entries, features)
     weights, bias = linear.fit_logistic(row, column, len(features), label, 1e-4, rounds=200)
     return linear.dense(features, weights), bias
 
@@ -93,9 +94,8 @@ def _fitted(rows: DataFrame) -> dict[str, Model]:
     """Models of both views, in one task, on rows (_id, view, label, terms), whose number is bounded."""
 
     def train(key: tuple, group: pa.Table) -> pa.Table:
-        group = group.sort_by([("_id", "ascending"), ("label", "ascending")]).combine_chunks()
-        terms = group.column("terms").combine_chunks()
-        weights, bias = fit_view(np.diff(terms.offsets.to_numpy()), terms.flatten().to_numpy(), group.column("label").to_numpy())
+        order = pc.sort_indices(group, [("_id", "ascending"), ("label", "ascending")]).to_numpy()
+        weights, bias = fit_view(linear.Entries(group.column("terms"), order), group.column("label").to_numpy()[order])
         used = np.flatnonzero(weights)
         return pa.table({"view": pa.array([key[0].as_py()] * (len(used) + 1)), "bucket": pa.array(np.append(used, -1).astype(np.int64)), "weight": pa.array(np.append(weights[used], bias).astype(float))})
 
@@ -138,14 +138,15 @@ def cotrain(seen: DataFrame, labels: DataFrame, id_col: str, label: str) -> tupl
         return rows.select("_id", F.lit(view).alias("view"), "label", F.col(view).alias("terms"))
 
     given = {v: of_view(known.where("part <> 1"), v) for v in VIEWS}
-    free = seen.where("_id is not null").join(usable.select("_id").distinct(), "_id", "left_anti").where(part_of("_id") != 2)
-    handed = None
+    bar = float(np.log(SURE / (1 - SURE)))
+    handed = usable.select("_id")  # what has a label, of its own or handed over, is not handed over again
     for turn in range(ROUNDS):
         models = _fitted(given["content"].unionByName(given["meta"]))
         if turn == ROUNDS - 1 or not chosen.take(1):
             break
-        scored = logits(free if handed is None else free.join(handed.select("_id").distinct(), "_id", "left_anti"), models)
-        bar = float(np.log(SURE / (1 - SURE)))
+        scored = logits(seen.where(F.col("_id").isNotNull() & (part_of("_id") != 2)), models)  # the sure ones alone travel, without their terms
+        scored = scored.where((F.abs("z_content") >= bar) | (F.abs("z_meta") >= bar)).dropDuplicates(["_id"])
+        scored = common.write_table(scored.join(handed.distinct(), "_id", "left_anti"), "sure")
         sure = []
         for view, other in (("content", "meta"), ("meta", "content")):
             for value, z in ((1.0, F.col(f"z_{view}")), (0.0, -F.col(f"z_{view}"))):
@@ -155,7 +156,7 @@ def cotrain(seen: DataFrame, labels: DataFrame, id_col: str, label: str) -> tupl
         sure = common.write_table(seen.join(F.broadcast(sure), "_id"), "handed")  # at most 4 x HANDED ids
         for view in VIEWS:
             given[view] = given[view].unionByName(of_view(sure.where(F.col("view") == view), view))
-        handed = sure.select("_id") if handed is None else handed.unionAll(sure.select("_id"))
+        handed = handed.unionAll(sure.select("_id"))
     held = logits(known.where("part = 1").select("_id", "label", *VIEWS), models).orderBy("_id").collect()
     y, z = np.array([r["label"] for r in held]), {v: np.clip(np.array([r[f"z_{v}"] for r in held], float), -15, 15) for v in VIEWS}
     curves = {v: calibrated(z[v][:, None], y) for v in VIEWS}
