@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,17 +73,26 @@ def featured(rows: DataFrame, text: str, *keep: str, stems: Sequence[int] = (),
     return rows.mapInArrow(run, schema)
 
 
-def _chunks(lengths: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int, int, int]]:
-    """Ranges of rows with about `most` entries, and their entries."""
-    ends = np.r_[0, np.cumsum(lengths, dtype=np.int64)]
-    begin = 0
-    while begin < len(lengths):
-        end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + most, "right")) - 1)
-        yield begin, end, int(ends[begin]), int(ends[end])
-        begin = end
+class Entries:
+    """Buckets of rows in a given order, read in parts: a column of lists is held once and never copied whole again."""
 
+    def __init__(self, column: pa.ChunkedArray | pa.Array, order: np.ndarray | None = None):
+        self.lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        if isinstance(self.lists, pa.ChunkedArray):  # of an empty column
+            self.lists = pa.array([], column.type)
+        self.order = np.arange(len(self.lists)) if order is None else order
+        self.lengths = pc.list_value_length(self.lists).to_numpy(zero_copy_only=False).astype(np.int64)[self.order]
 
-def screen(lengths: np.ndarray, buckets: np.ndarray, use: np.ndarray, label: np.ndarray, least_rows: int, most: int) -> np.ndarray:
+    def parts(self, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(first row, row after the last, buckets) of ranges with about `most` entries."""
+        ends, begin = np.r_[0, np.cumsum(self.lengths)], 0
+        while begin < len(self.lengths):
+            end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + most, "right")) - 1)
+            yield begin, end, self.lists.take(pa.array(self.order[begin:end])).flatten().to_numpy()
+            begin = end
+
+
+def screen(entries: Entries, use: np.ndarray, label: np.ndarray, least_rows: int, most: int) -> np.ndarray:
     """Buckets whose share of label-1 rows (of those in use) differs from the rest's beyond chance, at most `most`, ascending.
 
     The measure is twice the log-likelihood ratio; its bar rises with the number
@@ -91,11 +101,11 @@ def screen(lengths: np.ndarray, buckets: np.ndarray, use: np.ndarray, label: np.
     positive = float(np.clip(label[use].mean(), 1e-6, 1 - 1e-6)) if use.any() else 0.5
     size = 1 << BUCKET_BITS
     seen, ones = np.zeros(size), np.zeros(size)
-    for a, b, x, y in _chunks(lengths):
-        taken = np.repeat(use[a:b], lengths[a:b])
-        own = buckets[x:y][taken]
+    for a, b, buckets in entries.parts():
+        taken = np.repeat(use[a:b], entries.lengths[a:b])
+        own = buckets[taken]
         seen += np.bincount(own, minlength=size)
-        ones += np.bincount(own, np.repeat(label[a:b], lengths[a:b])[taken], size)
+        ones += np.bincount(own, np.repeat(label[a:b], entries.lengths[a:b])[taken], size)
     tried = np.flatnonzero(seen >= least_rows)
     share = np.clip(ones[tried] / seen[tried], 1e-12, 1 - 1e-12)
     ratio = 2 * seen[tried] * (share * np.log(share / positive) + (1 - share) * np.log((1 - share) / (1 - positive)))
@@ -103,13 +113,13 @@ def screen(lengths: np.ndarray, buckets: np.ndarray, use: np.ndarray, label: np.
     return np.sort(tried[best[ratio[best] >= 2 * np.log(max(len(tried), 1)) + 6]])
 
 
-def columns_of(lengths: np.ndarray, buckets: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def columns_of(entries: Entries, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of the entries that are features (ascending buckets)."""
     rows, columns = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
-    for a, b, x, y in _chunks(lengths):
-        column = np.minimum(np.searchsorted(features, buckets[x:y]), len(features) - 1)
-        inside = features[column] == buckets[x:y]
-        rows.append(np.repeat(np.arange(a, b, dtype=np.int32), lengths[a:b])[inside])
+    for a, b, buckets in entries.parts():
+        column = np.minimum(np.searchsorted(features, buckets), len(features) - 1)
+        inside = features[column] == buckets
+        rows.append(np.repeat(np.arange(a, b, dtype=np.int32), entries.lengths[a:b])[inside])
         columns.append(column[inside].astype(np.int32))
     return np.concatenate(rows), np.concatenate(columns)
 

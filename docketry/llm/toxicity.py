@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,10 +104,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     rows = with_counterfactuals(rows.select("_id", "_label", "_text"), "_text")
 
     def train(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("_id", "ascending"), ("copy", "ascending")]).combine_chunks()
-        terms = group.column("terms").combine_chunks()
-        lengths = np.diff(terms.offsets.to_numpy())
-        weights, bias = fit_sample(lengths, terms.flatten().to_numpy(), group.column("copy").to_numpy(), group.column("_label").to_numpy(), penalty)
+        order = pc.sort_indices(group, [("_id", "ascending"), ("copy", "ascending")]).to_numpy()
+        copy, labels = (group.column(c).to_numpy()[order] for c in ("copy", "_label"))
+        weights, bias = fit_sample(linear.Entries(group.column("terms"), order), copy, labels, penalty)
         used = np.flatnonzero(weights)
         return pa.table({"bucket": pa.array(np.append(used, -1).astype(np.int64)), "weight": pa.array(np.append(weights[used], bias).astype(float))})
 
@@ -120,15 +120,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     return weights, bias
 
 
-def fit_sample(lengths: np.ndarray, buckets: np.ndarray, copy: np.ndarray, label: np.ndarray, penalty: float) -> tuple[np.ndarray, float]:
-    """Weights and intercept from rows of `lengths` buckets each; rows of copy 1 and more are counterfactuals of the last row of copy 0 before them."""
+def fit_sample(entries: linear.Entries, copy: np.ndarray, label: np.ndarray, penalty: float) -> tuple[np.ndarray, float]:
+    """Weights and intercept from the buckets of rows; rows of copy 1 and more are counterfactuals of the last row of copy 0 before them."""
     real = copy == 0
     text = (np.cumsum(real) - 1).astype(np.int32)
-    features = linear.screen(lengths, buckets, real, label, least_rows=max(5, int(real.sum()) // 1000), most=2048)
+    features = linear.screen(entries, real, label, least_rows=max(5, int(real.sum()) // 1000), most=2048)
     if not len(features):
         share = np.clip(label[real].mean(), 1e-6, 1 - 1e-6) if real.any() else 1e-13
         return np.zeros(1 << linear.BUCKET_BITS, np.float32), float(np.log(share / (1 - share)))
-    row, column = linear.columns_of(lengths, buckets, features)
+    row, column = linear.columns_of(entries, features)
     own = real[row]
     changes = differences(row, column, own, text, len(features))
     weights, bias = linear.fit_logistic(text[row[own]], column[own], len(features), label[real], 1e-5, changes, penalty)
