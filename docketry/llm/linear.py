@@ -113,6 +113,37 @@ def screen(entries: Entries, use: np.ndarray, label: np.ndarray, least_rows: int
     return np.sort(tried[best[ratio[best] >= 2 * np.log(max(len(tried), 1)) + 6]])
 
 
+def screened(terms: DataFrame, label: str, least_share: float, most: int) -> np.ndarray:
+    """The buckets that `screen` would take, by counts of a table with terms and a label; at most `most` reach the driver."""
+    rows = terms.agg(F.count("*").alias("n"), F.sum(label).alias("ones")).first()
+    n, positive = rows["n"], float(np.clip((rows["ones"] or 0) / max(rows["n"], 1), 1e-6, 1 - 1e-6))
+    counts = terms.select(label, F.explode("terms").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("seen"), F.sum(label).alias("ones"))
+    counts = common.write_table(counts.where(F.col("seen") >= max(5, int(n * least_share))), "counts")
+    share = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), F.col("ones") / F.col("seen")))
+    ratio = 2 * F.col("seen") * (share * F.log(share / positive) + (1 - share) * F.log((1 - share) / (1 - positive)))
+    bar = 2 * float(np.log(max(counts.count(), 1))) + 6
+    best = counts.select("bucket", ratio.alias("ratio")).where(F.col("ratio") >= bar).orderBy(F.desc("ratio"), "bucket").limit(most).collect()
+    return np.sort(np.array([r["bucket"] for r in best], np.int64))
+
+
+def narrowed(terms: DataFrame, features: np.ndarray) -> DataFrame:
+    """The table with those of its terms alone that are features."""
+    others = [c for c in terms.columns if c != "terms"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            entries = Entries(batch.column("terms"))
+            if not len(features) or not batch.num_rows:
+                rows, columns = np.zeros(0, np.int32), np.zeros(0, np.int32)
+            else:
+                rows, columns = columns_of(entries, features)
+            ends = np.searchsorted(rows, np.arange(batch.num_rows + 1)).astype(np.int32)
+            kept = features[columns].astype(np.int32) if len(features) else columns
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.ListArray.from_arrays(pa.array(ends), pa.array(kept))], [*others, "terms"])
+
+    return terms.mapInArrow(run, terms.select(*others, "terms").schema)
+
+
 def columns_of(entries: Entries, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of the entries that are features (ascending buckets)."""
     rows, columns = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]

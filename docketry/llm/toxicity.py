@@ -48,6 +48,8 @@ THRESHOLD = 0.3
 PENALTY = 5.0
 #: Swapped copies of each text with identity terms, beside one without the terms.
 COPIES = 4
+#: Bound on the features of the model.
+FEATURES = 2048
 #: Lengths of word beginnings, in bytes, that are features beside the words: of eight
 #: choices the one with the least log loss over three folds of training rows (README).
 STEMS = (3, 4, 5, 6, 7)
@@ -97,16 +99,19 @@ def with_counterfactuals(rows: DataFrame, text: str) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, penalty: float = PENALTY) -> tuple[np.ndarray, float]:
     """Dense weights and intercept. The sampled labels (at most `sample`) are
-    broadcast to find their texts; the fit runs in one task on their features."""
+    broadcast to find their texts, features are screened by counts, and the fit
+    runs in one task on the sample's features alone."""
     usable = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     chosen = linear.bounded_sample(usable.select(F.col(id_col).alias("_id"), F.col(label).cast("double").alias("_label")), sample, "_id")
     rows = docs.select(F.col(id_col).alias("_doc"), F.col(text).alias("_text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))
-    rows = with_counterfactuals(rows.select("_id", "_label", "_text"), "_text")
+    rows = common.write_table(with_counterfactuals(rows.select("_id", "_label", "_text"), "_text"), "terms")
+    features = linear.screened(rows.where("copy = 0"), "_label", 1 / 1000, FEATURES)
+    rows = linear.narrowed(rows, features)
 
     def train(group: pa.Table) -> pa.Table:
         order = pc.sort_indices(group, [("_id", "ascending"), ("copy", "ascending")]).to_numpy()
         copy, labels = (group.column(c).to_numpy()[order] for c in ("copy", "_label"))
-        weights, bias = fit_sample(linear.Entries(group.column("terms"), order), copy, labels, penalty)
+        weights, bias = fit_sample(linear.Entries(group.column("terms"), order), features, copy, labels, penalty)
         used = np.flatnonzero(weights)
         return pa.table({"bucket": pa.array(np.append(used, -1).astype(np.int64)), "weight": pa.array(np.append(weights[used], bias).astype(float))})
 
@@ -120,11 +125,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     return weights, bias
 
 
-def fit_sample(entries: linear.Entries, copy: np.ndarray, label: np.ndarray, penalty: float) -> tuple[np.ndarray, float]:
+def fit_sample(entries: linear.Entries, features: np.ndarray, copy: np.ndarray, label: np.ndarray, penalty: float) -> tuple[np.ndarray, float]:
     """Weights and intercept from the buckets of rows; rows of copy 1 and more are counterfactuals of the last row of copy 0 before them."""
     real = copy == 0
     text = (np.cumsum(real) - 1).astype(np.int32)
-    features = linear.screen(entries, real, label, least_rows=max(5, int(real.sum()) // 1000), most=2048)
     if not len(features):
         share = np.clip(label[real].mean(), 1e-6, 1 - 1e-6) if real.any() else 1e-13
         return np.zeros(1 << linear.BUCKET_BITS, np.float32), float(np.log(share / (1 - share)))
