@@ -27,7 +27,8 @@ def blank(c: Column) -> Column:
 
 
 def number(c: Column) -> Column:
-    return F.regexp_replace(c.cast("string"), "[^0-9.-]", "").try_cast("double")
+    """The first number of a value, commas dropped; null for none."""
+    return F.regexp_extract(F.regexp_replace(c.cast("string"), ",", ""), "-?[0-9]+(?:[.][0-9]+)?", 0).try_cast("double")
 
 
 def day(c: Column) -> Column:

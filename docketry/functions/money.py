@@ -42,7 +42,7 @@ def duty_status(paid: Column, owed: Column, rules: Column) -> Column:
 def amount_text(c: Column) -> Column:
     """An amount as digits: whole, or with two decimals."""
     value = parsed_amount(c)
-    return F.when(value == F.floor(value), value.cast("decimal(24,0)").cast("string")).otherwise(F.format_string("%.2f", value))
+    return F.when(value == F.floor(value), value.cast("decimal(24,0)").cast("string")).when(value.isNotNull(), F.format_string("%.2f", value))
 
 
 def tenure_months(c: Column) -> Column:

@@ -58,4 +58,8 @@ def shortest_span(words: Column, value: Column, most: int = 12) -> Column:
 
 def union_box(boxes: Column) -> Column:
     """Struct of the smallest box around an array of boxes."""
-    return F.struct(*[(F.array_min if c in ("x0", "y0") else F.array_max)(F.transform(boxes, lambda b, c=c: b[c])).alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+    def edge(name: str) -> Column:
+        return (F.array_min if name in ("x0", "y0") else F.array_max)(F.transform(boxes, lambda b: b[name])).alias(name)
+
+    return F.struct(*[edge(c) for c in ("x0", "y0", "x1", "y1")])

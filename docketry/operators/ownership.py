@@ -26,7 +26,12 @@ def observations(pages: DataFrame, keys: list[str], fields: str, body: str) -> D
     """
     cells = pages.select(*keys, F.explode(F.map_entries(F.map_filter(fields, lambda k, v: ~k.startswith("_") & ~compare.blank(v)))).alias("_c"))
     named = cells.select(*keys, text.canonical_field(F.col("_c.key"), ALIASES).alias("field"), F.trim("_c.value").alias("value"))
-    found = F.flatten(F.array(*[F.transform(F.regexp_extract_all(F.upper(body) if f == "pan_number" else F.col(body), F.lit(p), F.lit(1)), lambda x, f=f: F.struct(F.lit(f).alias("field"), x.alias("value"))) for f, p in HARVESTED.items()]))
+
+    def held(field: str, pattern: str) -> Column:
+        source = F.upper(body) if field == "pan_number" else F.col(body)
+        return F.transform(F.regexp_extract_all(source, F.lit(pattern), F.lit(1)), lambda x: F.struct(F.lit(field).alias("field"), x.alias("value")))
+
+    found = F.flatten(F.array(*[held(f, p) for f, p in HARVESTED.items()]))
     told = pages.select(*keys, F.explode(found).alias("_c")).select(*keys, "_c.*")
     return named.where(F.col("field").isin(*WEIGHTS)).unionByName(told).distinct()
 

@@ -34,8 +34,8 @@ def flattened(rows: DataFrame, key: str, body: str, depth: int = 4) -> DataFrame
     level = rows.select(key, F.lit("").alias("path"), F.col(body).alias("value"))
     done = None
     for _ in range(depth):
-        inner = level.where(F.ltrim("value").startswith("{")).select(key, "path", F.explode(F.from_json("value", "map<string, string>")).alias("k", "v"))
-        inner = inner.select(key, F.concat_ws(".", F.nullif("path", F.lit("")), "k").alias("path"), F.col("v").alias("value"))
+        inner = level.where(F.ltrim("value").startswith("{")).select(key, "path", F.explode(F.from_json("value", "map<string, string>")).alias("_k", "_v"))
+        inner = inner.select(key, F.concat_ws(".", F.nullif("path", F.lit("")), "_k").alias("path"), F.col("_v").alias("value"))
         flat = inner.where(F.col("value").isNull() | ~F.ltrim("value").startswith("{"))
         done = flat if done is None else done.unionAll(flat)
         level = inner.where(F.ltrim("value").startswith("{"))
