@@ -77,7 +77,7 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str, bloom: str | None = None) -> DataFrame:
         path = f"{scratch_root(self.spark)}/docketry-{name}-{uuid.uuid4().hex}"
-        writer = df.write
+        writer = df.write.option("parquet.block.size", 16 << 20)  # a writer holds a block in memory
         if bloom:
             writer = writer.option(f"parquet.bloom.filter.enabled#{bloom}", "true")
         writer.parquet(path)
