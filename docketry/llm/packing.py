@@ -13,6 +13,7 @@ end id alone); rows that repeat are packed once each.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -83,13 +84,19 @@ def _lowered(text: str) -> str:
         return text
 
 
+@functools.lru_cache(maxsize=1)
+def tokenizer_at(path: str) -> RunTokenizer:
+    """One for each worker process, kept from task to task."""
+    return RunTokenizer(path)
+
+
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", max_tokens: int = MAX_TOKENS) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of each document's ids; only longer ones are cut."""
 
     name = common.shipped(docs.sparkSession, tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end, width = RunTokenizer(common.received(name)), np.asarray([END_ID], "<u4").tobytes(), 4 * max_tokens
+        encoder, end, width = tokenizer_at(common.received(name)), np.asarray([END_ID], "<u4").tobytes(), 4 * max_tokens
         for batch in batches:
             for part in common.slices(batch, "text"):
                 ids = [encoder.ids(x or "") for x in part.column("text").to_pylist()]
