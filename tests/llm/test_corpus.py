@@ -353,6 +353,35 @@ def test_pipeline_stage_by_stage(spark, tokenizer, tmp_path):
     assert bins <= 1.01 * least + 1
 
 
+def test_pipeline_stages_on_empty_tables_and_clashing_columns(spark, tmp_path):
+    empty, clashing = table(spark, []), table(spark, hard_rows(), clash=True, source=lambda i: None if i is None or i % 3 == 0 else f"s{i % 2}")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        assert stage(spark, empty, SF).count() == 0, name
+        after = stage(spark, clashing, SF)
+        after.write.parquet(f"{tmp_path}/{k}")
+        after = spark.read.parquet(f"{tmp_path}/{k}")
+        assert after.count() > 0 and (name == "best_fit_packing" or after.columns == clashing.columns), name
+        clashing = after
+
+
+def test_near_groups_of_a_large_refined_group(spark):
+    """Copies of one base in families that share an edit, compared in small groups and in groups of hubs alike."""
+    from docketry.llm import near_dedup
+
+    rng = np.random.default_rng(11)
+    base, rows = prose(41, 140, 100_000), []
+    for i in range(160):
+        words = base.copy()
+        for _ in range(rng.integers(0, 7)):
+            words[rng.integers(140)] = f"edit{rng.integers(12)}"
+        rows.append((i, " ".join(words)))
+    wanted = near_classes(rows)
+    for small in (2, 200):
+        found = {r.doc_id: r.class_id for r in near_dedup.near_groups(table(spark, rows), small=small).collect()}
+        assert found == wanted, small
+    assert 1 < len(set(wanted.values())) < 120
+
+
 def test_pipeline_runs_from_the_registry(spark):
     import __spark_entry__
 
