@@ -13,31 +13,50 @@ from docketry.llm import common, exact_dedup, mixing, near_dedup, packing, toxic
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject."""
+    """Documents that the classifier does not reject.
+
+    A null text is scored as an empty one; without labels nothing is rejected;
+    repeated rows fare alike; further columns, of any name, are passed on.
+    """
     docketry.ship(spark)
     return toxicity.reject(docs, common.load(spark, sf_dir, "labels"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the largest id."""
+    """Of equal texts the one with the largest id; a null text is an empty one, a null id is below every other.
+
+    Of rows that repeat id and text one stays; further columns are passed on.
+    """
     docketry.ship(spark)
     return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class."""
+    """One document of each near-duplicate class, the one with the smallest id.
+
+    Texts without words and rows without an id are in no class and stay; of
+    several rows of an id that stays the first by text stays; further columns
+    are passed on.
+    """
     docketry.ship(spark)
     return near_dedup.drop_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each time that the mix takes a document."""
+    """A row for each time that the mix takes a document.
+
+    A null source is a source, the last; a text without words counts nothing;
+    ties in size are broken by id and place; further columns are passed on.
+    """
     docketry.ship(spark)
     return mixing.take(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of the packed sequences."""
+    """A row for each piece of the packed sequences; a null text is one piece of the end token alone.
+
+    Repeated rows are packed once each; further columns are not read.
+    """
     docketry.ship(spark)
     return packing.pack_documents(docs)
 
