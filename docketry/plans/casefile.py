@@ -18,7 +18,8 @@ TYPES = "PAN|Aadhaar|Bank Statement|Application Form|CIBIL Report|Utility Bill|P
 
 def word(words: str, n: str, mark: str = " ") -> str:
     """The n-th of some words, counted from 0 and round again."""
-    return f"split_part('{words}', '{mark}', CAST(({n}) % {len(words.split(mark))} AS INT) + 1)"
+    size = len(words.split(mark))
+    return f"split_part('{words}', '{mark}', CAST((({n}) % {size} + {size}) % {size} AS INT) + 1)"
 
 
 def name(k: str) -> str:
