@@ -44,8 +44,9 @@ class RunTokenizer(dict):
     The vocabulary's splitter always cuts at an ASCII space or line break, and
     between a Latin letter and an ASCII mark other than the apostrophe, so the
     ids of a text are those of its runs in turn. A run of letters or of marks
-    alone is one pre-token and goes to the merges at once; any other run goes
-    through the whole tokenizer, and so does a text that holds a special token.
+    alone is one pre-token and goes to the merges at once, in lower case; any other run goes
+    as it is through the whole tokenizer, and so does a text that holds a special token
+    (which is one in its own case only).
     """
 
     def __init__(self, path: str, keep: int = 100_000):
@@ -73,15 +74,7 @@ class RunTokenizer(dict):
     def ids(self, text: str) -> bytes:
         if any(t in text for t in self.special):  # those are found in the text before anything else
             return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, _RUNS.findall(_lowered(text))))
-
-
-def _lowered(text: str) -> str:
-    """Lower case where it is the same letter by letter as for the whole text; else the text as it is."""
-    try:
-        return text.lower() if text.isascii() or text.encode("latin-1") else text
-    except UnicodeEncodeError:
-        return text
+        return b"".join(map(self.__getitem__, _RUNS.findall(text)))
 
 
 @functools.lru_cache(maxsize=1)

@@ -128,6 +128,15 @@ def test_packing_of_hard_rows(spark, tokenizer):
     assert bins <= least + 1
 
 
+def test_ids_of_random_strings_are_those_of_the_whole_tokenizer(tokenizer):
+    """Special tokens are such in their own case only, wherever they stand."""
+    encoder, rng = packing.RunTokenizer(common.tokenizer_file("word_bpe_49k.json")), np.random.default_rng(8)
+    parts = ["<|ENDOFTEXT|>", "<|EndOfText|>", "<|endoftext|>", "<|STARTOFTEXT|>", "1", "é", "É", " ", "\t", "\n", "a", "Word", "it's", "IT'S", "<", "|", ">", "'", "ß", "ÿ", "İ", "Σ", "ς", "\x85", "\xa0", "中", "7", "%", "-", "ñ"]
+    texts = ["1<|ENDOFTEXT|> a", "1<|ENDOFTEXT|>", "\t<|ENDOFTEXT|>é", "<|ENDOFTEXT|>"] + ["".join(rng.choice(parts, rng.integers(1, 9))) for _ in range(50_000)]
+    for text, wanted in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(encoder.ids(text), "<u4").tolist() == wanted.ids, text
+
+
 def test_packing_of_the_table(spark, tokenizer):
     rows = [(r.doc_id, r.text) for r in common.load(spark, SF, "documents").collect()]
     bins, least = check_packing(rows, packing.op3_best_fit_packing(spark, SF).collect(), tokenizer, 4096)
