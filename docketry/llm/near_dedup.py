@@ -14,9 +14,13 @@ bucket is compared with one hub, the node most of whose shingles others have
 too. Two nodes that stay in different classes can then be linked only if they
 share enough of the hub (sizes tell) or a shingle off the hub (a prefix of the
 rarest ones tells); those form smaller groups, which go the same way with the
-shingles of all their hubs set aside, and small groups are compared in pairs.
-So no link is lost to the size of a bucket, and rows stay in proportion to its
-nodes. Every candidate is settled on whole shingle sets.
+shingles of all their hubs set aside; of groups of the same nodes one is kept.
+Of the nodes that share the same part of what is set aside, the smallest stands
+for all that are linked to it; what stands for others, and small groups, are compared
+in memory, on whole shingle sets, and give a link fewer than they have nodes at most. So no
+pairs are written, no link is lost to the size of a bucket, and rows stay in
+proportion to nodes. (Where far more than HALF_BLOCK nodes with different parts of
+one hub stay in different classes, each is sent once for each block of the others.)
 
 Defined results: words are lower-cased (ASCII) runs without white space; a text
 of fewer than five words is one shingle; a text without words (or null) is
@@ -44,6 +48,8 @@ LEAST = 0.8
 BANDS, ROWS = 24, 4
 #: Groups of so many nodes at most are compared in pairs.
 SMALL = 200
+#: Half of the nodes, and of their shingles, of a larger group that are compared in memory at once.
+HALF_BLOCK, HALF_SHINGLES = 512, 1 << 21
 
 
 def _hasher() -> common.WordHasher:
@@ -182,40 +188,35 @@ def links(rows: DataFrame, nodes: DataFrame, tied: DataFrame, least: float, shin
         if labels is None:  # later links are few, and spare no work worth their classes
             labels = tables.write(components(found), "labels")
         left = _labelled(met, labels)
-        several = tables.write(left.groupBy("g").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("g"), "open")
-        left = tables.write(left.join(several, "g", "left_semi"), "left")
+        left = tables.write(_several(left), "left")
         if not left.take(1):
             break
-        even = tables.write(left.groupBy("g", F.col("n").alias("v_n")).agg(F.max("a").alias("v_a")), "even")
-        enough = F.least("a", "v_a") >= share * (F.col("n") + F.col("v_n")) - 1e-6  # of what is set aside alone
-        low = left.where(F.col("a") >= least * F.col("n")).join(even, "g").where((F.col("v_n") >= least * F.col("n")) & enough)
-        other = left.select("g", F.col("node").alias("v"), F.col("n").alias("v_n"), F.col("a").alias("v_a"), F.col("label").alias("v_label"))
-        pairs = low.drop("v_a").join(other, ["g", "v_n"]).where((F.col("label") != F.col("v_label")) & enough)
-        pairs = pairs.select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v"))
-        off = left.select("g", "node", "n", "label", F.explode("off").alias("s")).withColumn("sub", F.xxhash64("g", "s")).drop("s")
-        shared = off.groupBy("sub").agg(F.count("*").alias("c"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("sub", "c")
-        off = tables.write(off.join(tables.write(shared, "shared"), "sub"), "off")
-        few = off.where(F.col("c") <= small).select("sub", "node", "n", "label")
-        also = few.select("sub", F.col("node").alias("v"), F.col("n").alias("v_n"), F.col("label").alias("v_label"))
-        few = few.join(also, "sub").where((F.col("node") < F.col("v")) & (F.col("label") != F.col("v_label")) & (F.least("n", "v_n") >= least * F.greatest("n", "v_n")))
-        pairs = pairs.unionAll(few.select(F.col("node").alias("u"), "v")).distinct()
-        found = found.unionAll(tables.write(_settled(pairs, weighed, least), "links"))
-        many = off.where(F.col("c") > small).select(F.col("sub").alias("g"), F.col("g").alias("above"), "node")
+        off = left.select("g", "node", "label", F.explode("off").alias("s"))
+        first = off.groupBy("g", "s").agg(F.min("node").alias("hub"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("g", "s", "hub")
+        off = off.join(tables.write(first, "first"), ["g", "s"]).select("g", F.xxhash64("g", "hub").alias("sub"), "hub", "node", "label").distinct()
+        off = tables.write(off, "off")  # a group has what shares such a shingle with its first node
+        shared = off.groupBy("sub").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+        shared = tables.write(shared.groupBy("c", "x", "y").agg(F.min("sub").alias("sub")), "shared")  # of groups of the same nodes one is enough
+        off = tables.write(off.join(shared.select("sub", "c"), "sub"), "off")
+        few = off.where(F.col("c") <= small).select(F.col("sub").alias("key"), "node")
+        more = tables.write(_compared(_inside(left, least, share, tables).unionAll(few), weighed, least), "links")
+        found = found.unionAll(more)
+        many = off.where(F.col("c") > small).select(F.col("sub").alias("g"), F.col("g").alias("above"), "hub", "node", "label")
         level += 1
         if not many.take(1):
             break
-        many = many.join(weighed.drop("w"), "node")
-        chosen = tables.write(many.groupBy("g").agg(F.max_by("node", central).alias("hub"), F.max("above").alias("above")), "chosen")
-        asked = tables.write(many.select("g", "node").join(chosen.select("g", F.col("hub").alias("node")), ["g", "node"], "left_anti"), "asked")
+        if level == 1:
+            labels = _relabelled(more, labels, tables)
+            names = labels.select("node", F.col("label").alias("_now"))
+            many = _several(many.join(names, "node", "left").withColumn("label", F.coalesce("_now", "label")).drop("_now"))
+        chosen = tables.write(many.groupBy("g").agg(F.max("hub").alias("hub"), F.max("above").alias("above")), "chosen")
+        asked = tables.write(many.where("node <> hub").select("g", "node"), "asked")
         before = groups.select(F.col("g").alias("above"), F.col("aside").alias("before"))
         groups = chosen.join(before, "above").join(kept, "hub").select("g", "hub", "hub_n", "hub_w", F.array_union("before", "hub_w").alias("aside"))
         if level % 4 == 0:  # so that the plan of the union stays short
             found = tables.write(found, "links")
     if level:
-        old = labels.select(F.col("node").alias("u"), F.col("label").alias("v"))
-        new = tables.write(found.where("u <> v").select("u", "v").join(old.withColumnRenamed("v", "a"), "u", "left").join(old.select(F.col("u").alias("v"), F.col("v").alias("b")), "v", "left").where("not (a <=> b) or a is null"), "links")
-        if new.take(1):
-            labels = tables.write(components(new.select("u", "v").unionAll(old)), "labels")
+        labels = _relabelled(found, labels, tables)
     tables.drop(members, alive, weighed)
     return labels
 
@@ -231,15 +232,96 @@ def _met(asked: DataFrame, groups: DataFrame, weighed: DataFrame, least: float)
     wanted = F.greatest(F.lit(1), F.ceil(least * F.col("n") - 1e-6).cast("int") - F.col("a"))
     first = F.col("n") - F.col("a") - wanted + 1 - (F.col("n") - F.col("m"))  # the rarest n - m are of no other node
     off = F.slice(F.array_except("w", "aside"), F.lit(1), F.greatest(first, F.lit(0)))
-    return both.select("g", "node", "n", "hub", (F.col("_i") >= least * (F.col("n") + F.col("hub_n") - F.col("_i"))).alias("linked"), "a", off.alias("off"))
+    pat = F.xxhash64(F.array_intersect("w", "aside"))  # all w are in one order
+    return both.select("g", "node", "n", "hub", pat.alias("pat"), (F.col("_i") >= least * (F.col("n") + F.col("hub_n") - F.col("_i"))).alias("linked"), "a", off.alias("off"))
 
 
-def _settled(pairs: DataFrame, weighed: DataFrame, least: float) -> DataFrame:
-    """pairs (u, v) whose similarity is at least `least`."""
-    a = weighed.select(F.col("node").alias("u"), F.col("n").alias("u_n"), F.col("w").alias("u_w"))
-    b = weighed.select(F.col("node").alias("v"), F.col("n").alias("v_n"), F.col("w").alias("v_w"))
-    both = pairs.join(a, "u").join(b, "v").withColumn("_i", F.size(F.array_intersect("u_w", "v_w")))
-    return both.where(F.col("_i") >= least * (F.col("u_n") + F.col("v_n") - F.col("_i"))).select("u", "v")
+def _inside(left: DataFrame, least: float, share: float, tables: common.Scratch) -> DataFrame:
+    """(key, node): groups, of bounded size, of the nodes that may be linked by shingles that are set aside alone.
+
+    Nodes of one set of those (pat) differ in nothing that counts here but size,
+    so one of fewest shingles stands for all that are linked to it, which are given under a key of two. Only
+    what stands for others and what is linked to none are compared with each other, in blocks where they are many.
+    """
+    inside = left.where(F.col("a") >= least * F.col("n") - 1e-6).select("g", "node", "n", "a", "pat", "label")
+    bounds = inside.groupBy("g").agg(F.max(F.col("a") / share - F.col("n")).alias("most"), F.min("n").alias("fewest"))
+    inside = inside.join(bounds, "g").where((F.col("n") <= F.col("most") + 1e-6) & (F.col("fewest") <= F.col("a") / share - F.col("n") + 1e-6))
+    first = tables.write(inside.groupBy("g", "pat").agg(F.min(F.struct("n", "node", "label")).alias("first")), "first")
+    inside = tables.write(inside.join(first, ["g", "pat"]).withColumn("near", F.col("a") >= share * (F.col("n") + F.col("first.n")) - 1e-6), "inside")
+    star = inside.where(F.col("near") & (F.col("label") != F.col("first.label"))).withColumn("key", F.xxhash64("g", "pat", "node"))
+    star = star.select("key", F.explode(F.array("node", "first.node")).alias("node"))
+    stands = inside.where(~F.col("near") | (F.col("node") == F.col("first.node")))
+    sizes = stands.groupBy("g").agg(F.count("*").alias("c"), F.max("n").alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
+    half = F.greatest(F.lit(8), F.least(F.lit(HALF_BLOCK), F.floor(HALF_SHINGLES / F.col("n")).cast("int")))
+    sizes = tables.write(sizes.select("g", F.ceil(F.col("c") / half).cast("int").alias("blocks")), "sizes")
+    stands = stands.join(sizes, "g").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = F.when(F.col("blocks") <= 2, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("block")))
+    stands = stands.select("g", "node", "blocks", "block", F.explode(other).alias("other"))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    key = F.when(F.col("blocks") <= 2, F.xxhash64("g")).otherwise(F.xxhash64("g", low, high))
+    return star.unionAll(stands.select(key.alias("key"), "node"))
+
+
+def _compared(groups: DataFrame, weighed: DataFrame, least: float) -> DataFrame:
+    """(u, v): links that connect what all pairs of each group (key, node) connect; a group is compared in memory and gives a link fewer than it has nodes at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            keys = batch.column("key").to_numpy()
+            cuts = np.flatnonzero(np.diff(keys)) + 1
+            for begin, end in zip([0, *cuts], [*cuts, len(keys)], strict=True):
+                if end > begin:
+                    if keys[begin] != key:
+                        yield from one(held)
+                        key, held = keys[begin], []
+                    held.append(batch.slice(begin, end - begin))
+        yield from one(held)
+
+    def one(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes = np.concatenate([x.column("node").to_numpy() for x in parts]) if parts else np.zeros(0, np.int64)
+        if len(nodes) > 1:
+            sizes = np.concatenate([x.column("n").to_numpy() for x in parts])
+            counts = np.concatenate([x.column("w").value_lengths().to_numpy() for x in parts])
+            values = np.concatenate([x.column("w").flatten().to_numpy() for x in parts])
+            links = forest(sizes, counts, values, least)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[[i for i, _ in links]]), pa.array(nodes[[j for _, j in links]])], ["u", "v"])
+
+    rows = groups.distinct().join(weighed.select("node", "n", "w"), "node")
+    return rows.repartition("key").sortWithinPartitions("key").select("key", "node", "n", "w").mapInArrow(run, "u bigint, v bigint")
+
+
+def forest(sizes: np.ndarray, counts: np.ndarray, values: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Links (i, j) of sets of sizes[i] elements, counts[i] of which are given in values, that connect what all similar pairs connect."""
+    ends = np.cumsum(counts)
+    _, place = np.unique(values, return_inverse=True)
+    label, links = np.arange(len(sizes)), []
+    for i in range(len(sizes) - 1):
+        mine = np.zeros(place.max() + 1 if len(place) else 1, np.int64)
+        mine[place[ends[i] - counts[i] : ends[i]]] = 1
+        total = np.r_[0, np.cumsum(mine[place[ends[i] :]])]
+        both = total[ends[i + 1 :] - ends[i]] - total[ends[i:-1] - ends[i]]
+        linked = i + 1 + np.flatnonzero(both >= least * (sizes[i] + sizes[i + 1 :] - both))
+        labels, first = np.unique(label[linked], return_index=True)
+        for j in linked[first]:
+            if label[j] != label[i]:
+                links.append((i, int(j)))
+                label[label == label[j]] = label[i]
+    return links
+
+
+def _several(rows: DataFrame) -> DataFrame:
+    """rows (g, label, ...) of the groups of several classes."""
+    several = rows.groupBy("g").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("g")
+    return rows.join(several, "g", "left_semi")
+
+
+def _relabelled(found: DataFrame, labels: DataFrame, tables: common.Scratch) -> DataFrame:
+    """labels after the links found (u, v), those within a class left out."""
+    old = labels.select(F.col("node").alias("u"), F.col("label").alias("v"))
+    new = found.where("u <> v").select("u", "v").join(old.withColumnRenamed("v", "a"), "u", "left").join(old.select(F.col("u").alias("v"), F.col("v").alias("b")), "v", "left")
+    new = tables.write(new.where("not (a <=> b) or a is null").select(F.coalesce("a", "u").alias("u"), F.coalesce("b", "v").alias("v")).distinct(), "links")
+    return tables.write(components(new.unionAll(old)), "labels") if new.take(1) else labels
 
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:

@@ -176,3 +176,58 @@ def test_empty_tables(spark):
 
 def test_shingles_of_short_texts():
     assert shingles("a b") == {("a", "b")} and not shingles(" ") and not shingles(None)
+
+
+def excerpts(n: int) -> list[tuple[int, str]]:
+    """Texts of five of the eight blocks of one text, each with a word of its own."""
+    rng, base = random.Random(9), prose(41, 600, 100_000)
+    blocks = [base[k : k + 75] for k in range(0, 600, 75)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, n):
+        words = [w for k in sorted(rng.sample(range(8), 5)) for w in blocks[k]]
+        words[rng.randrange(len(words))] = f"own{i}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def test_rows_of_excerpts_of_one_text_grow_with_their_number(spark, monkeypatch):
+    compared, made = near_dedup._compared, {}
+
+    def counted(groups, weighed, least):
+        rows[0] += groups.count()
+        found = compared(groups, weighed, least)
+        rows[1] += found.count()
+        return found
+
+    monkeypatch.setattr(near_dedup, "_compared", counted)
+    for n in (300, 600):
+        rows = [0, 0]
+        texts = excerpts(n)
+        found = {r.doc_id: r.class_id for r in near_dedup.near_groups(table(spark, texts)).collect()}
+        assert found == near_classes(texts)
+        made[n] = rows
+    assert all(made[600][k] < 2.6 * made[300][k] for k in range(2)) and made[600][0] < 25 * 600, made  # all pairs are 179,700
+
+
+def test_blocks_of_a_large_group_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "HALF_BLOCK", 8)
+    texts = excerpts(150)
+    found = {r.doc_id: r.class_id for r in near_dedup.near_groups(table(spark, texts), small=4).collect()}
+    assert found == near_classes(texts)
+
+
+def test_a_forest_connects_what_all_pairs_connect():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        sets = [set(rng.choice(40, rng.integers(0, 30), replace=False).tolist()) for _ in range(25)]
+        sizes = np.array([len(s) + int(rng.integers(0, 2)) for s in sets])
+        links = near_dedup.forest(sizes, np.array([len(s) for s in sets]), np.array([x for s in sets for x in s]), 0.5)
+        label = list(range(25))
+        wanted = list(range(25))
+        for pairs, out in ((links, label), ([(i, j) for i in range(25) for j in range(i) if len(sets[i] & sets[j]) >= 0.5 * (sizes[i] + sizes[j] - len(sets[i] & sets[j]))], wanted)):
+            for i, j in pairs:
+                a, b = out[i], out[j]
+                out[:] = [min(a, b) if x in (a, b) else x for x in out]
+        assert label == wanted and len(links) < 25
