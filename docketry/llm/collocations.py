@@ -38,15 +38,15 @@ from docketry.llm import common
 LEAST, LONGEST, TOP, COVERED = 30, 4, 2000, 80
 #: The order of words is a table of 2^ORDER_BITS four-byte sums (4 MB).
 ORDER_BITS = 20
-#: Places of a pivot that one group holds, about; rows that a task counts at once; bytes of text that it rewrites at once.
-GROUP, CHUNK, SLICE = 200_000, 100_000, 1 << 20
+#: Places of a pivot that one group holds, about; fragments that a task counts at once; bytes of text that it rewrites at once.
+GROUP, CHUNK, SLICE = 200_000, 100_000, 2 << 20
 
 _PIECE = np.zeros(256, bool)
 _PIECE[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _BREAK = _PIECE.copy()
 _BREAK[[0x20, 0x09]] = True
 _GAP = np.zeros(256, bool)
-_GAP[0x20] = True
+_GAP[[0x20, 0x0A]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -82,10 +82,16 @@ class Scan:
 
 
 def _scans(batches: Iterator[pa.RecordBatch]) -> Iterator[Scan]:
-    hasher = common.WordHasher(seed=11)
+    hasher, held, size = common.WordHasher(seed=11), [], 0
     for batch in batches:
         for part in common.slices(batch, "text", SLICE):
-            yield Scan(hasher, part)
+            held.append(part)
+            size += pc.sum(pc.binary_length(part.column("text"))).as_py()
+            if size >= SLICE:
+                yield Scan(hasher, pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+                held, size = [], 0
+    if held:
+        yield Scan(hasher, pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -137,9 +143,10 @@ def reaches(scan: Scan, table: np.ndarray, least: int, longest: int) -> tuple[np
 
 
 def fragments(texts: DataFrame, table: np.ndarray, least: int, longest: int, group: int) -> DataFrame:
-    """(lang, pivot, salt, split, lead, fragment, n): n times the fragment whose pivot comes after `lead` words."""
+    """(lang, pivot, salt, split, leads, counts, texts): fragments of one pivot in a row of their own: of
+    each the number of words before the pivot (a byte), how often it is there (four bytes), and its words, with a line feed after."""
     sent = texts.sparkSession.sparkContext.broadcast(table)
-    names = ["lang", "pivot", "salt", "split", "lead", "fragment", "n"]
+    names = ["lang", "pivot", "salt", "split", "leads", "counts", "texts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for scan in _scans(batches):
@@ -152,22 +159,40 @@ def fragments(texts: DataFrame, table: np.ndarray, least: int, longest: int, gro
                 digest[inside] = common.mixed(digest[inside] * np.uint64(0xD1342543DE82EF95) + scan.keys[at[inside] + d])
             digest, first, n = np.unique(digest, return_index=True, return_counts=True)
             at, left, right = at[first], left[first], right[first]
-            groups = np.ceil(weight[at] / group).astype(np.uint64)
+            groups = np.maximum(np.ceil(weight[at] / group).astype(np.uint64), 1)
+            salt = digest % groups
+            order = np.lexsort((salt, scan.keys[at]))
+            at, left, right, n, salt, groups = (x[order] for x in (at, left, right, n, salt, groups))
+            begin = np.flatnonzero(np.r_[True, (np.diff(scan.keys[at]) != 0) | (np.diff(salt) != 0)][: len(at)])
+            starts, ends = scan.starts[at - left], scan.ends[at + right] + 1  # with the space after, which becomes a line feed
+            offsets = np.r_[0, np.cumsum(ends - starts)]
+            chars = scan.data[np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], ends - starts)]
+            chars[offsets[1:] - 1] = 0x0A
+            cuts = np.r_[begin, len(at)]
             columns = [
-                scan.langs.take(pa.array(scan.text[at])), pa.array(scan.keys[at].view(np.int64)), pa.array((digest % np.maximum(groups, 1)).astype(np.int64)), pa.array(groups > 1),
-                pa.array(left.astype(np.int32)), gathered(scan.data, scan.starts[at - left], scan.ends[at + right]), pa.array(n.astype(np.int64)),
+                scan.langs.take(pa.array(scan.text[at[begin]])), pa.array(scan.keys[at[begin]].view(np.int64)), pa.array(salt[begin].astype(np.int64)), pa.array(groups[begin] > 1),
+                _packed(left.astype(np.uint8), cuts), _packed(n.astype("<u4").view(np.uint8), 4 * cuts), _packed(chars, offsets[cuts]),
             ]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return texts.mapInArrow(run, "lang string, pivot bigint, salt bigint, split boolean, lead int, fragment string, n bigint")
+    return texts.mapInArrow(run, "lang string, pivot bigint, salt bigint, split boolean, leads binary, counts binary, texts binary")
+
+
+def _packed(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _joined(column: pa.ChunkedArray) -> np.ndarray:
+    """The bytes of a binary column in a row."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8)
 
 
 def owned(rows: pa.Table, longest: int) -> pa.Table:
     """(lang, phrase, words, split, n): the n-grams of fragments that hold the pivot, counted."""
-    rows = rows.combine_chunks()
-    data, offsets = common.text_buffer(rows.column("fragment").chunk(0))
-    starts, ends, first = common.word_spans(data, offsets, _GAP)
-    lead = rows.column("lead").to_numpy().astype(np.int64)
+    data, lead = _joined(rows.column("texts")), _joined(rows.column("leads")).astype(np.int64)
+    n = _joined(rows.column("counts")).view("<u4").astype(np.int64)
+    row = np.repeat(np.arange(rows.num_rows), pc.binary_length(rows.column("leads")).to_numpy())
+    starts, ends, first = common.word_spans(data, np.r_[0, np.flatnonzero(data == 0x0A) + 1], _GAP)
     after, pivot = np.diff(first) - 1 - lead, first[:-1] + lead
     own, begin, end, words = [], [], [], []
     for a in range(longest):
@@ -178,8 +203,8 @@ def owned(rows: pa.Table, longest: int) -> pa.Table:
             end.append(ends[pivot[some] + b])
             words.append(np.full(len(some), a + b + 1, np.int32))
     own = np.concatenate(own)
-    made = {c: rows.column(c).take(pa.array(own)) for c in ("lang", "split", "n")}
-    made |= {"phrase": gathered(data, np.concatenate(begin), np.concatenate(end)), "words": pa.array(np.concatenate(words))}
+    made = {c: rows.column(c).take(pa.array(row[own])) for c in ("lang", "split")}
+    made |= {"n": pa.array(n[own]), "phrase": gathered(data, np.concatenate(begin), np.concatenate(end)), "words": pa.array(np.concatenate(words))}
     return pa.table(made).group_by(["lang", "phrase", "words", "split"]).aggregate([("n", "sum")])
 
 
@@ -191,15 +216,15 @@ def mined(routed: DataFrame, least: int, longest: int) -> DataFrame:
         size = 0
         for batch in batches:
             held.append(batch)
-            size += batch.num_rows
+            size += pc.sum(pc.binary_length(batch.column("leads"))).as_py() or 0
             if size >= CHUNK:
                 rows = pa.Table.from_batches(held)
-                groups = [rows.column(c).to_numpy() for c in ("pivot", "salt")]
-                new = np.flatnonzero((np.diff(groups[0]) != 0) | (np.diff(groups[1]) != 0))
+                pivot, salt = (rows.column(c).to_numpy() for c in ("pivot", "salt"))
+                new = np.flatnonzero((np.diff(pivot) != 0) | (np.diff(salt) != 0))
                 if len(new):  # the last group may go on in the next batch
                     yield from counted(rows.slice(0, new[-1] + 1))
                     rows = rows.slice(new[-1] + 1)
-                held, size = rows.combine_chunks().to_batches(), 0
+                held, size = rows.to_batches(), 0
         if held:
             yield from counted(pa.Table.from_batches(held))
 

@@ -79,13 +79,16 @@ def test_a_pivot_owns_each_phrase_once(spark):
     rows = collocations.fragments(texts, collocations.order_table(words), 3, 4, 10**9).collect()
     owner = defaultdict(set)
     for r in rows:
-        parts = r.fragment.split(" ")
-        own = n[r.lang, parts[r.lead]]
-        assert r.lead <= 3 and len(parts) - r.lead <= 4 and not r.split
-        assert all(n[r.lang, w] >= own for w in parts) and parts[r.lead] not in parts[: r.lead]
-        for a, b in itertools.product(range(r.lead + 1), range(len(parts) - r.lead)):
-            if 1 <= a + b <= 3:
-                owner[r.lang, " ".join(parts[r.lead - a : r.lead + b + 1])].add(r.pivot)
+        texts = bytes(r.texts).decode().removesuffix("\n").split("\n")
+        assert len(texts) == len(r.leads) == len(r.counts) // 4 and not r.split
+        for lead, fragment in zip(bytes(r.leads), texts, strict=True):
+            parts = fragment.split(" ")
+            own = n[r.lang, parts[lead]]
+            assert lead <= 3 and len(parts) - lead <= 4
+            assert all(n[r.lang, w] >= own for w in parts) and parts[lead] not in parts[:lead]
+            for a, b in itertools.product(range(lead + 1), range(len(parts) - lead)):
+                if 1 <= a + b <= 3:
+                    owner[r.lang, " ".join(parts[lead - a : lead + b + 1])].add(r.pivot)
     assert rows and all(len(v) == 1 for v in owner.values())
 
 
