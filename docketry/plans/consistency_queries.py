@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.functions import compare
+from docketry.functions import compare, text
 from docketry.operators import consistency, gates
 from docketry.plans import casefile
 from docketry.plans.ownership_queries import _NAME, _compact, _distinct, _pairs, _words
@@ -57,7 +57,9 @@ def _trusted_findings(spark: SparkSession, sf: str) -> DataFrame:
     fields = ("applicant_name", "date_of_birth", "pan_number")
     seen = casefile.unpivoted(casefile.pages(spark, sf), ["app", "subject", "page_number"], fields).withColumnRenamed("subject", "person")
     trusted = casefile.unpivoted(casefile.people(spark, sf), ["app", "person"], fields, "trusted_value")
-    wrong = seen.where(~gates.garbage(F.col("field"), F.col("value"))).join(trusted, ["app", "person", "field"]).where(~compare.matches(F.col("field"), F.col("trusted_value"), F.col("value")))
+    wrong = seen.where(~gates.garbage(F.col("field"), F.col("value"))).withColumn("_v", text.compact(F.col("value"))).join(trusted, ["app", "person", "field"]).where(~compare.matches(F.col("field"), F.col("trusted_value"), F.col("value")))
+    theirs = trusted.select("app", "field", F.col("person").alias("_p"), text.compact(F.col("trusted_value")).alias("_v"))
+    wrong = wrong.join(theirs, (wrong["app"] == theirs["app"]) & (wrong["field"] == theirs["field"]) & (wrong["_v"] == theirs["_v"]) & (wrong["person"] != theirs["_p"]), "left_anti")
     return wrong.select("app", "person", "field", "page_number", F.concat(F.lit("TRUSTED_"), F.upper("field"), F.lit("_MISMATCH")).alias("rule_id"), F.when(F.col("field") == "date_of_birth", "MEDIUM").otherwise("HIGH").alias("severity"))
 
 
@@ -73,7 +75,7 @@ def affidavit_findings(spark: SparkSession, sf: str) -> DataFrame:
 def supporting_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Where the PAN of a page stands in text: there, in its source document, or not."""
     pages = _pages(spark, sf).withColumn("source_document_id", F.when(F.col("page_number") % 2 == 0, F.expr("concat('d', CAST(CAST(floor(page_number / 6000) AS BIGINT) AS STRING))")))
-    rows = casefile.people(spark, sf).select("app", F.col("pan_number").alias("value")).join(pages.where("page_number % 7 = 0"), "app").select("app", "page_number", "source_document_id", "document_type", "value")
+    rows = casefile.people(spark, sf).select("app", F.col("pan_number").alias("value")).join(pages, "app").select("app", "page_number", "source_document_id", "document_type", "value")
     return consistency.supporting_page(rows, pages, ["app"], "value", 4000).select("app", "page_number", "value", "support")
 
 
@@ -126,7 +128,8 @@ _VALID = f"(applicant_name IS NOT NULL AND NOT regexp_matches(applicant_name, '[
 _F3 = ("applicant_name", "date_of_birth", "pan_number")
 _TRUSTED = f"""{casefile.PEOPLE_SQL}, {_MORE_SQL}, {casefile.unpivoted_sql("trusted", "people", ["app", "person"], _F3, "t")}, {casefile.unpivoted_sql("observed", "pages", ["app", "page_number", "subject AS person"], _F3, "x")},
     joined AS (SELECT app, page_number, person, field, t, x FROM observed JOIN trusted USING (app, person, field) WHERE NOT (x = 'Name' OR x LIKE 'XX%')), {_pairs("joined")},
-    tf AS (SELECT app, person, field, page_number, 'TRUSTED_' || upper(field) || '_MISMATCH' AS rule_id, CASE WHEN field = 'date_of_birth' THEN 'MEDIUM' ELSE 'HIGH' END AS severity FROM m WHERE NOT same)"""
+    tf AS (SELECT app, person, field, page_number, 'TRUSTED_' || upper(field) || '_MISMATCH' AS rule_id, CASE WHEN field = 'date_of_birth' THEN 'MEDIUM' ELSE 'HIGH' END AS severity FROM m WHERE NOT same
+        AND NOT EXISTS (SELECT 1 FROM trusted o WHERE o.app = m.app AND o.field = m.field AND o.person <> m.person AND {_compact("o.t")} = {_compact("m.x")}))"""
 ORACLE_SQL = {
     "address_anchor_mismatches": f"""
         WITH {casefile.PAGES_SQL}, o AS (SELECT app, subject AS person, page_number, document_type, address AS x FROM pages WHERE address IS NOT NULL),
@@ -162,7 +165,7 @@ ORACLE_SQL = {
         SELECT * FROM g WHERE NOT EXISTS (SELECT 1 FROM pages p WHERE p.app = g.app AND p.subject = g.person AND kind = 'Affidavit' AND body LIKE '%one and the same person%')""",
     "supporting_pages": f"""
         WITH {casefile.PEOPLE_SQL}, {_MORE_SQL}, p AS (SELECT app, page_number, document_type, {_compact("body")} AS b, CASE WHEN page_number % 2 = 0 THEN 'd' || CAST(CAST(floor(page_number / 6000) AS BIGINT) AS VARCHAR) END AS d FROM pages),
-        o AS (SELECT p.app, page_number, document_type, d, pan_number AS value FROM people k JOIN p ON k.app = p.app WHERE page_number % 7 = 0)
+        o AS (SELECT p.app, page_number, document_type, d, pan_number AS value FROM people k JOIN p ON k.app = p.app)
         SELECT o.app, o.page_number, o.value, coalesce(arg_min(p.page_number, CASE WHEN p.page_number = o.page_number THEN -1 ELSE p.page_number END), o.page_number) AS support
         FROM o LEFT JOIN p ON p.app = o.app AND contains(p.b, lower(o.value)) AND ((o.d IS NOT NULL AND p.d = o.d) OR (o.d IS NULL AND p.document_type = o.document_type AND abs(p.page_number - o.page_number) <= 4000)) GROUP BY o.app, o.page_number, o.value""",
     "nearby_pages": f"""

@@ -56,8 +56,8 @@ def failure_classes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def unmarked_words(spark: SparkSession, sf: str) -> DataFrame:
-    """Heads of texts without accents and punctuation."""
-    return load(spark, sf, "documents").select("doc_id", records.unmarked(F.substring("text", 1, 60)).alias("plain"))
+    """Whole texts without accents and punctuation."""
+    return load(spark, sf, "documents").select("doc_id", records.unmarked(F.col("text")).alias("plain"))
 
 
 def word_boxes(spark: SparkSession, sf: str) -> DataFrame:
@@ -84,7 +84,7 @@ def model_answers(spark: SparkSession, sf: str) -> DataFrame:
 def issue_sentences(spark: SparkSession, sf: str) -> DataFrame:
     """Templates filled for the events of each user."""
     rows = load(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_set(F.dayofmonth("ts"))).alias("days"), F.count("*").cast("string").alias("n"))
-    values = F.create_map(F.lit("count"), F.col("n"), F.lit("pages"), records.pages_phrase(F.slice("days", 1, 3)))
+    values = F.create_map(F.lit("count"), F.col("n"), F.lit("pages"), records.pages_phrase(F.col("days")))
     return rows.select("user_id", records.rendered(F.lit("{count} issues on {pages}{nothing}."), values).alias("sentence"))
 
 
@@ -122,18 +122,17 @@ def recovered_fields(spark: SparkSession, sf: str) -> DataFrame:
     people, pages = casefile.people(spark, sf), casefile.pages(spark, sf)
     shown = pages.where("pan_number is not null").select("app", F.col("pan_number")).distinct()
     none = people.join(shown, ["app", "pan_number"], "left_anti")
-    texts = pages.select("app", "page_number", F.when(F.col("page_number") % 4 == 1, F.expr(casefile.pan("seen"))).alias("body"))
-    found = ownership.seen_people(none, texts.where("body is not null"), ["app"], ["pan_number"], "body")
+    texts = pages.select("app", "page_number", F.expr(casefile.pan("seen")).alias("body"))
+    found = ownership.seen_people(none, texts, ["app"], ["pan_number"], "body")
     one = found.groupBy("app", "person").agg(F.min("page_number").alias("page_number"), F.countDistinct("page_number").alias("pages"))
     return none.select("app", "person").join(one, ["app", "person"], "left").select("app", "person", F.when(F.col("pages") == 1, F.col("page_number")).alias("page_number"), F.coalesce("pages", F.lit(0)).alias("pages"))
 
 
 def sections_by_name(spark: SparkSession, sf: str) -> DataFrame:
-    """Details and addresses of people in one row a name, from two lists that each may lack some."""
+    """Details of people and addresses on pages in one row a name, of which either may lack some."""
     key = F.regexp_replace(F.lower("applicant_name"), "[^a-z]", "")
-    people = casefile.people(spark, sf).withColumn("key", key)
-    left = people.where("k % 3 <> 0").groupBy("key").agg(F.min("pan_number").alias("pan"))
-    right = people.where("k % 5 <> 0").groupBy("key").agg(F.min("address").alias("address"), F.min("k").alias("first"))
+    left = casefile.people(spark, sf).groupBy(key.alias("key")).agg(F.min("pan_number").alias("pan"))
+    right = casefile.pages(spark, sf).where("applicant_name is not null and address is not null").groupBy(key.alias("key")).agg(F.min("address").alias("address"), F.min("page_number").alias("first"))
     return left.join(right, "key", "full_outer").select("key", "pan", "address", "first")
 
 
@@ -173,7 +172,7 @@ QUERIES = {
     )
 }
 
-_PLAIN = f"trim(regexp_replace(translate(lower(substr(text, 1, 60)), '{records.MARKED}', '{records.PLAIN}'), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+', ' ', 'g'))"
+_PLAIN = f"trim(regexp_replace(translate(lower(text), '{records.MARKED}', '{records.PLAIN}'), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+', ' ', 'g'))"
 _SEEN = """seen AS (SELECT DISTINCT k.app, person, field, page_number FROM (SELECT app, person, unnest(['applicant_name', 'pan_number', 'phone_number']) AS field, unnest([replace(applicant_name, ' ', ''), lower(pan_number), phone_number]) AS v FROM people) k
     JOIN (SELECT app, page_number, regexp_replace(lower(concat_ws(' ', 'text', applicant_name, pan_number, phone_number)), '[^a-z0-9]', '', 'g') AS b FROM pages) p ON k.app = p.app AND contains(p.b, k.v))"""
 ORACLE_SQL = {
@@ -196,8 +195,8 @@ ORACLE_SQL = {
     "nested_confidences": "SELECT c_custkey AS k, round(((c_custkey % 9 + 1) / 10::DOUBLE + 0.5::DOUBLE) / 2, 4) AS mean FROM customer",
     "model_answers": "SELECT c_custkey AS k, CASE c_custkey % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'no' WHEN 2 THEN 'maybe' END AS verdict, CASE c_custkey % 4 WHEN 0 THEN CAST(c_custkey AS VARCHAR) WHEN 2 THEN '7' END AS score FROM customer",
     "issue_sentences": """
-        WITH e AS (SELECT user_id, list_sort(list(DISTINCT day(ts)))[1:3] AS d, count(*) AS n FROM events GROUP BY 1)
-        SELECT user_id, n || ' issues on ' || CASE len(d) WHEN 1 THEN 'page ' || d[1] WHEN 2 THEN 'pages ' || d[1] || ' and ' || d[2] ELSE 'pages ' || d[1] || ', ' || d[2] || ' and ' || d[3] END || '.' AS sentence FROM e""",
+        WITH e AS (SELECT user_id, list_sort(list(DISTINCT day(ts))) AS d, count(*) AS n FROM events GROUP BY 1)
+        SELECT user_id, n || ' issues on ' || CASE len(d) WHEN 1 THEN 'page ' || d[1] ELSE 'pages ' || array_to_string(d[1:len(d) - 1], ', ') || ' and ' || d[len(d)] END || '.' AS sentence FROM e""",
     "checklist_statuses": f"""
         WITH {casefile.PEOPLE_SQL}, {casefile.PAGES_SQL}, w AS (SELECT DISTINCT app, ty FROM people, (VALUES ('PAN'), ('Aadhaar'), ('Bank Statement'), ('Passbook')) v(ty)),
         s AS (SELECT app, document_type, count(*) AS f, count(*) FILTER (is_readable) AS r, count(*) FILTER (is_readable AND classification_confidence >= 0.65) AS c FROM pages GROUP BY ALL),
@@ -208,10 +207,11 @@ ORACLE_SQL = {
     "literal_person_values": f"WITH {casefile.PEOPLE_SQL}, {casefile.PAGES_SQL}, {_SEEN} SELECT * FROM seen",
     "recovered_fields": f"""
         WITH {casefile.PEOPLE_SQL}, {casefile.PAGES_SQL}, n AS (SELECT app, person, pan_number FROM people k WHERE NOT EXISTS (SELECT 1 FROM pages p WHERE p.app = k.app AND p.pan_number = k.pan_number)),
-        f AS (SELECT n.app, person, p.page_number FROM n JOIN pages p ON p.app = n.app AND p.page_number % 4 = 1 AND {casefile.pan("p.seen")} = n.pan_number)
+        f AS (SELECT n.app, person, p.page_number FROM n JOIN pages p ON p.app = n.app AND {casefile.pan("p.seen")} = n.pan_number)
         SELECT n.app, n.person, CASE WHEN count(DISTINCT page_number) = 1 THEN min(page_number) END AS page_number, count(DISTINCT page_number) AS pages FROM n LEFT JOIN f ON n.app = f.app AND n.person = f.person GROUP BY n.app, n.person""",
     "sections_by_name": f"""
-        WITH {casefile.PEOPLE_SQL}, p AS (SELECT *, replace(applicant_name, ' ', '') AS key FROM people), l AS (SELECT key, min(pan_number) AS pan FROM p WHERE k % 3 <> 0 GROUP BY 1), r AS (SELECT key, min(address) AS address, min(k) AS first FROM p WHERE k % 5 <> 0 GROUP BY 1)
+        WITH {casefile.PEOPLE_SQL}, {casefile.PAGES_SQL}, l AS (SELECT regexp_replace(lower(applicant_name), '[^a-z]', '', 'g') AS key, min(pan_number) AS pan FROM people GROUP BY 1),
+        r AS (SELECT regexp_replace(lower(applicant_name), '[^a-z]', '', 'g') AS key, min(address) AS address, min(page_number) AS first FROM pages WHERE applicant_name IS NOT NULL AND address IS NOT NULL GROUP BY 1)
         SELECT coalesce(l.key, r.key) AS key, pan, address, first FROM l FULL JOIN r ON l.key = r.key""",
     "newest_inputs": """
         WITH j AS (SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1) SELECT o_custkey, o_orderkey, l_linenumber, l_partkey FROM j JOIN lineitem ON l_orderkey = o_orderkey""",

@@ -83,7 +83,7 @@ def script_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pattern_harvest(spark: SparkSession, sf: str) -> DataFrame:
-    found = text.harvest(F.col("text"), text.EMAIL)
+    found = text.harvest(F.col("text"), text.EMAIL, None)
     return load(spark, sf, "documents").select("doc_id", F.size(found).cast("bigint").alias("n"), F.array_join(found, ",").alias("emails")).where("n > 0")
 
 
@@ -133,13 +133,13 @@ def page_triage(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def name_match_tiers(spark: SparkSession, sf: str) -> DataFrame:
-    """Tiers of names made from customers against the supplier of the same number; name_match_best scores the names themselves."""
+    """Tiers of names made from customers against the supplier of the same number, null where there is none; name_match_best scores the names themselves."""
     number = F.regexp_extract("c_name", "([0-9]+)$", 1)
     k = F.col("c_custkey") % 5
     name = F.when(k == 0, F.concat(F.lit("Party "), number)).when(k == 1, F.concat(number, F.lit(" Party"))).when(k == 2, "Party").when(k == 3, F.concat(F.lit("The Party "), number)).otherwise(F.concat(F.lit("Other "), number))
     c = load(spark, sf, "customer").select(number.alias("number"), name.alias("x"))
     s = load(spark, sf, "supplier").select(F.regexp_extract("s_name", "([0-9]+)$", 1).alias("number"), F.regexp_replace("s_name", "Supplier#", "PARTY-").alias("y"))
-    return c.join(s, "number").groupBy(text.name_score(F.col("x"), F.col("y")).alias("score")).agg(F.count("*").alias("n"))
+    return c.join(s, "number", "left").groupBy(F.when(F.col("y").isNotNull(), text.name_score(F.col("x"), F.col("y"))).alias("score")).agg(F.count("*").alias("n"))
 
 
 def name_match_best(spark: SparkSession, sf: str) -> DataFrame:
@@ -225,7 +225,7 @@ ORACLE_SQL = {
     "pattern_harvest": f"""
         WITH e AS (SELECT doc_id, unnest(regexp_extract_all(text, '{text.EMAIL}')) AS m, unnest(range(len(regexp_extract_all(text, '{text.EMAIL}')))) AS i FROM documents),
         d AS (SELECT doc_id, m, min(i) AS i FROM e GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p FROM d)
-        SELECT doc_id, count(*) AS n, string_agg(m, ',' ORDER BY p) AS emails FROM k WHERE p <= 10 GROUP BY 1""",
+        SELECT doc_id, count(*) AS n, string_agg(m, ',' ORDER BY p) AS emails FROM k GROUP BY 1""",
     "masked_identifiers": """
         SELECT c_custkey, repeat('*', 8) || right(lpad(CAST(c_custkey AS VARCHAR), 12, '4'), 4) AS masked,
                CASE WHEN length(CAST(c_custkey AS VARCHAR)) <= 4 THEN repeat('*', length(CAST(c_custkey AS VARCHAR))) ELSE repeat('*', length(CAST(c_custkey AS VARCHAR)) - 4) || right(CAST(c_custkey AS VARCHAR), 4) END AS short,
@@ -246,8 +246,8 @@ ORACLE_SQL = {
         SELECT CASE WHEN length(text) < 50 THEN 'blank' WHEN len(string_split(text, chr(10))) * 40 > length(text) THEN 'table' WHEN length(text) > 8000 THEN 'long' ELSE 'printed' END AS kind,
                CASE WHEN length(trim(text)) > 50 THEN 'digital' ELSE 'scanned' END AS layer, count(*) AS n FROM documents GROUP BY 1, 2""",
     "name_match_tiers": """
-        SELECT CASE c_custkey % 5 WHEN 0 THEN 100.0 WHEN 1 THEN 100.0 WHEN 2 THEN 95.0 WHEN 3 THEN 90.0 ELSE 33.33 END::DOUBLE AS score, count(*) AS n
-        FROM customer JOIN supplier ON right(c_name, 9) = right(s_name, 9) GROUP BY 1""",
+        SELECT CASE WHEN s_name IS NULL THEN NULL ELSE CASE c_custkey % 5 WHEN 0 THEN 100.0 WHEN 1 THEN 100.0 WHEN 2 THEN 95.0 WHEN 3 THEN 90.0 ELSE 33.33 END END::DOUBLE AS score, count(*) AS n
+        FROM customer LEFT JOIN supplier ON right(c_name, 9) = right(s_name, 9) GROUP BY 1""",
     "name_match_best": f"""
         WITH c AS (SELECT c_custkey, {_NORM.format("c_name")} AS x FROM customer), s AS (SELECT {_NORM.format("s_name")} AS y, min(s_name) AS s_name FROM supplier GROUP BY 1),
         a AS (SELECT x, list_distinct(string_split(x, ' ')) AS u FROM (SELECT DISTINCT x FROM c) WHERE x <> ''), b AS (SELECT y, s_name, list_distinct(string_split(y, ' ')) AS v FROM s WHERE y <> ''),

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +14,15 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def load_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """The table's files as a stream; a file source asks for a folder, so a table of one file is read by its name in the folder above."""
+    path, reader = f"{sf_dir}/{table}.parquet", spark.readStream.schema(load(spark, sf_dir, table).schema)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(place).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
+
+
 def pages_of(df: DataFrame, application: str, number: str, text: str) -> DataFrame:
     """Any table as pages (application_id, page_number, text)."""
     return df.select(F.col(application).alias("application_id"), F.col(number).cast("int").alias("page_number"), F.col(text).alias("text"))
@@ -53,3 +66,13 @@ def overwrite_partitions(df: DataFrame, path: str, *by: str) -> None:
 def archive(df: DataFrame, key: str) -> DataFrame:
     """One JSON document a key with all its rows."""
     return df.groupBy(key).agg(F.to_json(F.sort_array(F.collect_list(F.struct(*df.columns)))).alias("archive"))
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one named by spark.checkpoint.dir; in a temporary one only where it is unset and all runs on one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="docketry-")
+    return f"{root.rstrip('/')}/docketry-{name}-{uuid.uuid4().hex}"
