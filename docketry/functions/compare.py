@@ -66,8 +66,12 @@ def _initials(short: Column, long: Column) -> Column:
 
 
 def person_score(a: Column, b: Column) -> Column:
-    """0 to 100: 100 the same words, 95 one a beginning of the other or its initials, 90 one within the other, else 100 x edit similarity of the sorted words. Take columns, not long expressions: each is used many times."""
-    u, v = name_words(a), name_words(b)
+    """0 to 100: 100 the same words, 95 one a beginning of the other or its initials, 90 one within the other, else 100 x edit similarity of the sorted words."""
+    return words_score(name_words(a), name_words(b))
+
+
+def words_score(u: Column, v: Column) -> Column:
+    """person_score of two arrays of name_words. Take columns, not long expressions: each is used many times."""
     x, y = F.array_join(u, ""), F.array_join(v, "")
     short, long = F.when(F.size(u) <= F.size(v), u).otherwise(v), F.when(F.size(u) <= F.size(v), v).otherwise(u)
     same = (F.size(u) == F.size(v)) & (F.size(F.array_except(u, v)) == 0)
@@ -87,10 +91,15 @@ def address_words(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(low, F.lit("([a-z0-9]+)"), F.lit(1)))
 
 
+#: Words before the number of a dwelling.
+DWELLINGS = ("flat", "apartment", "apt", "house", "unit", "door", "room", "quarter")
+_NUMBER = "[a-z]?\\s*[-/]?\\s*[0-9]{1,5}[a-z]?\\b"
+
+
 def units(c: Column) -> Column:
-    """Flat, house or unit numbers without marks; a number at the beginning counts as one."""
-    low, at = F.lower(c), "([a-z]?\\s*[-/]?\\s*[0-9]{1,5}[a-z]?)\\b"
-    named = F.regexp_extract_all(low, F.lit(f"\\b(?:flat|apartment|apt|house|unit|door|room|quarter)\\s*(?:(?:number|no)\\.?\\s*)?{at}"), F.lit(1))
+    """Numbers of dwellings without marks; a number with a letter before it at the beginning counts as one."""
+    low = F.lower(c)
+    named = F.regexp_extract_all(low, F.lit(f"\\b(?:{'|'.join(DWELLINGS)})(?:\\s*(?:number|no)\\.?)?\\s*({_NUMBER})"), F.lit(1))
     first = F.regexp_extract_all(low, F.lit("^\\s*([a-z]\\s*[-/]?\\s*[0-9]{1,5}[a-z]?)\\b"), F.lit(1))
     return F.array_distinct(F.transform(F.concat(named, first), lambda x: F.regexp_replace(x, "[^a-z0-9]", "")))
 
@@ -100,6 +109,12 @@ def plots(c: Column) -> Column:
     return F.transform(found, lambda x: F.regexp_replace(x, "[^a-z0-9]", ""))
 
 
+def address_parts(c: Column) -> Column:
+    """Struct (words, pins, units, plots, letters) of an address, all that address_kind looks at."""
+    pins = F.regexp_extract_all(c, F.lit(f"({_PIN})"), F.lit(1))
+    return F.struct(address_words(c).alias("words"), pins.alias("pins"), units(c).alias("units"), plots(c).alias("plots"), text.compact(c).alias("letters"))
+
+
 def address_kind(a: Column, b: Column) -> Column:
     """Why two addresses are one or not: UNIT_CONFLICT, SUBSET, PIN_WORDS, UNIT_PLACE, PIN_PLACE, WORDS, SIMILAR or DIFFERENT.
 
@@ -110,9 +125,14 @@ def address_kind(a: Column, b: Column) -> Column:
     which spelling may differ. WORDS: seven tenths of all words. SIMILAR: edit
     similarity of 0.82.
     """
-    u, v = address_words(a), address_words(b)
+    return parts_kind(address_parts(a), address_parts(b))
+
+
+def parts_kind(a: Column, b: Column) -> Column:
+    """address_kind of two address_parts. Take columns, not long expressions: each is used many times."""
+    u, v = a["words"], b["words"]
     shared, shorter = F.array_intersect(u, v), F.least(F.size(u), F.size(v))
-    one_pin = F.arrays_overlap(F.regexp_extract_all(a, F.lit(f"({_PIN})"), F.lit(1)), F.regexp_extract_all(b, F.lit(f"({_PIN})"), F.lit(1)))
+    one_pin = F.arrays_overlap(a["pins"], b["pins"])
 
     def telling(words: Column, digits: bool) -> Column:
         return F.filter(words, lambda w: ~w.isin(*COMMON_PLACES) & (F.length(w) >= 3) & ~w.rlike("^[1-8][0-9]{5}$") & (F.lit(digits) | ~w.rlike("^[0-9]+$")))
@@ -120,15 +140,15 @@ def address_kind(a: Column, b: Column) -> Column:
     own = telling(shared, True)
     left, right = F.array_except(telling(u, False), own), F.array_except(telling(v, False), own)
     near = F.size(F.filter(left, lambda x: F.exists(right, lambda y: text.edit_similarity(x, y) >= 0.78)))
-    clash = [(F.size(f(a)) > 0) & (F.size(f(b)) > 0) & ~F.arrays_overlap(f(a), f(b)) for f in (units, plots)]
+    clash = [(F.size(a[f]) > 0) & (F.size(b[f]) > 0) & ~F.arrays_overlap(a[f], b[f]) for f in ("units", "plots")]
     return (
         F.when(clash[0] | clash[1], "UNIT_CONFLICT")
         .when((shorter >= 2) & (F.size(shared) == shorter), "SUBSET")
         .when(one_pin & (F.size(shared) >= 5) & (F.size(shared) >= 0.75 * shorter), "PIN_WORDS")
-        .when(F.arrays_overlap(units(a), units(b)) & (F.size(own) >= 2), "UNIT_PLACE")
+        .when(F.arrays_overlap(a["units"], b["units"]) & (F.size(own) >= 2), "UNIT_PLACE")
         .when(one_pin & (F.size(own) + near >= 2), "PIN_PLACE")
         .when(text.jaccard(u, v) >= 0.7, "WORDS")
-        .when(text.edit_similarity(text.compact(a), text.compact(b)) >= 0.82, "SIMILAR")
+        .when(text.edit_similarity(a["letters"], b["letters"]) >= 0.82, "SIMILAR")
         .otherwise("DIFFERENT")
     )
 
@@ -146,11 +166,14 @@ def relation_prefix(c: Column) -> Column:
 
 def same_relation(a: Column, b: Column, words: int = 3) -> Column:
     """Both begin with the same relation mark and alike names (to the length of the shorter), and one has few words."""
-    x, y = relation_prefix(a), relation_prefix(b)
+    return _one_relation(relation_prefix(a), relation_prefix(b), address_words(a), address_words(b), words)
+
+
+def _one_relation(x: Column, y: Column, u: Column, v: Column, words: int) -> Column:
     n, m = F.split(x["name"], "\\s+"), F.split(y["name"], "\\s+")
     size = F.greatest(F.least(F.size(n), F.size(m)), F.lit(1))
     alike = text.edit_similarity(F.array_join(F.slice(n, F.lit(1), size), " "), F.array_join(F.slice(m, F.lit(1), size), " ")) >= 0.75
-    return F.coalesce((x["mark"] == y["mark"]) & alike & (F.least(F.size(address_words(a)), F.size(address_words(b))) <= words), F.lit(False))
+    return F.coalesce((x["mark"] == y["mark"]) & alike & (F.least(F.size(u), F.size(v)) <= words), F.lit(False))
 
 
 def kind_of(field: Column) -> Column:
@@ -176,6 +199,36 @@ def matches(field: Column, a: Column, b: Column, names_from: float = 85.0) -> Co
     )
 
 
+def prepared(field: Column, value: Column) -> Column:
+    """Struct of what `agree` looks at in a value of a field, so that it is worked out once a value and not once a pair."""
+    kind = kind_of(field)
+    name = F.when(kind == "name", name_words(value))
+    place = F.when(kind == "address", address_parts(value))
+    return F.struct(
+        blank(value).alias("blank"), text.compact(value).alias("letters"), F.regexp_replace(value, "[ -]", "").rlike("^[xX*#•]+[0-9]{4}$").alias("hidden"), F.when(kind == "number", number(value)).alias("number"),
+        F.when(kind == "date", day(value)).alias("day"), name.alias("name"), place.alias("place"), F.when(kind == "address", relation_prefix(value)).alias("relation"),
+    )
+
+
+def agree(field: Column, a: Column, b: Column, names_from: float = 85.0, relations: bool = True) -> Column:
+    """`matches` of two prepared values."""
+    kind, x, y = kind_of(field), a["letters"], b["letters"]
+    short = F.least(F.length(x), F.length(y)) == 4
+    tail = (F.length(x) >= 4) & (F.length(y) >= 4) & (short | a["hidden"] | b["hidden"]) & (F.right(x, F.lit(4)) == F.right(y, F.lit(4)))
+    place = ~parts_kind(a["place"], b["place"]).isin("UNIT_CONFLICT", "DIFFERENT")
+    if relations:
+        place = place | _one_relation(a["relation"], b["relation"], a["place"]["words"], b["place"]["words"], 3)
+    return (
+        F.when(a["blank"] | b["blank"], True)
+        .when(kind == "number", within(a["number"], b["number"]))
+        .when((kind == "date") & a["day"].isNotNull() & b["day"].isNotNull(), a["day"] == b["day"])
+        .when(kind == "exact", (x == y) | (field.isin("aadhaar_number", "aadhaar_last4", "account_number") & tail))
+        .when(kind == "address", place)
+        .when(kind == "name", words_score(a["name"], b["name"]) >= names_from)
+        .otherwise(text.edit_similarity(x, y) >= 0.88)
+    )
+
+
 def names_with_relatives(observed: Column, trusted: Column, relatives: Column, names_from: float = 85.0) -> Column:
     """A name that is the trusted one, or has all its words and only words of relatives besides."""
     u, v, known = name_words(observed), name_words(trusted), name_words(relatives)

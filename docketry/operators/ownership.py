@@ -40,15 +40,20 @@ def weight(field: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in WEIGHTS.items() for x in pair]), field), F.lit(0))
 
 
-def scores(observed: DataFrame, trusted: DataFrame, case: list[str], page: list[str], person: str = "person", matches: Column | None = None) -> DataFrame:
+def scores(observed: DataFrame, trusted: DataFrame, case: list[str], page: list[str], person: str = "person", relations: bool = True) -> DataFrame:
     """(page, person, score, evidence): weights of the fields of a page that match the person's.
 
     observed has case, page, field, value; trusted has case, person, field,
-    trusted_value. The join is on case and field, so its rows are pages x people of one case.
+    trusted_value. Identifiers that must be equal are joined by their letters
+    and digits; other fields are joined on case and field, so their rows are pages x people of one
+    case, and what is compared was worked out before the join.
     """
-    same = compare.matches(F.col("field"), F.col("trusted_value"), F.col("value")) if matches is None else matches
-    pairs = observed.where(~compare.blank(F.col("value"))).join(trusted.where(~compare.blank(F.col("trusted_value"))), [*case, "field"]).where(same)
-    told = pairs.groupBy(*case, *page, person, "field").agg(F.lit(1).alias("_one"))
+    whole = F.col("field").isin(*[f for f in compare.EXACT if f not in ("aadhaar_number", "aadhaar_last4", "account_number")])
+    o = observed.where(~compare.blank(F.col("value"))).withColumn("_o", F.when(~whole, compare.prepared(F.col("field"), F.col("value")))).withColumn("_k", F.when(whole, text.compact(F.col("value"))))
+    t = trusted.where(~compare.blank(F.col("trusted_value"))).withColumn("_t", F.when(~whole, compare.prepared(F.col("field"), F.col("trusted_value")))).withColumn("_k", F.when(whole, text.compact(F.col("trusted_value"))))
+    equal = o.where(whole).select(*case, *page, "field", "_k").join(t.where(whole).select(*case, person, "field", "_k"), [*case, "field", "_k"])
+    alike = o.where(~whole).select(*case, *page, "field", "_o").join(t.where(~whole).select(*case, person, "field", "_t"), [*case, "field"]).where(compare.agree(F.col("field"), F.col("_t"), F.col("_o"), relations=relations))
+    told = equal.select(*case, *page, person, "field").unionByName(alike.select(*case, *page, person, "field")).distinct()
     return told.groupBy(*case, *page, person).agg(F.sum(weight(F.col("field"))).cast("bigint").alias("score"), F.array_sort(F.collect_set("field")).alias("evidence"))
 
 

@@ -21,10 +21,7 @@ def _observed(spark: SparkSession, sf: str, *keep: str) -> DataFrame:
 
 
 def _scores(spark: SparkSession, sf: str) -> DataFrame:
-    kind = compare.kind_of(F.col("field"))
-    name = compare.person_score(F.col("trusted_value"), F.col("value")) >= 85
-    same = F.when(kind == "name", name).when(kind == "address", compare.same_address(F.col("trusted_value"), F.col("value"))).otherwise(compare.matches(F.col("field"), F.col("trusted_value"), F.col("value")))
-    return ownership.scores(_observed(spark, sf), _trusted(spark, sf), _CASE, _PAGE, matches=same)
+    return ownership.scores(_observed(spark, sf), _trusted(spark, sf), _CASE, _PAGE, relations=False)
 
 
 def page_owner_scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -59,11 +56,11 @@ def source_document_votes(spark: SparkSession, sf: str) -> DataFrame:
 def _compared(spark: SparkSession, sf: str) -> DataFrame:
     """Observations of pages against the trusted values of the person that they are filed under."""
     observed = _observed(spark, sf, "subject", "document_type", "classification_confidence").withColumnRenamed("subject", "person")
-    rows = observed.join(_trusted(spark, sf), ["app", "person", "field"])
+    rows = observed.withColumn("_o", compare.prepared(F.col("field"), F.col("value"))).join(_trusted(spark, sf).withColumn("_t", compare.prepared(F.col("field"), F.col("trusted_value"))), ["app", "person", "field"])
     clear = F.col("classification_confidence") >= 0.6
-    same = compare.matches(F.col("field"), F.col("trusted_value"), F.col("value"))
+    same = compare.agree(F.col("field"), F.col("_t"), F.col("_o"))
     status = F.when(~clear, "EXTRACTION_UNRELIABLE").when(same, "MATCH").otherwise("MISMATCH")
-    return rows.withColumn("status", status)
+    return rows.withColumn("status", status).drop("_o", "_t")
 
 
 def mapped_findings(spark: SparkSession, sf: str) -> DataFrame:
@@ -74,7 +71,8 @@ def mapped_findings(spark: SparkSession, sf: str) -> DataFrame:
     owner = owner.groupBy("app", "field", "_k").agg(F.min("_p").alias("_p"))
     wrong = rows.where("status <> 'MATCH'").withColumn("_k", key).join(owner, ["app", "field", "_k"], "left")
     found = wrong.select("app", "person", "field", "page_number", F.concat(F.upper("field"), F.lit("_"), F.col("status")).alias("rule_id"), F.when((F.col("status") == "MISMATCH") & (F.col("_p") != F.col("person")), F.col("_p")).alias("matched_person"))
-    none = _trusted(spark, sf).join(rows.select("app", "person", "field").distinct(), ["app", "person", "field"], "left_anti")
+    seen = _observed(spark, sf, "subject").select("app", F.col("subject").alias("person"), "field").distinct()
+    none = _trusted(spark, sf).join(seen, ["app", "person", "field"], "left_anti")
     none = none.select("app", "person", "field", F.lit(None).cast("bigint").alias("page_number"), F.concat(F.upper("field"), F.lit("_NOT_FOUND")).alias("rule_id"), F.lit(None).cast("string").alias("matched_person"))
     return found.unionByName(none)
 
