@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.functions import compare
-from docketry.operators import name_join, trusted_values
+from docketry.operators import identity, name_join, trusted_values
 from docketry.plans import casefile
 from docketry.plans.ownership_queries import _distinct, _words
+from docketry.sources import dumps
 from docketry.sources.tables import load
 
 
@@ -47,7 +48,26 @@ def recovered_values(spark: SparkSession, sf: str) -> DataFrame:
     return trusted_values.recovered(pages, trusted, ["app"], "body", "fields", ("pan_number", "phone_number"))
 
 
-QUERIES = {f.__name__: f for f in (similar_person_names, passages_in_documents, recovered_values)}
+def linked_people(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages of a case that are of one person by chains of identifiers, and chains that hold two PANs."""
+    pages = casefile.pages(spark, sf).select("app", "page_number", "pan_number", "phone_number", "account_number", "date_of_birth")
+    return identity.linked(pages.where("date_of_birth is null or date_of_birth not like 'XX%'"), "page_number", ["app"], ["pan_number", "phone_number", "account_number"], ("pan_number",))
+
+
+#: A dump of a customer's orders that is no JSON as a whole: stray text and brackets, quotes that hold brackets, an object that does not close.
+_ORDER = f"concat('{{\"k\" : ', {casefile.text(_O)}, ', \"note\": \"', o_orderpriority, ' ]}}{{\", \"sum\": {{\"paid\": [', {casefile.text(_O)}, ']}}}}')"
+_DETAILS = "concat('{{\"n\": ', CAST({0} AS STRING), '}}')"
+
+
+def dump_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Named sections, and the objects of named arrays, of a broken dump of each customer's orders."""
+    rows = load(spark, sf, "orders").selectExpr("o_custkey", "o_orderkey", f"{_ORDER} AS one")
+    texts = rows.groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "one"))), lambda x: x["one"]), " , ").alias("list"))
+    body = F.concat(F.lit('} copied ] "details": '), F.expr(_DETAILS.format("o_custkey")), F.lit('\n"orders" :\n['), F.col("list"), F.lit('] end "open": { "x'))
+    return dumps.sections(texts.select("o_custkey", body.alias("body")), "o_custkey", "body").select("o_custkey", "name", "no", "kind", "text")
+
+
+QUERIES = {f.__name__: f for f in (similar_person_names, passages_in_documents, recovered_values, linked_people, dump_parts)}
 
 _ASCII = "trim(regexp_replace(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'))"
 _LCS = """list_reduce(list_transform(string_split({0}, ''), lambda c: [unicode(c)]), lambda r, c: list_reduce(list_transform(range(1, length({1}) + 1), lambda j: [j]),
@@ -97,4 +117,16 @@ ORACLE_SQL = {
         WITH {casefile.PEOPLE_SQL}, p AS (SELECT {casefile.columns(_PAGES | {"person": _PAGES["subject"]})} FROM orders), r AS ({_recovered("pan_number")} UNION ALL {_recovered("phone_number")}),
         c AS (SELECT *, round(least(0.98::DOUBLE, coalesce(ocr_confidence, 1.0::DOUBLE)), 3) AS confidence FROM r WHERE len(list_distinct(list_transform(found, lambda x: regexp_replace(lower(x.m), '[^a-z0-9]', '', 'g')))) = 1)
         SELECT app, person, page_number, field, found[1].m AS observed, found[1].i AS line, confidence FROM c WHERE confidence >= 0.65 AND {_PAN_TYPE}""",
+    "linked_people": f"""
+        WITH RECURSIVE {casefile.PAGES_SQL}, k AS (SELECT app, page_number, f || ':' || regexp_replace(lower(v), '[^a-z0-9]', '', 'g') AS id FROM (SELECT app, page_number, unnest(['pan_number', 'phone_number', 'account_number']) AS f, unnest([pan_number, phone_number, account_number]) AS v
+            FROM pages WHERE date_of_birth IS NULL OR date_of_birth NOT LIKE 'XX%') WHERE trim(v) <> ''),
+        e AS (SELECT DISTINCT a.app, a.id AS u, b.id AS v FROM k a JOIN k b ON a.app = b.app AND a.page_number = b.page_number),
+        r AS (SELECT app, u, v FROM e UNION SELECT r.app, r.u, e.v FROM r JOIN e ON r.app = e.app AND r.v = e.u),
+        c AS (SELECT app, u AS id, min(v) AS identity, count(DISTINCT CASE WHEN v LIKE 'pan_number:%' THEN v END) > 1 AS conflict FROM r GROUP BY app, u),
+        p AS (SELECT DISTINCT k.app, page_number, identity, conflict FROM k JOIN c ON k.app = c.app AND k.id = c.id)
+        SELECT *, count(*) OVER (PARTITION BY app, identity) AS records FROM p""",
+    "dump_parts": f"""
+        WITH o AS (SELECT o_custkey, o_orderkey, {_ORDER} AS one, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS no FROM orders), l AS (SELECT o_custkey, '[' || string_agg(one, ' , ' ORDER BY o_orderkey) || ']' AS text FROM o GROUP BY 1)
+        SELECT o_custkey, 'details' AS name, 1 AS no, '{{' AS kind, {_DETAILS.format("o_custkey")} AS text FROM l UNION ALL SELECT o_custkey, 'orders', 1, '[', text FROM l
+        UNION ALL SELECT o_custkey, 'orders', no, '{{', one FROM o UNION ALL SELECT o_custkey, 'sum', no, '{{', '{{"paid": [' || o_orderkey || ']}}' FROM o UNION ALL SELECT o_custkey, 'paid', no, '[', '[' || o_orderkey || ']' FROM o""",
 }

@@ -75,4 +75,9 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="docketry-")
-    return f"{root.rstrip('/')}/docketry-{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/docketry-{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    files.mkdirs(place)
+    files.deleteOnExit(place)  # when the application ends
+    return path
