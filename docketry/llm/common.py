@@ -81,6 +81,8 @@ class Scratch:
         if bloom:
             writer = writer.option(f"parquet.bloom.filter.enabled#{bloom}", "true")
         writer.parquet(path)
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(place)  # plans that are run later still read it
         made = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(made)] = made, path
         return made

@@ -128,11 +128,17 @@ def logits(rows: DataFrame, models: dict[str, Model]) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def _one_an_id(rows: DataFrame) -> DataFrame:
+    """One document for each id and what goes with it, the first by its terms, however often the id is there."""
+    keys = [c for c in rows.columns if c not in VIEWS]
+    return rows.groupBy(*keys).agg(F.min(F.struct(*VIEWS)).alias("_first")).select(*keys, *[F.col("_first")[v].alias(v) for v in VIEWS])
+
+
 def cotrain(seen: DataFrame, labels: DataFrame, id_col: str, label: str) -> tuple[dict[str, Model], dict[str, np.ndarray]]:
     """Models of both views, and the calibrations of each and of both, from the table of `views`."""
     usable = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("double").alias("label")).where("_id is not null and label is not null").where(part_of("_id") != 2)
     chosen = common.write_table(linear.bounded_sample(usable, LABELLED, "_id").withColumn("part", part_of("_id").cast("int")), "chosen")
-    known = common.write_table(seen.join(F.broadcast(chosen), "_id"), "known")  # at most LABELLED labels
+    known = common.write_table(_one_an_id(seen.join(F.broadcast(chosen), "_id")), "known")  # at most LABELLED labels
 
     def of_view(rows: DataFrame, view: str) -> DataFrame:
         return rows.select("_id", F.lit(view).alias("view"), "label", F.col(view).alias("terms"))
@@ -153,7 +159,7 @@ def cotrain(seen: DataFrame, labels: DataFrame, id_col: str, label: str) -> tupl
                 best = scored.where(z >= bar).orderBy(z.desc(), F.xxhash64("_id"), "_id").limit(HANDED)
                 sure.append(best.select("_id", F.lit(other).alias("view"), F.lit(value).alias("label")))
         sure = common.write_table(sure[0].unionAll(sure[1]).unionAll(sure[2]).unionAll(sure[3]), "handed")
-        sure = common.write_table(seen.join(F.broadcast(sure), "_id"), "handed")  # at most 4 x HANDED ids
+        sure = common.write_table(_one_an_id(seen.join(F.broadcast(sure), "_id")), "handed")  # at most 4 x HANDED ids
         for view in VIEWS:
             given[view] = given[view].unionByName(of_view(sure.where(F.col("view") == view), view))
         handed = handed.unionAll(sure.select("_id"))

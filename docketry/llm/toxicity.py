@@ -104,7 +104,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     usable = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     chosen = linear.bounded_sample(usable.select(F.col(id_col).alias("_id"), F.col(label).cast("double").alias("_label")), sample, "_id")
     rows = docs.select(F.col(id_col).alias("_doc"), F.col(text).alias("_text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))
-    rows = common.write_table(with_counterfactuals(rows.select("_id", "_label", "_text"), "_text"), "terms")
+    rows = rows.groupBy("_id").agg(F.min("_label").alias("_label"), F.min("_text").alias("_text"))  # one text an id, however often it is there
+    rows = common.write_table(with_counterfactuals(rows, "_text"), "terms")
     features = linear.screened(rows.where("copy = 0"), "_label", 1 / 1000, FEATURES)
     rows = linear.narrowed(rows, features)
 

@@ -396,3 +396,14 @@ def test_pipeline_runs_from_the_registry(spark):
 
     assert __spark_entry__.queries()["pipeline"](spark, SF).count() > 0
     assert set(queries.QUERIES) <= set(__spark_entry__.queries())
+
+
+def test_an_id_that_repeats_gives_a_fit_one_text(spark):
+    """However often an id is there, its label fits one row; scores are those of the table without the repeats."""
+    rng = np.random.default_rng(5)
+    words = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(rng.choice(words, 30)) + (" bad awful" if k % 3 == 0 else " fine good")) for k in range(400)]
+    labels = spark.createDataFrame([(k, int(k % 3 != 0), int(k % 3 == 0)) for k in range(400)], "doc_id bigint, quality int, toxic int")
+    single, several = table(spark, rows), table(spark, rows + [(4, rows[4][1])] * 300)
+    for made in (lambda d: quality.score(d, labels).select("doc_id", F.round("score", 6).alias("s")), lambda d: toxicity.score(d, toxicity.fit(d, labels)).select("doc_id", F.round("score", 6).alias("s"))):
+        assert {r.doc_id: r.s for r in made(several).collect()} == {r.doc_id: r.s for r in made(single).collect()}
