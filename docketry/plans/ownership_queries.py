@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.functions import compare, text
-from docketry.operators import ownership
+from docketry.operators import mapped, ownership
 from docketry.plans import casefile
 
 _CASE, _PAGE = ["app"], ["page_number"]
@@ -77,6 +77,22 @@ def mapped_findings(spark: SparkSession, sf: str) -> DataFrame:
     return found.unionByName(none)
 
 
+_FIELDS4 = ("pan_number", "phone_number", "applicant_name", "pin_code")
+#: Documents are the pages of a type of a person in a source; some map a page that is not there, and each person should have a title deed.
+_MAPPED = {"app": "app", "document": "concat(source_document_id, '/', subject, '/', document_type)", "person": "subject", "document_type": "document_type", "required": "true", "page_number": "page_number"}
+
+
+def mapped_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Findings on the documents that a manifest maps to persons and pages, by eight rules."""
+    pages, people = casefile.pages(spark, sf), casefile.people(spark, sf)
+    maps = pages.selectExpr(*[f"{e} AS {n}" for n, e in _MAPPED.items()])
+    far = pages.where("page_number % 50 = 0").selectExpr(*[f"{'page_number + 100000000' if n == 'page_number' else e} AS {n}" for n, e in _MAPPED.items()])
+    deeds = people.selectExpr("app", "concat('deed/', person) AS document", "person", "'Title Deed' AS document_type", "income_earner AS required", "CAST(NULL AS BIGINT) AS page_number")
+    seen = casefile.unpivoted(pages, ["app", "page_number", "classification_confidence"], _FIELDS4).withColumn("reliable", (F.col("value") != "Name") & (F.col("classification_confidence") >= 0.3))
+    trusted = casefile.unpivoted(people, ["app", "person"], _FIELDS4, "trusted_value")
+    return mapped.findings(maps.unionByName(far).unionByName(deeds), pages.select("app", "page_number", "is_readable", "ocr_confidence"), seen, trusted, ["app"])
+
+
 def people_document_status(spark: SparkSession, sf: str) -> DataFrame:
     """Status of each person and document type, and of each person over all types."""
     pages = casefile.pages(spark, sf).select("app", F.col("subject").alias("person"), "document_type", "page_number")
@@ -89,9 +105,9 @@ def people_document_status(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def verification_report(spark: SparkSession, sf: str) -> DataFrame:
-    """For each case and field: how many of the people match, and whether any needs review."""
-    rows = _compared(spark, sf).groupBy("app", "person", "field").agg(F.bool_or(F.col("status") == "MATCH").alias("ok"), F.bool_or(F.col("status") == "MISMATCH").alias("bad"))
-    per = rows.groupBy("app", "field").agg(F.count("*").alias("people"), F.count_if("ok").alias("matched"), F.bool_or(~F.col("ok") | F.col("bad")).alias("needs_review"))
+    """For each case and field: how many of the people match, and whether any needs review: no match, a mismatch, or no match on a page of a confidence of 0.75."""
+    rows = _compared(spark, sf).groupBy("app", "person", "field").agg(F.bool_or(F.col("status") == "MATCH").alias("ok"), F.bool_or(F.col("status") == "MISMATCH").alias("bad"), F.max(F.when(F.col("status") == "MATCH", F.col("classification_confidence"))).alias("sure"))
+    per = rows.groupBy("app", "field").agg(F.count("*").alias("people"), F.count_if("ok").alias("matched"), F.bool_or(~F.col("ok") | F.col("bad") | (F.coalesce("sure", F.lit(0.0)) < 0.75)).alias("needs_review"))
     return per.withColumn("match_percentage", F.round(100 * F.col("matched") / F.col("people"), 1))
 
 
@@ -107,7 +123,7 @@ def typed_comparisons(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("page_number", "field", compare.matches(F.col("field"), F.col("trusted_value"), F.col("value")).alias("same"))
 
 
-QUERIES = {f.__name__: f for f in (page_owner_scores, page_owners, owner_findings, source_document_votes, mapped_findings, people_document_status, verification_report, merged_person_records, typed_comparisons)}
+QUERIES = {f.__name__: f for f in (page_owner_scores, page_owners, owner_findings, source_document_votes, mapped_findings, mapped_documents, people_document_status, verification_report, merged_person_records, typed_comparisons)}
 
 _TITLES = ", ".join(f"'{t}'" for t in compare.TITLES)
 
@@ -187,6 +203,25 @@ ORACLE_SQL = {
         SELECT c.app, c.person, c.field, page_number, upper(c.field) || '_' || status AS rule_id, CASE WHEN status = 'MISMATCH' AND p <> c.person THEN p END AS matched_person
         FROM c LEFT JOIN o ON c.app = o.app AND c.field = o.field AND o.k = CASE WHEN c.field IN ('phone_number', 'pin_code') THEN regexp_replace(x, '[^0-9]', '', 'g') ELSE upper(trim(x)) END WHERE status <> 'MATCH'
         UNION ALL SELECT app, person, field, NULL, upper(field) || '_NOT_FOUND', NULL FROM trusted t WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.app = t.app AND c.person = t.person AND c.field = t.field)""",
+    "mapped_documents": f"""
+        WITH {casefile.PEOPLE_SQL}, {casefile.PAGES_SQL}, {casefile.unpivoted_sql("trusted", "people", ["app", "person"], _FIELDS4, "t")}, {casefile.unpivoted_sql("observed", "pages", ["app", "page_number", "classification_confidence"], _FIELDS4, "x")},
+        maps AS (SELECT {casefile.columns(_MAPPED)} FROM pages UNION ALL SELECT {casefile.columns(_MAPPED | {"page_number": "page_number + 100000000"})} FROM pages WHERE page_number % 50 = 0
+            UNION ALL SELECT app, 'deed/' || person, person, 'Title Deed', income_earner, NULL FROM people),
+        r AS (SELECT m.*, lower(m.document_type) IN ({", ".join(repr(x) for x in mapped.TOGETHER)}) AS anyone, CASE WHEN lower(m.document_type) IN ({", ".join(repr(x) for x in mapped.TOGETHER)}) THEN 't:' || m.person || ':' || lower(m.document_type) ELSE 'd:' || m.document END AS unit,
+            p.page_number IS NOT NULL AS there, p.is_readable AS readable, p.ocr_confidence AS ocr FROM maps m LEFT JOIN pages p ON m.app = p.app AND m.page_number = p.page_number),
+        legible AS (SELECT DISTINCT app, unit, anyone, person, page_number, ocr FROM r WHERE there AND readable), units AS (SELECT app, unit, anyone, person, min(page_number) AS page_number, arg_min(coalesce(ocr, 1.0::DOUBLE), page_number) AS ocr FROM legible GROUP BY ALL),
+        expected AS (SELECT u.*, field, t FROM units u JOIN trusted USING (app, person)), seen AS (SELECT l.*, field, x, x <> 'Name' AND classification_confidence >= 0.3 AS reliable FROM legible l JOIN observed o ON l.app = o.app AND l.page_number = o.page_number WHERE trim(x) <> ''),
+        none AS (SELECT e.*, (SELECT min(s.page_number) FROM seen s WHERE s.app = e.app AND s.unit = e.unit AND s.field = e.field AND NOT reliable) AS weak FROM expected e WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.app = e.app AND s.unit = e.unit AND s.field = e.field AND reliable)),
+        joined AS (SELECT s.app, s.unit, s.anyone, s.person, s.page_number, s.ocr, s.field, e.t, s.x FROM seen s JOIN expected e ON s.app = e.app AND s.unit = e.unit AND s.field = e.field WHERE reliable), {_pairs("joined")},
+        v AS (SELECT app, unit, anyone, person, field, upper(trim(x)) AS k, min({{'page_number': page_number, 'x': x, 'ocr': ocr}}) AS f, bool_or(same) AS same FROM m GROUP BY ALL),
+        q AS (SELECT *, bool_or(same) OVER (PARTITION BY app, unit, field) AS good, row_number() OVER (PARTITION BY app, unit, field, same ORDER BY f, k) AS no FROM v),
+        wrong AS (SELECT *, coalesce(f.ocr < 0.55, false) AS poor, EXISTS (SELECT 1 FROM trusted o WHERE o.app = q.app AND o.field = q.field AND o.person <> q.person AND {_compact("o.t")} = {_compact("q.f.x")}) AS theirs FROM q WHERE NOT same AND (NOT anyone OR (NOT good AND no = 1)))
+        SELECT app, unit, person, page_number, NULL AS field, 'DOCUMENT_MISSING' AS rule_id, 'HIGH' AS severity FROM r WHERE page_number IS NULL AND required
+        UNION ALL SELECT DISTINCT app, unit, person, page_number, NULL, 'PAGE_OUT_OF_RANGE', 'HIGH' FROM r WHERE page_number IS NOT NULL AND NOT there
+        UNION ALL SELECT app, unit, person, min(page_number), NULL, 'DOCUMENT_NOT_READABLE', 'HIGH' FROM r WHERE there GROUP BY app, document, unit, person HAVING NOT bool_or(readable)
+        UNION ALL SELECT app, unit, person, coalesce(weak, page_number), field, upper(field) || CASE WHEN weak IS NOT NULL THEN '_EXTRACTION_UNRELIABLE' ELSE '_NOT_FOUND' END, CASE WHEN weak IS NOT NULL THEN 'LOW' ELSE 'MEDIUM' END FROM none WHERE weak IS NOT NULL OR ocr >= 0.55
+        UNION ALL SELECT app, unit, person, f.page_number, field, CASE WHEN theirs THEN 'INDEX_MAPPING_SUSPECTED' ELSE upper(field) || '_MISMATCH' END, CASE WHEN theirs OR field = 'pan_number' THEN 'HIGH' ELSE 'MEDIUM' END FROM wrong WHERE NOT poor
+        UNION ALL SELECT DISTINCT app, unit, person, page_number, NULL, 'LOW_CONFIDENCE_PAGE', 'LOW' FROM (SELECT app, unit, person, page_number FROM none WHERE weak IS NULL AND ocr < 0.55 UNION ALL SELECT app, unit, person, f.page_number FROM wrong WHERE poor)""",
     "people_document_status": f"""
         WITH {_COMPARED}, s AS (SELECT app, person, document_type, count(*) AS observations, count(*) FILTER (status = 'MISMATCH') AS anomalies FROM c WHERE status <> 'EXTRACTION_UNRELIABLE' GROUP BY ALL),
         r AS (SELECT p.app, p.person, p.document_type, pages, coalesce(observations, 0) AS observations, coalesce(anomalies, 0) AS anomalies,
@@ -194,8 +229,8 @@ ORACLE_SQL = {
               FROM (SELECT app, subject AS person, document_type, count(*) AS pages FROM pages GROUP BY ALL) p LEFT JOIN s ON p.app = s.app AND p.person = s.person AND p.document_type = s.document_type)
         SELECT *, CASE WHEN bool_or(status = 'NEEDS_REVIEW') OVER w THEN 'NEEDS_REVIEW' WHEN bool_and(status = 'MATCH') OVER w THEN 'MATCH' ELSE 'NOT_CHECKED' END AS person_status FROM r WINDOW w AS (PARTITION BY app, person)""",
     "verification_report": f"""
-        WITH {_COMPARED}, r AS (SELECT app, person, field, bool_or(status = 'MATCH') AS ok, bool_or(status = 'MISMATCH') AS bad FROM c GROUP BY ALL)
-        SELECT app, field, count(*) AS people, count(*) FILTER (ok) AS matched, bool_or(NOT ok OR bad) AS needs_review, round(100 * count(*) FILTER (ok) / count(*)::DOUBLE, 1) AS match_percentage FROM r GROUP BY ALL""",
+        WITH {_COMPARED}, r AS (SELECT app, person, field, bool_or(status = 'MATCH') AS ok, bool_or(status = 'MISMATCH') AS bad, max(classification_confidence) FILTER (status = 'MATCH') AS sure FROM c GROUP BY ALL)
+        SELECT app, field, count(*) AS people, count(*) FILTER (ok) AS matched, bool_or(NOT ok OR bad OR coalesce(sure, 0) < 0.75) AS needs_review, round(100 * count(*) FILTER (ok) / count(*)::DOUBLE, 1) AS match_percentage FROM r GROUP BY ALL""",
     "merged_person_records": f"""
         WITH {casefile.PAGES_SQL}, r AS (SELECT *, coalesce('pan_number:' || {_compact("pan_number")}, 'account_number:' || {_compact("account_number")}, 'phone_number:' || {_compact("phone_number")}) AS identity FROM pages)
         SELECT app, identity, count(*) AS records, arg_min(pan_number, page_number) FILTER (pan_number IS NOT NULL) AS pan_number, arg_min(phone_number, page_number) FILTER (phone_number IS NOT NULL) AS phone_number,

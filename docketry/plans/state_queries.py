@@ -61,8 +61,8 @@ QUERIES = {f.__name__: f for f in (job_retries_streamed, page_types_streamed, la
 
 ORACLE_SQL = {
     "job_retries_streamed": """
-        WITH a AS (SELECT user_id, event_id, epoch_ms(ts) AS at_ms, event_type, 1 + count(*) FILTER (event_type = 'error') OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS attempt,
-                   lead(epoch_ms(ts)) OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS later FROM events),
+        WITH a AS (SELECT user_id, event_id, (epoch_us(ts) // 1000) AS at_ms, event_type, 1 + count(*) FILTER (event_type = 'error') OVER (PARTITION BY user_id ORDER BY (epoch_us(ts) // 1000), event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS attempt,
+                   lead((epoch_us(ts) // 1000)) OVER (PARTITION BY user_id ORDER BY (epoch_us(ts) // 1000), event_id) AS later FROM events),
         r AS (SELECT *, CASE WHEN event_type = 'error' AND attempt < 3 THEN CASE attempt WHEN 1 THEN 30 ELSE 120 END END::BIGINT AS wait_seconds FROM a)
         SELECT user_id, at_ms, event_id, attempt, CASE WHEN event_type <> 'error' THEN 'DONE' WHEN attempt >= 3 THEN 'DEAD' ELSE 'RETRY' END AS next, wait_seconds FROM r
         UNION ALL SELECT user_id, at_ms + 1000 * wait_seconds, NULL, attempt + 1, 'RETRIED', NULL FROM r WHERE wait_seconds IS NOT NULL AND (later IS NULL OR at_ms + 1000 * wait_seconds <= later)""",
