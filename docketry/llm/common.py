@@ -3,11 +3,14 @@ columns as numpy arrays, and hashes of words and of windows of words."""
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import os
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -139,6 +142,28 @@ def ranged(df: DataFrame, *order: Column | str, name: str = "ranged") -> DataFra
 # ------------------------------------------------------------------ Arrow text
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which a worker, that stays for later tasks, gives the memory of this one back."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Zero-copy slices of about max_bytes of text; a longer text is a slice of its own."""
     if not batch.num_rows:

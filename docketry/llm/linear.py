@@ -70,7 +70,7 @@ def featured(rows: DataFrame, text: str, *keep: str, stems: Sequence[int] = (),
                 column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(buckets.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), column], [*keep, "terms"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(common.tidy(run), schema)
 
 
 class Entries:
@@ -206,4 +206,4 @@ def scored(rows: DataFrame, text: str, weights: np.ndarray, bias: float, out: st
                 score = pa.array(1 / (1 + np.exp(-np.clip(total, -30, 30))), pa.float64())
                 yield pa.RecordBatch.from_arrays([*part.columns, score], [*part.schema.names, out])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(common.tidy(run), schema)

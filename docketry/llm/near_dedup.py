@@ -114,7 +114,7 @@ def signatures(rows: DataFrame, bands: int, per_band: int, shingle: int, weights
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(total[full].view(np.int64)))
         return pa.RecordBatch.from_arrays([part.column("id"), pa.array(node.view(np.int64)), pa.array(np.diff(first).astype(np.int32)), lists], ["id", "node", "n", "bands"])
 
-    return rows.mapInArrow(run, "id bigint, node bigint, n int, bands array<bigint>")
+    return rows.mapInArrow(common.tidy(run), "id bigint, node bigint, n int, bands array<bigint>")
 
 
 def shingle_sets(rows: DataFrame, shingle: int, weights: str) -> DataFrame:
@@ -129,7 +129,7 @@ def shingle_sets(rows: DataFrame, shingle: int, weights: str) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(_digest(values, first).view(np.int64)), lists], ["node", "shingles"])
 
-    return rows.mapInArrow(run, "node bigint, shingles array<bigint>")
+    return rows.mapInArrow(common.tidy(run), "node bigint, shingles array<bigint>")
 
 
 def _digest(values: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -288,7 +288,7 @@ def _compared(groups: DataFrame, weighed: DataFrame, least: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(nodes[[i for i, _ in links]]), pa.array(nodes[[j for _, j in links]])], ["u", "v"])
 
     rows = groups.distinct().join(weighed.select("node", "n", "w"), "node")
-    return rows.repartition("key").sortWithinPartitions("key").select("key", "node", "n", "w").mapInArrow(run, "u bigint, v bigint")
+    return rows.repartition("key").sortWithinPartitions("key").select("key", "node", "n", "w").mapInArrow(common.tidy(run), "u bigint, v bigint")
 
 
 def forest(sizes: np.ndarray, counts: np.ndarray, values: np.ndarray, least: float) -> list[tuple[int, int]]:

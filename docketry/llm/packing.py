@@ -105,11 +105,17 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str =
                     ["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 
+    def emptied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            tokenizer_at(common.received(name)).clear()  # its vocabulary stays, the runs of this task go
+
     def cuts(x: bytes, width: int) -> list[bytes]:
         return [x[j : j + width] for j in range(0, len(x), width)]
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return rows.mapInArrow(common.tidy(emptied), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def best_fit(lengths: list[int], capacity: int, open_bins: int) -> tuple[list[int], list[int]]:

@@ -125,7 +125,7 @@ def logits(rows: DataFrame, models: dict[str, Model]) -> DataFrame:
                 out.append(pa.array(np.bincount(owner, weights.value[column.flatten().to_numpy()], len(column)) + bias, pa.float64()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *out], [*keep, *(f"z_{v}" for v in VIEWS)])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(common.tidy(run), schema)
 
 
 def _one_an_id(rows: DataFrame) -> DataFrame:

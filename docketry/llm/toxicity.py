@@ -94,7 +94,7 @@ def with_counterfactuals(rows: DataFrame, text: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("_id").take(rows), part.column("_label").take(rows), copy, terms], ["_id", "_label", "copy", "terms"])
 
     schema = rows.select("_id", "_label").withColumns({"copy": F.lit(None).cast("int"), "terms": F.lit(None).cast("array<int>")}).schema
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(common.tidy(run), schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, penalty: float = PENALTY) -> tuple[np.ndarray, float]:
