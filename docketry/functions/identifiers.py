@@ -16,27 +16,24 @@ FORMATS = {
     "licence": "^[A-Z]{2}[0-9]{2}[0-9]{4}[0-9]{7}$",
     "email": f"^{text.EMAIL}$",
 }
-#: Latin writing of Devanagari letters in the order of their code points, by first code point of each row.
+#: Latin writing of Devanagari letters and signs, of which some are not written.
 DEVANAGARI = {
-    0x0905: "a aa i ii u uu ri",
-    0x090F: "e ai",
-    0x0913: "o au",
-    0x0915: "k kh g gh ng ch chh j jh ny t th d dh n t th d dh n n p ph b bh m y r r l l l v sh sh s h",
-    0x093E: "aa i ii u uu ri",
-    0x0947: "e ai",
-    0x094B: "o au",
-    0x0966: "0 1 2 3 4 5 6 7 8 9",
-}
-#: Signs, of which some are not written.
-SIGNS = {0x0901: "n", 0x0902: "n", 0x0903: "h", 0x093C: "", 0x094D: ""}
+    "\u0901": "n", "\u0902": "n", "\u0903": "h", "अ": "a", "आ": "aa", "इ": "i", "ई": "ii", "उ": "u", "ऊ": "uu", "ऋ": "ri",
+    "ए": "e", "ऐ": "ai", "ओ": "o", "औ": "au", "क": "k", "ख": "kh", "ग": "g", "घ": "gh", "ङ": "ng", "च": "ch",
+    "छ": "chh", "ज": "j", "झ": "jh", "ञ": "ny", "ट": "t", "ठ": "th", "ड": "d", "ढ": "dh", "ण": "n", "त": "t",
+    "थ": "th", "द": "d", "ध": "dh", "न": "n", "ऩ": "n", "प": "p", "फ": "ph", "ब": "b", "भ": "bh", "म": "m",
+    "य": "y", "र": "r", "ऱ": "r", "ल": "l", "ळ": "l", "ऴ": "l", "व": "v", "श": "sh", "ष": "sh", "स": "s",
+    "ह": "h", "\u093c": "", "\u093e": "aa", "\u093f": "i", "\u0940": "ii", "\u0941": "u", "\u0942": "uu", "\u0943": "ri", "\u0947": "e", "\u0948": "ai",
+    "\u094b": "o", "\u094c": "au", "\u094d": "", "०": "0", "१": "1", "२": "2", "३": "3", "४": "4", "५": "5", "६": "6",
+    "७": "7", "८": "8", "९": "9",
+}
 #: Gujarati letters stand in the same order, so many code points further on.
 GUJARATI = 0x0A80 - 0x0900
 
 
 def letters() -> dict[str, str]:
     """Latin writing of each letter of both scripts."""
-    row = {first + k: latin for first, line in DEVANAGARI.items() for k, latin in enumerate(line.split())} | SIGNS
-    return {chr(code + shift): latin for shift in (0, GUJARATI) for code, latin in row.items()}
+    return {chr(ord(letter) + shift): latin for shift in (0, GUJARATI) for letter, latin in DEVANAGARI.items()}
 
 
 def romanised(c: Column) -> Column:

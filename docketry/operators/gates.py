@@ -15,14 +15,14 @@ IDENTITY_TYPES = ("aadhaar", "pan", "pan card", "voter id", "driving license", "
 IDENTITY_FIELDS = ("applicant_name", "pan_number", "aadhaar_number", "date_of_birth")
 #: Fields that mean something else in a kind of document.
 OTHER_MEANING = {
-    "crif report": "branch apr roi sanction_amount loan_amount processing_fee phone_number bank_linked_mobile",
-    "cibil report": "branch apr roi sanction_amount loan_amount processing_fee phone_number bank_linked_mobile",
-    "cersai report": "date_of_birth dob phone_number",
-    "technical report": "phone_number email branch",
-    "bank statement": "application_number branch loan_amount sanction_amount requested_amount recommended_amount",
-    "passbook": "branch loan_amount sanction_amount requested_amount recommended_amount",
-    "cheque": "branch loan_amount sanction_amount requested_amount recommended_amount",
-    "utility bill": "loan_amount sanction_amount requested_amount recommended_amount",
+    "crif report": ("branch", "apr", "roi", "sanction_amount", "loan_amount", "processing_fee", "phone_number", "bank_linked_mobile"),
+    "cibil report": ("branch", "apr", "roi", "sanction_amount", "loan_amount", "processing_fee", "phone_number", "bank_linked_mobile"),
+    "cersai report": ("date_of_birth", "dob", "phone_number"),
+    "technical report": ("phone_number", "email", "branch"),
+    "bank statement": ("application_number", "branch", "loan_amount", "sanction_amount", "requested_amount", "recommended_amount"),
+    "passbook": ("branch", "loan_amount", "sanction_amount", "requested_amount", "recommended_amount"),
+    "cheque": ("branch", "loan_amount", "sanction_amount", "requested_amount", "recommended_amount"),
+    "utility bill": ("loan_amount", "sanction_amount", "requested_amount", "recommended_amount"),
 }
 #: Words of labels that stand where a value should.
 LABELS = ("name", "address", "date of birth", "dob", "father name", "signature", "applicant name", "null", "none", "na", "n a", "landmark", "district city", "locality")
@@ -44,7 +44,7 @@ def eligible(allowed: Column, triage: str = "triage", readable: str = "is_readab
 
 def means_the_same(document: Column, field: Column) -> Column:
     """False where the field's label means something else in that document."""
-    table = F.create_map(*[x for doc, fields in OTHER_MEANING.items() for x in (F.lit(doc), F.array(*[F.lit(f) for f in fields.split()]))])
+    table = F.create_map(*[x for doc, fields in OTHER_MEANING.items() for x in (F.lit(doc), F.array(*[F.lit(f) for f in fields]))])
     return ~F.coalesce(F.array_contains(F.try_element_at(table, F.lower(F.trim(document))), field), F.lit(False))
 
 

@@ -74,7 +74,7 @@ _SEQ = f"s AS (SELECT {casefile.columns(SEQUENCE)} FROM orders)"
 
 def _on(kind: str, body: str = "body") -> str:
     """CASE over the types of whether body goes on in one."""
-    tests = [f"WHEN {kind} = '{name}' THEN " + " + ".join(f"contains({body}, '{t}')::INT" for t in page_types.GOING_ON[page_types._LIKE.get(name, name)][1].split("|")) + f" >= {page_types.GOING_ON[page_types._LIKE.get(name, name)][0]}" for name in (*page_types.GOING_ON, *page_types._LIKE)]
+    tests = [f"WHEN {kind} = '{name}' THEN " + " + ".join(f"contains({body}, '{t}')::INT" for t in page_types.GOING_ON[page_types._LIKE.get(name, name)][1]) + f" >= {page_types.GOING_ON[page_types._LIKE.get(name, name)][0]}" for name in (*page_types.GOING_ON, *page_types._LIKE)]
     return f"(CASE {' '.join(tests)} ELSE false END)"
 
 
