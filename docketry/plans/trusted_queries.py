@@ -9,7 +9,7 @@ from docketry.functions import compare
 from docketry.operators import identity, name_join, trusted_values
 from docketry.plans import casefile
 from docketry.plans.ownership_queries import _distinct, _words
-from docketry.sources import dumps
+from docketry.sources import dumps, trees
 from docketry.sources.tables import load
 
 
@@ -67,7 +67,19 @@ def dump_parts(spark: SparkSession, sf: str) -> DataFrame:
     return dumps.sections(texts.select("o_custkey", body.alias("body")), "o_custkey", "body").select("o_custkey", "name", "no", "kind", "text")
 
 
-QUERIES = {f.__name__: f for f in (similar_person_names, passages_in_documents, recovered_values, linked_people, dump_parts)}
+#: An event's properties within up to six levels, each with a confidence of its own and one of a language.
+_TREE = """concat(repeat('{"detectedLanguages": [{"confidence": 0.9, "k": 1}], "confidence": 0.25, "in": [', CAST(event_id % 7 AS INT)), coalesce(props, 'null'), repeat(']}', CAST(event_id % 7 AS INT)))"""
+
+
+def event_trees(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each event's tree, without languages: scalars, the longest path, and the mean of all confidences and of all values of k."""
+    rows = load(spark, sf, "events").selectExpr("event_id", f"{_TREE} AS body")
+    found = trees.leaves(rows, "event_id", "body", ("detectedLanguages",))
+    number = F.col("value").try_cast("double")
+    return found.groupBy("event_id").agg(F.count("*").alias("scalars"), F.max(F.length("path")).cast("bigint").alias("longest"), F.avg(F.when(F.col("name") == "confidence", number)).alias("confidence"), F.avg(F.when(F.col("name") == "k", number)).alias("k"))
+
+
+QUERIES = {f.__name__: f for f in (similar_person_names, passages_in_documents, recovered_values, linked_people, dump_parts, event_trees)}
 
 _ASCII = "trim(regexp_replace(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'))"
 _LCS = """list_reduce(list_transform(string_split({0}, ''), lambda c: [unicode(c)]), lambda r, c: list_reduce(list_transform(range(1, length({1}) + 1), lambda j: [j]),
@@ -129,4 +141,7 @@ ORACLE_SQL = {
         WITH o AS (SELECT o_custkey, o_orderkey, {_ORDER} AS one, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS no FROM orders), l AS (SELECT o_custkey, '[' || string_agg(one, ' , ' ORDER BY o_orderkey) || ']' AS text FROM o GROUP BY 1)
         SELECT o_custkey, 'details' AS name, 1 AS no, '{{' AS kind, {_DETAILS.format("o_custkey")} AS text FROM l UNION ALL SELECT o_custkey, 'orders', 1, '[', text FROM l
         UNION ALL SELECT o_custkey, 'orders', no, '{{', one FROM o UNION ALL SELECT o_custkey, 'sum', no, '{{', '{{"paid": [' || o_orderkey || ']}}' FROM o UNION ALL SELECT o_custkey, 'paid', no, '[', '[' || o_orderkey || ']' FROM o""",
+    "event_trees": f"""
+        WITH e AS (SELECT event_id, {_TREE} AS body FROM events), t AS (SELECT event_id, j.fullkey AS path, j.key AS name, j.atom AS value FROM e, json_tree(e.body) j WHERE j.atom IS NOT NULL AND NOT contains(j.fullkey, 'detectedLanguages'))
+        SELECT event_id, count(*) AS scalars, max(length(path)) AS longest, avg(CAST(value AS DOUBLE)) FILTER (name = 'confidence') AS confidence, avg(CAST(value AS DOUBLE)) FILTER (name = 'k') AS k FROM t GROUP BY 1""",
 }
