@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from docketry.plans import page_type_queries
 from docketry.sources.tables import load, load_stream, scratch_folder
@@ -20,15 +21,15 @@ def _replayed(spark: SparkSession, sf: str, table: str, time: str, made: Callabl
     end = f"{folder}/end"
     spark.createDataFrame([], schema).write.parquet(end)
 
-    def run() -> None:
-        rows = load_stream(spark, sf, table).unionAll(spark.readStream.schema(schema).parquet(end))
-        machines.run_to_end(made(rows), f"{folder}/out", f"{folder}/checkpoint")
+    def run() -> StructType:
+        out = made(load_stream(spark, sf, table).unionAll(spark.readStream.schema(schema).parquet(end)))
+        machines.run_to_end(out, f"{folder}/out", f"{folder}/checkpoint")
+        return out.schema
 
     run()
     last = F.to_timestamp(F.lit("2100-01-01")).cast(schema[time].dataType)
     spark.range(1).select(*[(last if f.name == time else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema]).write.mode("append").parquet(end)
-    run()
-    return spark.read.parquet(f"{folder}/out")
+    return spark.read.schema(run()).parquet(f"{folder}/out")
 
 
 def job_retries_streamed(spark: SparkSession, sf: str) -> DataFrame:

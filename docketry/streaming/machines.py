@@ -278,12 +278,15 @@ def merge_batch(rows: DataFrame, batch: int, keys: list[str], version: list[str]
     name = f"batch-{batch:012d}"
     merged.repartition("_part").write.mode("overwrite").parquet(f"{path}/{name}")
     new.unpersist()
-    files.publish({"batch": batch, "parts": now["parts"] | {str(p): name for p in touched}})
+    files.publish({"batch": batch, "parts": now["parts"] | {str(p): name for p in touched}, "schema": rows.schema.jsonValue()})
 
 
 def read_upserts(spark: SparkSession, path: str) -> DataFrame:
     """The table of `upserts`: of each part the rows of the folder that has it now."""
-    parts = _files(spark, path).manifest()["parts"]
+    now = _files(spark, path).manifest()
+    parts = now["parts"]
+    if not parts:
+        return spark.createDataFrame([], StructType.fromJson(now["schema"]))  # batches came, but no rows
     of = F.create_map(*[x for p, name in parts.items() for x in (F.lit(int(p)), F.lit(name))])
     rows = spark.read.parquet(*sorted({f"{path}/{name}" for name in parts.values()}))
     return rows.where(F.contains(F.col("_metadata.file_path"), F.concat(F.lit("/"), of[F.col("_part")], F.lit("/")))).drop("_part")
@@ -302,7 +305,7 @@ class _files:
         import json
 
         if not self.system.exists(self.place):
-            return {"batch": -1, "parts": {}}
+            return {"batch": -1, "parts": {}, "schema": {"type": "struct", "fields": []}}
         stream = self.system.open(self.place)
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())

@@ -94,3 +94,9 @@ def test_upserts_of_a_stream_go_on_after_a_restart(spark, tmp_path):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
         machines.upserts(spark.readStream.schema(schema).parquet(folder), ["k"], ["v"], f"{tmp_path}/table", f"{tmp_path}/checkpoint")()
     assert {r.k: r.v for r in machines.read_upserts(spark, f"{tmp_path}/table").collect()} == {1: 5, 2: 9, 3: 3}
+
+
+def test_upserts_of_no_rows_are_an_empty_table(spark, tmp_path):
+    machines.merge_batch(spark.createDataFrame([], "k bigint, v bigint"), 0, ["k"], ["v"], f"{tmp_path}/table", 4)
+    found = machines.read_upserts(spark, f"{tmp_path}/table")
+    assert found.count() == 0 and found.columns == ["k", "v"]
