@@ -45,3 +45,9 @@ def test_reject_reasons_of_every_customer(spark):
     assert sum(r.n for r in found) == 150
     digits = {r.bare: r.n for r in found if r.reason == "DIGITS"}
     assert digits == {f"customer {k:09d}": 1 for k in range(1, 150, 6)}
+
+
+def test_reject_reasons_tell_each_name(spark):
+    found = {(r.bare, r.reason): r.n for r in registry.QUERIES["name_reject_reasons"](spark, SF).collect()}
+    assert sum(found.values()) == 150 and len(found) == 30
+    assert found[("customer 000000001", "DIGITS")] == 1 and found[("a b example", None)] == 25
