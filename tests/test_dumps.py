@@ -60,3 +60,13 @@ def test_objects_of_an_array_are_those_directly_in_it(spark):
         ("people", "[", 1): body[10:body.index(" then")], ("people", "{", 1): '{"name": "a", "kyc": {"pan": "1"}, "more": [{"x": 1}]}', ("people", "{", 2): '{"name": "b"}',
         ("kyc", "{", 1): '{"pan": "1"}', ("more", "[", 1): '[{"x": 1}]', ("more", "{", 1): '{"x": 1}',
     }
+
+
+def test_sections_neither_sort_nor_send_texts(spark, capsys):
+    found = dumps.sections(spark.createDataFrame([(1, '{"a": {"b": [1]}} ] "c": {"b": [{}]}')], "id int, body string"), "id", "body")
+    found.explain()
+    plan = capsys.readouterr().out
+    assert not [x for x in ("Exchange", "Sort", "Window", "Join") if x in plan]  # memory of a task is that of one text
+    assert sorted((r.name, r.no, r.kind, r.begin, r.text) for r in found.collect()) == [
+        ("a", 1, "{", 7, '{"b": [1]}'), ("b", 1, "[", 13, "[1]"), ("b", 1, "{", 33, "{}"), ("b", 2, "[", 32, "[{}]"), ("c", 1, "{", 26, '{"b": [{}]}'),
+    ]
