@@ -24,6 +24,8 @@ class Held(StatefulProcessor):
     """Holds rows in a list until the watermark has passed them; `taken` gives them in order.
 
     Rows begin with _at (milliseconds of their time) and _order (which breaks ties).
+    A key has a timer at or before its earliest held row, not one a row: when it
+    ends, all that the watermark has passed is taken at once.
     """
 
     def __init__(self, held_schema: str, columns: list[str]):
@@ -36,18 +38,19 @@ class Held(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         new = [tuple(r[c] for c in self.columns) for r in rows]
         self.held.appendList(new)
-        for at in {r[0] for r in new}:
-            self.handle.registerTimer(at)
+        self.handle.registerTimer(min(r[0] for r in new))
         return iter(())
 
     def taken(self, until: int) -> list[tuple]:
         """The held rows up to a time, in order, taken out of the state."""
-        rows = sorted((tuple(r) for r in self.held.get()), key=lambda r: r[:2]) if self.held.exists() else []
+        rows = sorted((tuple(r) for r in self.held.get()), key=lambda r: r[:2])
         ready = [r for r in rows if r[0] <= until]
-        left = [r for r in rows if r[0] > until]
+        left = rows[len(ready) :]
         if left:
+            self.handle.registerTimer(left[0][0])
+        if ready and left:
             self.held.put(left)
-        else:
+        elif ready:
             self.held.clear()
         return ready
 
@@ -58,7 +61,7 @@ class Held(StatefulProcessor):
 class JobMachine(Held):
     """Attempts of a job: each event ends one; a failed one is retried after a wait unless something comes before.
 
-    State: the number of failed attempts, the retry that is due, and held events.
+    State: the number of failed attempts with the retry that is due, and held events.
     Out come a row for each event (what follows: DONE, RETRY, DEAD), and a row RETRIED
     when the wait has passed without input.
     """
@@ -69,37 +72,36 @@ class JobMachine(Held):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.failures = handle.getValueState("failures", "n bigint")
-        self.due = handle.getListState("due", "at bigint, attempt bigint")
+        self.open = handle.getValueState("open", "failed bigint, due bigint, attempt bigint")
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         until = timerValues.getCurrentWatermarkInMs()  # at once all that the watermark has passed
-        failed = self.failures.get()[0] if self.failures.exists() else 0
-        due = [tuple(r) for r in self.due.get()] if self.due.exists() else []
+        before = tuple(self.open.get() or (0, None, None))
+        failed, due, tried = before
         job, out = key[0], []
 
-        def retried(before: int) -> None:
-            for at, attempt in [d for d in due if d[0] <= before]:
-                out.append(Row(job=job, at=at, event=None, attempt=attempt + 1, next="RETRIED", wait_seconds=None))
-                due.remove((at, attempt))
+        def retried(by: int) -> None:
+            if due is not None and due <= by:
+                out.append(Row(job=job, at=due, event=None, attempt=tried + 1, next="RETRIED", wait_seconds=None))
 
         for at, order, fails in self.taken(until):
             retried(at)
-            due.clear()  # input came first
+            due = None  # input came first
             attempt = failed + 1
             follows = "DONE" if not fails else "DEAD" if attempt >= self.most else "RETRY"
             wait = self.waits[min(attempt, len(self.waits)) - 1] if follows == "RETRY" else None
             out.append(Row(job=job, at=at, event=order, attempt=attempt, next=follows, wait_seconds=wait))
             failed += bool(fails)
             if wait is not None:
-                due.append((at + 1000 * wait, attempt))
-                self.handle.registerTimer(at + 1000 * wait)
+                due, tried = at + 1000 * wait, attempt
         retried(until)
-        self.failures.update((failed,))
-        if due:
-            self.due.put(due)
-        else:
-            self.due.clear()
+        if due is not None and due <= until:
+            due = None
+        elif due is not None:
+            self.handle.registerTimer(due)
+        after = (failed, due, None if due is None else tried)
+        if after != before:
+            self.open.update(after)
         return iter(out)
 
 

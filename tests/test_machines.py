@@ -100,3 +100,16 @@ def test_upserts_of_no_rows_are_an_empty_table(spark, tmp_path):
     machines.merge_batch(spark.createDataFrame([], "k bigint, v bigint"), 0, ["k"], ["v"], f"{tmp_path}/table", 4)
     found = machines.read_upserts(spark, f"{tmp_path}/table")
     assert found.count() == 0 and found.columns == ["k", "v"]
+
+
+def test_a_key_has_one_timer_for_all_its_held_rows():
+    from types import SimpleNamespace
+
+    state, timers = [], []
+    held = SimpleNamespace(appendList=state.extend, get=lambda: iter(state), put=lambda rows: state.__setitem__(slice(None), rows), clear=state.clear)
+    machine = machines.Held("_at bigint, _order bigint", ["_at", "_order"])
+    machine.init(SimpleNamespace(getListState=lambda *_: held, registerTimer=timers.append))
+    rows = [(at, k) for k, at in enumerate([50, 20, 20, 70, 90])]
+    assert [*machine.handleInputRows(("a",), iter([dict(zip(("_at", "_order"), r)) for r in rows]), None)] == [] and timers == [20]
+    assert machine.taken(60) == [(20, 1), (20, 2), (50, 0)] and timers == [20, 70] and state == [(70, 3), (90, 4)]
+    assert machine.taken(60) == [] and machine.taken(99) == [(70, 3), (90, 4)] and state == []
