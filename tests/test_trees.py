@@ -39,3 +39,10 @@ def test_leaves_are_those_of_a_walk(spark):
         for r in trees.leaves(docs, "id", "body", without).collect():
             found.setdefault(r.id, []).append((r.path, r.name))
         assert {k: sorted(v) for k, v in found.items()} == {k: sorted(w) for k, t in made.items() if (w := walked(t, without=without))}
+
+
+def test_a_job_goes_down_several_levels(spark):
+    deep = '{"d": [' * 5 + "7, []" + "]}" * 5
+    found = trees.leaves(spark.createDataFrame([(1, deep), (2, '{"d": {}, "e": 1.50}')], "id int, body string"), "id", "body")
+    assert sorted(map(tuple, found.collect())) == [(1, "$" + ".d[0]" * 5, "d", "BIGINT", "7"), (2, "$.e", "e", "DECIMAL(2,1)", "1.5")]
+    assert len({f.rsplit("/", 2)[-2] for f in found.inputFiles()}) <= 3  # of ten levels, and the empty list
