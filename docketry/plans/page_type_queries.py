@@ -54,10 +54,11 @@ _TEXTS = "CASE c_custkey % 9 WHEN 0 THEN concat('Income Tax Department', chr(10)
 
 
 def intrinsic_types(spark: SparkSession, sf: str) -> DataFrame:
-    """The type that a text itself tells, and how surely."""
+    """The type that a text itself tells, and how surely; equal texts are read once."""
     rows = load(spark, sf, "customer").selectExpr("c_custkey % 9 AS k", f"{_TEXTS} AS body")
-    best = page_types.intrinsic(F.col("body"))
-    return rows.groupBy("k", best["document_type"].alias("document_type"), best["confidence"].alias("confidence")).agg(F.count("*").alias("n"))
+    texts = rows.groupBy("k", "body").agg(F.count("*").alias("n"))
+    told = texts.groupBy("k", page_types.intrinsic(F.col("body")).alias("best")).agg(F.sum("n").alias("n"))
+    return told.select("k", "best.document_type", "best.confidence", "n")
 
 
 def page_type_decisions(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from docketry.plans import registry
 from tests.compare import assert_same
 
@@ -51,3 +53,8 @@ def test_reject_reasons_tell_each_name(spark):
     found = {(r.bare, r.reason): r.n for r in registry.QUERIES["name_reject_reasons"](spark, SF).collect()}
     assert sum(found.values()) == 150 and len(found) == 30
     assert found[("customer 000000001", "DIGITS")] == 1 and found[("a b example", None)] == 25
+
+
+def test_equal_texts_are_typed_once(spark, capsys):
+    registry.QUERIES["intrinsic_types"](spark, SF).explain("formatted")
+    assert re.search(r"Keys \[2\]: \[k#\d+L?, body#\d+\]", capsys.readouterr().out)
