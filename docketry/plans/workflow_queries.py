@@ -194,9 +194,9 @@ def dump_sections(spark: SparkSession, sf: str) -> DataFrame:
 def sheet_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Order lines as sheets of cells, without empty rows and columns."""
     lines = load(spark, sf, "lineitem").selectExpr("l_orderkey AS sheet", "l_linenumber AS row", "l_returnflag AS a", "CASE WHEN l_linenumber = 2 THEN '' ELSE l_linestatus END AS b", "CASE WHEN l_orderkey % 3 = 0 THEN CAST(l_partkey AS STRING) END AS d")
-    cells = lines.select("sheet", "row", F.explode(F.array(F.struct(F.lit(1).alias("col"), F.col("a").alias("value")), F.struct(F.lit(2).alias("col"), F.lit(" ").alias("value")), F.struct(F.lit(3).alias("col"), F.col("b").alias("value")), F.struct(F.lit(4).alias("col"), F.col("d").alias("value")))).alias("c")).select("sheet", "row", "c.*")
-    first = cells.groupBy("sheet", "row", "col").agg(F.min("value").alias("value"))
-    return payloads.compact_cells(first, ["sheet"])
+    first = lines.groupBy("sheet", "row").agg(*[F.min(c).alias(c) for c in ("a", "b", "d")])
+    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("col"), c.alias("value")) for k, c in enumerate((F.col("a"), F.lit(" "), F.col("b"), F.col("d")), 1)]))
+    return payloads.compact_cells(first.select("sheet", "row", cells.alias("c")).select("sheet", "row", "c.*"), ["sheet"])
 
 
 def read_routes(spark: SparkSession, sf: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -77,11 +77,9 @@ def section(body: Column, name: str) -> Column:
 def compact_cells(cells: DataFrame, sheet: list[str]) -> DataFrame:
     """(sheet, row, line): rows of a sheet's cells (row, col, value) as lines with | between, without empty rows and columns."""
     filled = cells.where(F.coalesce(F.trim("value"), F.lit("")) != "")
-    columns = filled.select(*sheet, "col").distinct().withColumn("_place", F.dense_rank().over(Window.partitionBy(*sheet).orderBy("col")))
-    rows = filled.join(columns, [*sheet, "col"])
-    width = columns.groupBy(*sheet).agg(F.max("_place").alias("_width"))
-    by_row = rows.groupBy(*sheet, "row").agg(F.map_from_entries(F.collect_list(F.struct("_place", F.trim("value").alias("v")))).alias("_m")).join(width, sheet)
-    line = F.array_join(F.transform(F.sequence(F.lit(1), F.col("_width")), lambda k: F.coalesce(F.try_element_at("_m", k), F.lit(""))), " | ")
+    columns = filled.select(*sheet, "col").distinct().groupBy(*sheet).agg(F.sort_array(F.collect_list("col")).alias("_columns"))
+    by_row = filled.groupBy(*sheet, "row").agg(F.map_from_entries(F.collect_list(F.struct("col", F.trim("value").alias("v")))).alias("_m")).join(columns, sheet)
+    line = F.array_join(F.transform("_columns", lambda k: F.coalesce(F.try_element_at("_m", k), F.lit(""))), " | ")
     return by_row.select(*sheet, "row", line.alias("line"))
 
 

@@ -58,3 +58,8 @@ def test_reject_reasons_tell_each_name(spark):
 def test_equal_texts_are_typed_once(spark, capsys):
     registry.QUERIES["intrinsic_types"](spark, SF).explain("formatted")
     assert re.search(r"Keys \[2\]: \[k#\d+L?, body#\d+\]", capsys.readouterr().out)
+
+
+def test_rows_of_a_sheet_are_sent_twice_at_most(spark, capsys):
+    registry.QUERIES["sheet_lines"](spark, SF).explain()
+    assert capsys.readouterr().out.count("Exchange hashpartitioning") <= 5  # rows, their reuse, columns, and the join
