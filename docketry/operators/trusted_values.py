@@ -9,7 +9,7 @@ windows of each text, so what is broadcast never grows with the data.
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -103,16 +103,23 @@ FIELDS = {
 SURE = 0.98
 
 
+def _once(c: Column, of: Callable[[Column], Column]) -> Column:
+    """What `of` makes of a value that is worked out once a row, though it is used many times."""
+    return F.transform(F.array(c), of)[0]
+
+
 def blocks(body: Column, label: str, lines: int) -> Column:
     """Array of (line, text): what follows each label on its line, and the lines after it."""
-    rows = F.transform(F.split(body, "\r?\n"), lambda x: F.trim(x))
-    at = F.filter(F.sequence(F.lit(1), F.size(rows)), lambda i: F.element_at(rows, i).rlike(f"(?i){label}"))
+    def of(rows: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(1), F.size(rows)), lambda i: F.element_at(rows, i).rlike(f"(?i){label}"))
+
+        def block(i: Column) -> Column:
+            own = F.regexp_replace(F.element_at(rows, i), f"(?i)^.*?{label}", "")
+            return F.struct(i.alias("line"), F.array_join(F.concat(F.array(own), F.slice(rows, i + 1, lines)), "\n").alias("text"))
 
-    def block(i: Column) -> Column:
-        own = F.regexp_replace(F.element_at(rows, i), f"(?i)^.*?{label}", "")
-        return F.struct(i.alias("line"), F.array_join(F.concat(F.array(own), F.slice(rows, i + 1, lines)), "\n").alias("text"))
+        return F.transform(at, block)
 
-    return F.transform(at, block)
+    return _once(F.transform(F.split(body, "\r?\n"), lambda x: F.trim(x)), of)
 
 
 def canonical(field: Column, value: Column) -> Column:
@@ -126,8 +133,7 @@ def resolved(field: str, expected: Column, body: Column) -> Column:
     label, pattern, lines = FIELDS[field]
     found = F.flatten(F.transform(blocks(body, label, lines), lambda b: F.transform(F.regexp_extract_all(b["text"], F.lit(pattern), F.lit(0)), lambda m: F.struct(F.regexp_replace(F.trim(m), "\\s+", " ").alias("observed"), b["line"].alias("line")))))
     same = F.filter(found, lambda m: F.coalesce(canonical(F.lit(field), m["observed"]) == canonical(F.lit(field), expected), F.lit(False)))
-    ways = F.array_distinct(F.transform(same, lambda m: text.compact(m["observed"])))
-    return F.when(F.size(ways) == 1, same[0])
+    return _once(same, lambda s: F.when(F.size(F.array_distinct(F.transform(s, lambda m: text.compact(m["observed"])))) == 1, s[0]))
 
 
 def recovered(pages: DataFrame, trusted: DataFrame, case: list[str], body: str, current: str, fields: tuple[str, ...] = tuple(FIELDS), least: float = LEAST) -> DataFrame:
@@ -151,7 +157,7 @@ def recovered(pages: DataFrame, trusted: DataFrame, case: list[str], body: str,
     pick = F.lit(None).cast("struct<observed: string, line: int>")
     for f in fields:
         pick = F.when(F.col("field") == f, resolved(f, F.col("trusted_value"), F.col(body))).otherwise(pick)
-    rows = rows.withColumn("_found", pick).where("_found is not null")
+    rows = rows.select("*", F.explode(F.array_compact(F.array(pick))).alias("_found"))  # a generator, so that no later test looks for it again
     rows = rows.withColumn("confidence", F.round(F.least(F.lit(SURE), F.coalesce("ocr_confidence", F.lit(1.0))), 3)).where(F.col("confidence") >= least)
     ok = gates.reliable(F.col("document_type"), F.col("field"), F.col("_found.observed"), F.col(body), F.col("confidence"), F.lit(True)) & gates.means_the_same(F.col("document_type"), F.col("field"))
     return rows.where(ok).select(*case, "person", "page_number", "field", "_found.observed", "_found.line", "confidence")

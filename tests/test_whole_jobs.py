@@ -63,3 +63,8 @@ def test_equal_texts_are_typed_once(spark, capsys):
 def test_rows_of_a_sheet_are_sent_twice_at_most(spark, capsys):
     registry.QUERIES["sheet_lines"](spark, SF).explain()
     assert capsys.readouterr().out.count("Exchange hashpartitioning") <= 5  # rows, their reuse, columns, and the join
+
+
+def test_labelled_blocks_are_looked_for_once(spark):
+    plan = registry.QUERIES["recovered_values"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") <= 2  # one a field
