@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,18 +72,33 @@ def person_score(a: Column, b: Column) -> Column:
     return words_score(name_words(a), name_words(b))
 
 
+def _once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """use(c) with c worked out once, however often it is used."""
+    return F.transform(F.array(c), use)[0]
+
+
+def name_parts(words: Column) -> Column:
+    """Struct (words, joined, sorted, initial) of name_words, all that parts_score looks at."""
+    return _once(words, lambda w: F.struct(w.alias("words"), F.array_join(w, "").alias("joined"), F.array_join(F.sort_array(w), " ").alias("sorted"), F.exists(w, lambda x: F.length(x) == 1).alias("initial")))
+
+
 def words_score(u: Column, v: Column) -> Column:
     """person_score of two arrays of name_words. Take columns, not long expressions: each is used many times."""
-    x, y = F.array_join(u, ""), F.array_join(v, "")
+    return parts_score(name_parts(u), name_parts(v))
+
+
+def parts_score(a: Column, b: Column) -> Column:
+    """words_score of two name_parts."""
+    u, v, x, y = a["words"], b["words"], a["joined"], b["joined"]
     short, long = F.when(F.size(u) <= F.size(v), u).otherwise(v), F.when(F.size(u) <= F.size(v), v).otherwise(u)
     same = (F.size(u) == F.size(v)) & (F.size(F.array_except(u, v)) == 0)
     return (
         F.when((F.size(u) == 0) | (F.size(v) == 0), 0.0)
         .when(same | (x == y), 100.0)
         .when(short == F.slice(long, F.lit(1), F.greatest(F.size(short), F.lit(1))), 95.0)
-        .when(_initials(u, v) | _initials(v, u), 95.0)
+        .when((a["initial"] & _initials(u, v)) | (b["initial"] & _initials(v, u)), 95.0)
         .when((F.length(x) >= 4) & (F.contains(x, y) | F.contains(y, x)), 90.0)
-        .otherwise(F.round(100 * text.edit_similarity(F.array_join(F.array_sort(u), " "), F.array_join(F.array_sort(v), " ")), 1))
+        .otherwise(F.round(100 * text.edit_similarity(a["sorted"], b["sorted"]), 1))
     )
 
 
@@ -110,9 +127,16 @@ def plots(c: Column) -> Column:
 
 
 def address_parts(c: Column) -> Column:
-    """Struct (words, pins, units, plots, letters) of an address, all that address_kind looks at."""
+    """Struct (words, own, telling, pins, units, plots, letters) of an address, all that address_kind looks at; own are its telling words with numbers."""
     pins = F.regexp_extract_all(c, F.lit(f"({_PIN})"), F.lit(1))
-    return F.struct(address_words(c).alias("words"), pins.alias("pins"), units(c).alias("units"), plots(c).alias("plots"), text.compact(c).alias("letters"))
+
+    def telling(words: Column, digits: bool) -> Column:
+        return F.filter(words, lambda w: ~w.isin(*COMMON_PLACES) & (F.length(w) >= 3) & ~w.rlike("^[1-8][0-9]{5}$") & (F.lit(digits) | ~w.rlike("^[0-9]+$")))
+
+    def parts(words: Column) -> Column:
+        return F.struct(words.alias("words"), telling(words, True).alias("own"), telling(words, False).alias("telling"), pins.alias("pins"), units(c).alias("units"), plots(c).alias("plots"), text.compact(c).alias("letters"))
+
+    return _once(address_words(c), parts)
 
 
 def address_kind(a: Column, b: Column) -> Column:
@@ -133,12 +157,8 @@ def parts_kind(a: Column, b: Column) -> Column:
     u, v = a["words"], b["words"]
     shared, shorter = F.array_intersect(u, v), F.least(F.size(u), F.size(v))
     one_pin = F.arrays_overlap(a["pins"], b["pins"])
-
-    def telling(words: Column, digits: bool) -> Column:
-        return F.filter(words, lambda w: ~w.isin(*COMMON_PLACES) & (F.length(w) >= 3) & ~w.rlike("^[1-8][0-9]{5}$") & (F.lit(digits) | ~w.rlike("^[0-9]+$")))
-
-    own = telling(shared, True)
-    left, right = F.array_except(telling(u, False), own), F.array_except(telling(v, False), own)
+    own = F.array_intersect(a["own"], b["own"])
+    left, right = F.array_except(a["telling"], own), F.array_except(b["telling"], own)
     near = F.size(F.filter(left, lambda x: F.exists(right, lambda y: text.edit_similarity(x, y) >= 0.78)))
     clash = [(F.size(a[f]) > 0) & (F.size(b[f]) > 0) & ~F.arrays_overlap(a[f], b[f]) for f in ("units", "plots")]
     return (
@@ -146,7 +166,7 @@ def parts_kind(a: Column, b: Column) -> Column:
         .when((shorter >= 2) & (F.size(shared) == shorter), "SUBSET")
         .when(one_pin & (F.size(shared) >= 5) & (F.size(shared) >= 0.75 * shorter), "PIN_WORDS")
         .when(F.arrays_overlap(a["units"], b["units"]) & (F.size(own) >= 2), "UNIT_PLACE")
-        .when(one_pin & (F.size(own) + near >= 2), "PIN_PLACE")
+        .when(one_pin & ((F.size(own) >= 2) | (F.size(own) + near >= 2)), "PIN_PLACE")
         .when(text.jaccard(u, v) >= 0.7, "WORDS")
         .when(text.edit_similarity(a["letters"], b["letters"]) >= 0.82, "SIMILAR")
         .otherwise("DIFFERENT")
@@ -199,20 +219,20 @@ def matches(field: Column, a: Column, b: Column, names_from: float = 85.0) -> Co
     )
 
 
-def prepared(field: Column, value: Column) -> Column:
-    """Struct of what `agree` looks at in a value of a field, so that it is worked out once a value and not once a pair."""
+def prepared(field: Column, value: Column, relations: bool = True) -> Column:
+    """Struct of what `agree` (with the same relations) looks at in a value of a field, so that it is worked out once a value and not once a pair."""
     kind = kind_of(field)
-    name = F.when(kind == "name", name_words(value))
+    name = F.when(kind == "name", name_parts(name_words(value)))
     place = F.when(kind == "address", address_parts(value))
     return F.struct(
-        blank(value).alias("blank"), text.compact(value).alias("letters"), F.regexp_replace(value, "[ -]", "").rlike("^[xX*#•]+[0-9]{4}$").alias("hidden"), F.when(kind == "number", number(value)).alias("number"),
-        F.when(kind == "date", day(value)).alias("day"), name.alias("name"), place.alias("place"), F.when(kind == "address", relation_prefix(value)).alias("relation"),
+        kind.alias("kind"), blank(value).alias("blank"), F.when(kind.isin("exact", "date", "text"), text.compact(value)).alias("letters"), F.when(kind == "exact", F.regexp_replace(value, "[ -]", "").rlike("^[xX*#•]+[0-9]{4}$")).alias("hidden"), F.when(kind == "number", number(value)).alias("number"),
+        F.when(kind == "date", day(value)).alias("day"), name.alias("name"), place.alias("place"), *([F.when(kind == "address", relation_prefix(value)).alias("relation")] if relations else []),
     )
 
 
 def agree(field: Column, a: Column, b: Column, names_from: float = 85.0, relations: bool = True) -> Column:
-    """`matches` of two prepared values."""
-    kind, x, y = kind_of(field), a["letters"], b["letters"]
+    """`matches` of two prepared values of a field."""
+    kind, x, y = a["kind"], a["letters"], b["letters"]
     short = F.least(F.length(x), F.length(y)) == 4
     tail = (F.length(x) >= 4) & (F.length(y) >= 4) & (short | a["hidden"] | b["hidden"]) & (F.right(x, F.lit(4)) == F.right(y, F.lit(4)))
     place = ~parts_kind(a["place"], b["place"]).isin("UNIT_CONFLICT", "DIFFERENT")
@@ -224,7 +244,7 @@ def agree(field: Column, a: Column, b: Column, names_from: float = 85.0, relatio
         .when((kind == "date") & a["day"].isNotNull() & b["day"].isNotNull(), a["day"] == b["day"])
         .when(kind == "exact", (x == y) | (field.isin("aadhaar_number", "aadhaar_last4", "account_number") & tail))
         .when(kind == "address", place)
-        .when(kind == "name", words_score(a["name"], b["name"]) >= names_from)
+        .when(kind == "name", parts_score(a["name"], b["name"]) >= names_from)
         .otherwise(text.edit_similarity(x, y) >= 0.88)
     )
 

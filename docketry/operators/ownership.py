@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,17 +47,25 @@ def scores(observed: DataFrame, trusted: DataFrame, case: list[str], page: list[
     """(page, person, score, evidence): weights of the fields of a page that match the person's.
 
     observed has case, page, field, value; trusted has case, person, field,
-    trusted_value. Identifiers that must be equal are joined by their letters
-    and digits; other fields are joined on case and field, so their rows are pages x people of one
-    case, and what is compared was worked out before the join.
+    trusted_value. All values of a case are sent to one task, as they are, and all that follows, up to
+    owners, stays there. A value that many pages of a case show is compared once, with the trusted values of its
+    field, which are a row a case: of the people of one case, and of the pages with one value, there are few.
     """
     whole = F.col("field").isin(*[f for f in compare.EXACT if f not in ("aadhaar_number", "aadhaar_last4", "account_number")])
-    o = observed.where(~compare.blank(F.col("value"))).withColumn("_o", F.when(~whole, compare.prepared(F.col("field"), F.col("value")))).withColumn("_k", F.when(whole, text.compact(F.col("value"))))
-    t = trusted.where(~compare.blank(F.col("trusted_value"))).withColumn("_t", F.when(~whole, compare.prepared(F.col("field"), F.col("trusted_value")))).withColumn("_k", F.when(whole, text.compact(F.col("trusted_value"))))
-    equal = o.where(whole).select(*case, *page, "field", "_k").join(t.where(whole).select(*case, person, "field", "_k"), [*case, "field", "_k"])
-    alike = o.where(~whole).select(*case, *page, "field", "_o").join(t.where(~whole).select(*case, person, "field", "_t"), [*case, "field"]).where(compare.agree(F.col("field"), F.col("_t"), F.col("_o"), relations=relations))
-    told = equal.select(*case, *page, person, "field").unionByName(alike.select(*case, *page, person, "field")).distinct()
-    return told.groupBy(*case, *page, person).agg(F.sum(weight(F.col("field"))).cast("bigint").alias("score"), F.array_sort(F.collect_set("field")).alias("evidence"))
+    known = [F.col(c).isNotNull() for c in (*case, "field")]
+    parts = int(observed.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number of its own, as few bytes are long work here
+    o = observed.where(~compare.blank(F.col("value"))).where(functools.reduce(operator.and_, known)).select(*case, *page, "field", "value").repartition(parts, *case)
+    o = o.groupBy(*case, "field", "value").agg(F.collect_list(F.struct(*page)).alias("_pages"))
+    t = trusted.where(~compare.blank(F.col("trusted_value"))).where(functools.reduce(operator.and_, known)).select(*case, person, "field", "trusted_value").repartition(parts, *case)
+    t = t.groupBy(*case, "field").agg(F.collect_list(F.struct(F.col(person), compare.prepared(F.col("field"), F.col("trusted_value"), relations).alias("_t"))).alias("_l"))
+    t = t.groupBy(*case).agg(F.map_from_entries(F.collect_list(F.struct("field", "_l"))).alias("_m"))
+    met = o.join(t, case).select(*case, "_pages", "field", F.try_element_at("_m", F.col("field")).alias("_l"), compare.prepared(F.col("field"), F.col("value"), relations).alias("_o")).where("_l is not null")
+    pairs = met.select(*case, "_pages", "field", "_o", F.explode("_l").alias("_p")).select(*case, "_pages", F.col(f"_p.{person}").alias(person), "field", "_o", F.col("_p._t").alias("_t"))
+    alike = F.when(whole, F.col("_o.letters") == F.col("_t.letters")).otherwise(compare.agree(F.col("field"), F.col("_t"), F.col("_o"), relations=relations))
+    told = pairs.where(alike).select(*case, person, "field", F.explode("_pages").alias("_page")).select(*case, person, "field", *[F.col(f"_page.{c}").alias(c) for c in page])
+    told = told.groupBy(*case, *page, person).agg(F.array_sort(F.collect_set("field")).alias("evidence"))
+    score = sum((F.when(F.array_contains("evidence", f), w).otherwise(0) for f, w in WEIGHTS.items()), F.lit(0))
+    return told.select(*case, *page, person, score.cast("bigint").alias("score"), "evidence")
 
 
 def with_relations(scored: DataFrame, relations: DataFrame, keys: list[str], person: str = "person") -> DataFrame:
@@ -84,11 +95,16 @@ def findings(pages: DataFrame, owned: DataFrame, keys: list[str], scoped: Column
     return rows.withColumn("rule_id", rule).where("rule_id is not null").select(*keys, "rule_id", F.lit("LOW").alias("severity"), F.lit("MANUAL_REVIEW_REQUIRED").alias("status"))
 
 
-def votes(rows: DataFrame, keys: list[str], choice: str, weighed: Column | None = None) -> DataFrame:
-    """(keys, winner, votes, n): the choice with most votes, ties to the first by name; null choices do not vote."""
-    counted = rows.where(F.col(choice).isNotNull()).groupBy(*keys, choice).agg(F.sum(F.lit(1) if weighed is None else weighed).alias("votes"))
-    best = counted.groupBy(*keys).agg(F.min(F.struct((-F.col("votes")).alias("less"), F.col(choice).alias("winner"))).alias("_b"), F.sum("votes").alias("n"))
-    return best.select(*keys, "_b.winner", (-F.col("_b.less")).alias("votes"), "n")
+def votes(rows: DataFrame, keys: list[str], choices: list[str]) -> DataFrame:
+    """(keys, rows, and of each choice a struct (winner, votes)): the value with most votes, ties to the first by name; null values do not vote.
+
+    Rows are sent once for all choices, counted before.
+    """
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("choice"), F.col(c).alias("value")) for c in choices]))
+    counted = rows.select(*keys, cells.alias("_c")).select(*keys, "_c.*").groupBy(*keys, "choice", "value").agg(F.count("*").alias("votes"))
+    voted = {c: F.min(F.when((F.col("choice") == c) & F.col("value").isNotNull(), F.struct((-F.col("votes")).alias("less"), F.col("value").alias("winner")))) for c in choices}
+    best = counted.groupBy(*keys).agg(F.sum(F.when(F.col("choice") == choices[0], F.col("votes"))).alias("rows"), *[v.alias(f"_{c}") for c, v in voted.items()])
+    return best.select(*keys, "rows", *[F.struct(F.col(f"_{c}.winner").alias("winner"), F.coalesce(-F.col(f"_{c}.less"), F.lit(0)).alias("votes")).alias(c) for c in choices])
 
 
 def merged_records(records: DataFrame, case: list[str], ids: list[str], order: str, values: list[str]) -> DataFrame:

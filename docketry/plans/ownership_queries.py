@@ -47,10 +47,10 @@ def source_document_votes(spark: SparkSession, sf: str) -> DataFrame:
     pages = casefile.pages(spark, sf).select("app", "page_number", "source_document_id", F.nullif("document_type", F.lit("Unknown")).alias("document_type"))
     owned = ownership.owners(_scores(spark, sf), [*_CASE, *_PAGE]).select("app", "page_number", "owner")
     rows, keys = pages.join(owned, ["app", "page_number"], "left"), ["app", "source_document_id"]
-    types = ownership.votes(rows, keys, "document_type").select(*keys, F.col("winner").alias("document_type"), F.col("votes").alias("type_votes"))
-    owner = ownership.votes(rows, keys, "owner").select(*keys, F.col("winner").alias("owner"), F.col("votes").alias("owner_votes"))
-    all_ = rows.groupBy(*keys).agg(F.count("*").alias("pages"))
-    return all_.join(types, keys, "left").join(owner, keys, "left").fillna("Unknown", ["document_type"]).fillna(0, ["type_votes", "owner_votes"])
+    known = F.col("app").isNotNull() & F.col("source_document_id").isNotNull()
+    rows = ownership.votes(rows.select(*keys, *[F.when(known, F.col(c)).alias(c) for c in ("document_type", "owner")]), keys, ["document_type", "owner"])
+    of_type, of_owner = F.col("document_type"), F.col("owner")
+    return rows.select(*keys, F.col("rows").alias("pages"), F.coalesce(of_type["winner"], F.lit("Unknown")).alias("document_type"), of_type["votes"].alias("type_votes"), of_owner["winner"].alias("owner"), of_owner["votes"].alias("owner_votes"))
 
 
 def _compared(spark: SparkSession, sf: str) -> DataFrame:

@@ -68,3 +68,18 @@ def test_rows_of_a_sheet_are_sent_twice_at_most(spark, capsys):
 def test_labelled_blocks_are_looked_for_once(spark):
     plan = registry.QUERIES["recovered_values"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all(") <= 2  # one a field
+
+
+def test_values_of_a_case_are_sent_once_and_compared_once(spark, capsys):
+    registry.QUERIES["page_owners"](spark, SF).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange hashpartitioning") <= 2 and plan.count("FileScan") == 2  # observed and trusted values
+
+
+def test_votes_of_pages_with_equal_keys_and_without_a_case(spark, tmp_path):
+    spark.createDataFrame([(k, f"c{k}") for k in range(1, 9)], "c_custkey bigint, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    orders = [(k, 1 + k % 8) for k in range(1, 200)] + [(k, 1 + k % 8) for k in range(1, 60)] + [(k, None) for k in range(300, 400)] + [(500, 99)]
+    spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint").write.parquet(f"{tmp_path}/orders.parquet")
+    for query in ("source_document_votes", "page_owners", "page_owner_scores", "owner_findings"):
+        assert_same(registry.QUERIES[query](spark, str(tmp_path)), registry.ORACLE_SQL[query], str(tmp_path))
+    assert sum(r.pages for r in registry.QUERIES["source_document_votes"](spark, str(tmp_path)).collect()) == len(orders)
