@@ -72,14 +72,14 @@ def person_score(a: Column, b: Column) -> Column:
     return words_score(name_words(a), name_words(b))
 
 
-def _once(c: Column, use: Callable[[Column], Column]) -> Column:
+def once(c: Column, use: Callable[[Column], Column]) -> Column:
     """use(c) with c worked out once, however often it is used."""
     return F.transform(F.array(c), use)[0]
 
 
 def name_parts(words: Column) -> Column:
     """Struct (words, joined, sorted, initial) of name_words, all that parts_score looks at."""
-    return _once(words, lambda w: F.struct(w.alias("words"), F.array_join(w, "").alias("joined"), F.array_join(F.sort_array(w), " ").alias("sorted"), F.exists(w, lambda x: F.length(x) == 1).alias("initial")))
+    return once(words, lambda w: F.struct(w.alias("words"), F.array_join(w, "").alias("joined"), F.array_join(F.sort_array(w), " ").alias("sorted"), F.exists(w, lambda x: F.length(x) == 1).alias("initial")))
 
 
 def words_score(u: Column, v: Column) -> Column:
@@ -136,7 +136,7 @@ def address_parts(c: Column) -> Column:
     def parts(words: Column) -> Column:
         return F.struct(words.alias("words"), telling(words, True).alias("own"), telling(words, False).alias("telling"), pins.alias("pins"), units(c).alias("units"), plots(c).alias("plots"), text.compact(c).alias("letters"))
 
-    return _once(address_words(c), parts)
+    return once(address_words(c), parts)
 
 
 def address_kind(a: Column, b: Column) -> Column:

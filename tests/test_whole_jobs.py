@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from docketry.operators import mapped
 from docketry.plans import registry
 from tests.compare import assert_same
 
@@ -83,3 +84,30 @@ def test_votes_of_pages_with_equal_keys_and_without_a_case(spark, tmp_path):
     for query in ("source_document_votes", "page_owners", "page_owner_scores", "owner_findings"):
         assert_same(registry.QUERIES[query](spark, str(tmp_path)), registry.ORACLE_SQL[query], str(tmp_path))
     assert sum(r.pages for r in registry.QUERIES["source_document_votes"](spark, str(tmp_path)).collect()) == len(orders)
+
+
+def test_mapped_pages_and_trusted_values_are_sent_once(spark, capsys):
+    registry.QUERIES["mapped_documents"](spark, SF).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange hashpartitioning") <= 2  # what is mapped with its pages and values, and trusted values
+
+
+def test_mapped_documents_of_equal_keys_and_of_a_case_without_people(spark, tmp_path):
+    people = [(k, f"c{k}") for k in range(1, 9)] + [(3, "c3")]
+    spark.createDataFrame(people, "c_custkey bigint, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    orders = [(k, 1 + k % 8) for k in range(1, 200)] + [(k, 1 + k % 8) for k in range(1, 60)] + [(500, 99)]
+    spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint").write.parquet(f"{tmp_path}/orders.parquet")
+    assert_same(registry.QUERIES["mapped_documents"](spark, str(tmp_path)), registry.ORACLE_SQL["mapped_documents"], str(tmp_path))
+
+
+def test_a_document_of_two_persons_takes_either_value(spark):
+    maps = spark.createDataFrame([(1, "d", p, "CIBIL Report", True, n) for p in ("p0", "p1") for n in (1, 2)] + [(1, "d", "p0", "CIBIL Report", True, 7)], "app bigint, document string, person string, document_type string, required boolean, page_number bigint")
+    pages = spark.createDataFrame([(1, 1, True, 0.9), (1, 2, None, 0.2)], "app bigint, page_number bigint, is_readable boolean, ocr_confidence double")
+    seen = [(1, 1, "pin_code", "380001", True), (1, 1, "pin_code", "380003", True), (1, 2, "pin_code", "380009", True), (1, 2, "pan_number", "ABCPD0001F", False)]
+    seen = spark.createDataFrame(seen, "app bigint, page_number bigint, field string, value string, reliable boolean")
+    known = [(1, "p0", "pin_code", "380001"), (1, "p1", "pin_code", "380002"), (1, "p2", "pin_code", "380003"), (1, "p1", "pan_number", "ABCPD0001F"), (1, "p1", "phone_number", "9000000001"), (1, "p0", "address", " ")]
+    known = spark.createDataFrame(known, "app bigint, person string, field string, trusted_value string")
+    found = sorted((r.person, r.page_number, r.rule_id, r.severity) for r in mapped.findings(maps, pages, seen, known, ["app"]).collect())
+    both = [(1, "INDEX_MAPPING_SUSPECTED", "HIGH"), (2, "LOW_CONFIDENCE_PAGE", "LOW")]
+    one = [(1, "PHONE_NUMBER_NOT_FOUND", "MEDIUM"), (2, "PAN_NUMBER_EXTRACTION_UNRELIABLE", "LOW")]
+    assert found == sorted([(p, *x) for p in ("p0", "p1") for x in both] + [("p1", *x) for x in one] + [("p0", 7, "PAGE_OUT_OF_RANGE", "HIGH")])
