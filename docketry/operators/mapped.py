@@ -100,7 +100,7 @@ def _of_values(rows: Column, known: Column, unit: Column) -> Column:
         return F.flatten(F.transform(known, lambda f: compare.once(expected(persons, f["_people"]), lambda e: compare.once(F.filter(seen, lambda v: v["field"] == f["field"]), lambda s: _of_field(f["field"], f["_people"], e, s)))))
 
     def low_once(found: Column) -> Column:
-        return F.concat(F.filter(found, lambda x: x["rule_id"] != "LOW_CONFIDENCE_PAGE"), _firsts(F.filter(found, lambda x: x["rule_id"] == "LOW_CONFIDENCE_PAGE"), "person", "page_number"))
+        return F.concat(F.filter(found, lambda x: ~x["rule_id"].eqNullSafe("LOW_CONFIDENCE_PAGE")), _firsts(F.filter(found, lambda x: x["rule_id"] == "LOW_CONFIDENCE_PAGE"), "person", "page_number"))
 
     seen = F.flatten(F.transform(F.filter(read, lambda r: unit.isNotNull()), shown))
     return compare.once(compare.once(persons, lambda p: compare.once(seen, lambda s: all_fields(p, s))), low_once)
